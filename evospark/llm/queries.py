@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extract, packing, quality, sentencepiece_viterbi, tiff, token_counts
+from . import embedding_dedup, html_extract, minhash_dedup, packing, pii, quality, sentencepiece_viterbi, tiff, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(_table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.link_documents(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.encode(_table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -46,7 +54,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_best_fit_packing, op3_media_tiff, op5_token_counts, op6_embedding_dedup, op8_sentencepiece, op9_html_extraction)
+    for f in (op1_quality_classifier, op2_best_fit_packing, op3_media_tiff, op4_pii, op5_token_counts, op6_embedding_dedup, op7_minhash_dedup, op8_sentencepiece, op9_html_extraction)
 }
 
 #: None of these can be said in DuckDB's SQL: tests hold them against brute force instead.
