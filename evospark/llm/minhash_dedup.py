@@ -31,12 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _LOWER, RollingHash, chunks, mix, pick, stored, text_bytes, to_signed, words_of
+from .filters import bits_of, is_set, with_bit
 from .graph import components
 
 BANDS, ROWS = 25, 5
-#: Bits of the filter that spares the second pass the sets nobody asks for; its size is fixed, and
-#: ids that share a bit cost time only.
-FILTER_BITS = 1 << 24
 NO_ID = 2**63 - 1
 
 
@@ -108,29 +106,19 @@ def _sketcher(width: int, bands: int, rows: int):
     return run
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit for each hashed id: FILTER_BITS / 64 rows at most come to the driver."""
-    bits = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
-    words = bits.selectExpr("bit div 64 as word", "shiftleft(1L, cast(bit % 64 as int)) as mask").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[words.column("word").to_numpy()] = words.column("mask").to_numpy()
-    return out
-
-
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """``id, elements`` for the ids asked for (and some more that share a bit with one)."""
-    words = _filter_of(ids)
+    words = bits_of(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column("bit").to_numpy()
-            batch = batch.filter(pa.array((words[bit >> 6] >> (bit & 63)) & 1 == 1))
+            batch = batch.filter(pa.array(is_set(words, batch)))
             for part in chunks(batch):
                 row, value = shingles(part.column("text"), width)
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1))
                 yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(to_signed(value)))], ["id", "elements"])
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)))
+    rows = with_bit(docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text"))
     return rows.mapInArrow(run, "id long, elements array<long>")
 
 

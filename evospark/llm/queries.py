@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extract, minhash_dedup, packing, pii, quality, sentencepiece_viterbi, tiff, token_counts
+from . import embedding_dedup, html_extract, minhash_dedup, packing, pii, quality, sentencepiece_viterbi, suffix_dedup, tiff, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +52,13 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_best_fit_packing, op3_media_tiff, op4_pii, op5_token_counts, op6_embedding_dedup, op7_minhash_dedup, op8_sentencepiece, op9_html_extraction)
+    for f in (op1_quality_classifier, op2_best_fit_packing, op3_media_tiff, op4_pii, op5_token_counts, op6_embedding_dedup, op7_minhash_dedup, op8_sentencepiece, op9_html_extraction, op10_suffix_dedup)
 }
 
 #: None of these can be said in DuckDB's SQL: tests hold them against brute force instead.
