@@ -20,3 +20,17 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return register
+
+
+def load_all() -> None:
+    """Imports the modules that register queries."""
+    import importlib
+    import pkgutil
+
+    from . import plans
+
+    for module in sorted(m.name for m in pkgutil.iter_modules(plans.__path__)):
+        importlib.import_module(f"{plans.__name__}.{module}")
+
+
+load_all()
