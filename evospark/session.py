@@ -8,11 +8,22 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Rows and bytes of an Arrow batch on its way to Python, where the session says nothing else: a
+#: worker holds a few batches at a time, whatever the length of the texts.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
 _ROOT = os.path.dirname(os.path.abspath(__file__))
 
 
+def _given(spark: SparkSession) -> set[str]:
+    return {k for k, _ in spark.sparkContext.getConf().getAll()}
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once for each application."""
+    for key, value in BATCHES.items():
+        if key not in _given(spark):
+            spark.conf.set(key, value)
     context = spark.sparkContext
     if getattr(context, "_evospark_shipped", False) or not os.path.isdir(_ROOT):
         return spark
