@@ -9,11 +9,13 @@ with the concentration of independent ones. Bands of coordinates give buckets, a
 confirmed on the full sets.
 
 Texts with equal sets are one class from the start. Within a bucket every class is compared with
-the bucket's least one; components of the links follow. Only where a bucket then still holds
-several components are its remaining pairs across components compared, less those whose sizes
-rule a link out and those compared before. So no link that a bucket shows is lost, and a bucket of
-n copies costs n comparisons and not n squared. At a similarity of 0.85 all bands miss a pair with
-probability (1 - 0.85^5)^25 = 4e-7.
+the bucket's least one; components of the links follow. Where a bucket then still holds several
+components, its sets are open: a pair of them could be linked. Open sets of one family (joined by
+comparisons of 50 percent or more) are compared in blocks, inside tasks, which give a forest of
+links; open sets of different families are paired by prefix filtering, only where they share one
+of their rarest elements (a linked pair must) and their sizes allow a link. So no link that a
+bucket shows is lost, and no bucket or family becomes rows for all its pairs. At a similarity of
+0.85 all bands miss a pair with probability (1 - 0.85^5)^25 = 4e-7.
 
 Defined cases: a text without words, null or empty, has an empty set and links with nothing; with
 fewer words than a shingle has, the whole sequence is the one shingle; repeated rows are linked;
@@ -36,6 +38,10 @@ from .graph import components
 
 BANDS, ROWS = 25, 5
 NO_ID = 2**63 - 1
+#: Hashed counts of elements, a fixed number, that order them by rarity.
+COUNTERS = 1 << 20
+#: The similarity, in percent, that makes a family of compared sets, and the sets of its blocks.
+RELATED, FAMILY = 50, 1_024
 
 
 def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,15 +128,81 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, elements array<long>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs ``a < b``, those whose full sets are similar enough."""
+def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, related: int | None = None) -> DataFrame:
+    """Of the pairs ``a < b``, those whose full sets are at least ``related`` percent similar, and
+    whether they are linked."""
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
     sets = _sets(docs, ids, width)
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("of_b")), "b")
     joined = joined.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a")), "a")
-    both = F.size(F.array_intersect("of_a", "of_b"))
+    both = F.size(F.array_intersect("of_a", "of_b")).cast("long")
     either = F.size("of_a") + F.size("of_b") - both
-    return stored(joined.filter(100 * both.cast("long") >= percent * either.cast("long")).select("a", "b").distinct(), "confirmed")
+    rows = joined.select("a", "b", (100 * both >= percent * either).alias("linked"), (100 * both >= F.lit(related or percent) * either).alias("related"))
+    return stored(rows.filter("related").select("a", "b", "linked").distinct(), "confirmed")
+
+
+def _family_links(percent: int):
+    """Links between different components among two blocks of a family, as a forest.
+
+    Elements that two sets share become bits, so that a pair costs a row of ANDs; pairs stay in
+    the task, and a row for each linked set comes out.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        get = lambda c: table.column(c).to_numpy()
+        ids, comp, block = get("id"), get("component"), get("block")
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        lists = table.column("elements").combine_chunks()
+        n = np.diff(lists.offsets.to_numpy())
+        row, value = np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy()
+        _, at, times = np.unique(value, return_inverse=True, return_counts=True)
+        shared = times >= 2
+        place = np.cumsum(shared) - 1
+        keep = shared[at]
+        words = max(1, -(-int(shared.sum()) // 64))
+        bits = np.zeros((len(n), words), np.uint64)
+        bit = place[at[keep]]
+        np.bitwise_or.at(bits, (row[keep], bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        size = n.astype(np.int64)
+        xs, ys = [], []
+        step = max(1, 4_000_000 // max(1, len(right) * words))
+        for k in range(0, len(left), step):
+            x = left[k : k + step]
+            both = np.bitwise_count(bits[x][:, None, :] & bits[right][None, :, :]).sum(-1, dtype=np.int64)
+            either = size[x][:, None] + size[right][None, :] - both
+            u, v = np.nonzero((100 * both >= percent * either) & (comp[x][:, None] != comp[right][None, :]))
+            xs.append(x[u])
+            ys.append(right[v])
+        x, y = np.concatenate(xs or [left[:0]]), np.concatenate(ys or [right[:0]])
+        root = np.arange(len(ids))
+        while len(x):
+            low = np.minimum(root[x], root[y])
+            new = root.copy()
+            np.minimum.at(new, x, low)
+            np.minimum.at(new, y, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        moved = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[moved]), "b": pa.array(ids[root[moved]])})
+
+    return run
+
+
+def _within_families(docs: DataFrame, open_ids: DataFrame, families: DataFrame, reached: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links across components between open sets of one family, compared in blocks of ``FAMILY``."""
+    own = open_ids.join(families, "id").join(reached, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component"))
+    own = stored(own, "family-members")
+    sizes = own.groupBy("family").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    own = own.join(stored(sizes.select("family", F.ceil(F.col("n") / FAMILY).cast("int").alias("blocks")), "families"), "family")
+    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = own.join(_sets(docs, own.select("id"), width), "id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("family", "id", "component", "elements", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return stored(rows.groupBy("family", "i", "j").applyInArrow(_family_links(percent), "a long, b long"), "family-links")
 
 
 def link_documents(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,13 +217,15 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80, bands: in
     leaders = stored(entries.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("other")).filter("leader <> other").select("bucket", "leader"), "leaders")
     members = stored(entries.join(leaders, "bucket"), "members")
     first = stored(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = _confirmed(docs, first, width, percent)
+    compared = _confirmed(docs, first, width, percent, RELATED)
+    links = compared.filter("linked").select("a", "b")
     reached = components(links)
-    rest = _across(members, reached, classes, first, percent)
-    if rest.limit(1).count():
-        more = _confirmed(docs, rest, width, percent)
-        if more.limit(1).count():
-            reached = components(links.union(more))
+    open_ids = stored(_open(members, reached).select("id").distinct(), "open-ids")
+    if open_ids.limit(1).count():
+        families = components(compared).withColumnRenamed("component", "family")
+        links = links.union(_within_families(docs, open_ids, families, reached, width, percent))
+        rest = _across(docs, open_ids, families, reached, classes, first, width, percent)
+        reached = components(links.union(_confirmed(docs, rest, width, percent).select("a", "b")))
     labelled = stored(classes.join(reached, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component")), "labelled")
     alone = sketched.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     found = sketched.filter("n_shingles > 0").join(labelled, ["d1", "d2"], "left")
@@ -159,16 +233,61 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80, bands: in
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")).union(alone)
 
 
-def _across(members: DataFrame, reached: DataFrame, classes: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a bucket, lie in different components and weren't compared yet."""
+def _prefixes(docs: DataFrame, ids: DataFrame, width: int, percent: int) -> DataFrame:
+    """``bucket, id``: the elements of which two sets of these ids share one if they are linked.
+
+    A linked pair shares percent / 100 of either set at least, so under one order of all elements
+    both have a common one among their first n - ceil(n * percent / 100) + 1. Any order is right;
+    rare elements first leaves few pairs, and a table of ``COUNTERS`` hashed counts is enough to
+    know which are rare.
+    """
+    sets = stored(_sets(docs, ids, width).join(ids, "id", "left_semi"), "open-sets")
+
+    def slots(column: pa.Array) -> np.ndarray:
+        return (mix(column.flatten().to_numpy().view(np.uint64)) % np.uint64(COUNTERS)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(slots(batch.column("elements")), minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(used), pa.array(total[used])], ["slot", "n"])
+
+    table = sets.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("elements")
+            n = np.diff(column.offsets.to_numpy())
+            row, value = np.repeat(np.arange(len(n)), n), column.flatten().to_numpy()
+            order = np.lexsort((value, counts[slots(column)], row))
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            taken = order[place < (n - -(-n * percent // 100) + 1)[row]]
+            yield pa.record_batch([pa.array(value[taken]), batch.column("id").take(pa.array(row[taken]))], ["bucket", "id"])
+
+    return sets.mapInArrow(first, "bucket long, id long")
+
+
+def _open(members: DataFrame, reached: DataFrame) -> DataFrame:
+    """Members, with their component, of the buckets that hold several; ``main`` is the largest."""
     own = stored(members.join(reached, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "bucket-components")
     sizes = own.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = stored(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "main"), "main-components")
-    open_members = stored(own.join(main, "bucket").join(classes.select("id", "n"), "id"), "open-members")
-    left = open_members.filter("component <> main").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    right = open_members.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
+    return own.join(main, "bucket")
+
+
+def _across(docs: DataFrame, ids: DataFrame, families: DataFrame, reached: DataFrame, classes: DataFrame, done: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs of different families and components that share a rare element and whose sizes allow
+    a link, less those compared before."""
+    rows = _open(_prefixes(docs, ids, width, percent), reached).join(classes.select("id", "n"), "id").join(families, "id", "left")
+    rows = stored(rows.withColumn("family", F.coalesce("family", "id")), "open-members")
+    left = rows.filter("component <> main").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("family").alias("fx"))
+    right = rows.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("family").alias("fy"))
     fits = F.lit(100) * F.least("nx", "ny") >= F.lit(percent) * F.greatest("nx", "ny")
-    pairs = left.join(right, "bucket").filter((F.col("cx") != F.col("cy")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    apart = (F.col("cx") != F.col("cy")) & (F.col("fx") != F.col("fy"))
+    pairs = left.join(right, "bucket").filter(apart & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs-across")
 
 
