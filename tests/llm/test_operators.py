@@ -1,0 +1,476 @@
+"""The training-data operators against brute force, exact round trips and planted cases."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from evospark.llm import embedding_dedup, graph, html_extract, minhash_dedup, packing, pii, quality, sentencepiece_viterbi, suffix_dedup, tiff, token_counts
+from evospark.llm.byte_bpe import ByteBpe, default_path
+
+ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "two words"), (5, "two words"), (None, "no id é 😀"), (6, "x" * 60_000), (7, "a b c d e f " * 3_000)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = spark.createDataFrame(ODD, "doc_id long, text string")
+    return rows.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit("s").alias("digest"), F.lit(1).alias("id"), F.lit(2).alias("bucket"), F.lit(3).alias("bit"))
+
+
+def documents(n=160, seed=3):
+    """Exact and near copies, shared passages and unrelated texts."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    base = [[rng.choice(words) for _ in range(rng.randint(30, 120))] for _ in range(12)]
+    passage = " ".join(rng.choice(words) for _ in range(60))
+    out = []
+    for i in range(n):
+        w = list(rng.choice(base)) if rng.random() < 0.7 else [rng.choice(words) for _ in range(rng.randint(1, 90))]
+        for _ in range(rng.choice([0, 0, 1, 2, 6])):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        text = " ".join(w)
+        out.append((i, text + " " + passage if rng.random() < 0.2 else text))
+    return out + [(900, None), (901, ""), (902, "Word"), (903, "word"), (904, "two Words"), (905, "x")]
+
+
+# Token counts and packing
+
+
+def test_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(default_path()), ByteBpe(default_path())
+    for t in ["", "a<|endoftext|>b <|endoftext|>", "it's\x85 'S é 😀\n\n  x\t", " " * 5000, "ab" * 20_000, *(t or "" for _, t in documents())]:
+        assert own.ids(t).tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_token_counts_and_cache(spark, odd, tmp_path):
+    ids = ByteBpe(default_path()).ids
+    path = f"file://{tmp_path}/cache"
+    got = token_counts.count_tokens(odd, path).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = [(i, len((t or "").encode()), len(ids(t or "")), len(ids(t or "")) > 512) for i, t in ODD]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    stored = spark.read.parquet(path)
+    assert stored.count() == len({t or "" for _, t in ODD})
+    token_counts.count_tokens(odd, path).collect()
+    assert spark.read.parquet(path).count() == stored.count()  # nothing was encoded again
+    token_counts.count_tokens(spark.createDataFrame([(9, "new")], "doc_id long, text string"), path).collect()
+    assert spark.read.parquet(path).count() == stored.count() + 1
+    assert token_counts.count_tokens(odd.limit(0), path).count() == 0
+
+
+def _check_packing(rows, texts, capacity=1024):
+    ids = ByteBpe(default_path()).ids
+    by_seq = collections.defaultdict(list)
+    for r in rows:
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    for parts in by_seq.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    pieces = collections.defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+    for i, t in texts:
+        all_ids = np.append(ids(t or ""), np.uint32(2)).astype("<u4")
+        at = 0
+        for k, r in enumerate(sorted(pieces[i], key=lambda r: r.piece)):
+            assert (r.piece, r.start) == (k, at) and r.ids_crc32 == zlib.crc32(all_ids[at : at + r.length])
+            assert len(pieces[i]) == 1 or r.length == capacity or k == 0
+            at += r.length
+        assert at == len(all_ids)
+    return len(by_seq)
+
+
+def test_packing(spark, odd):
+    texts = documents(300)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    rows = packing.pack(df).collect()
+    n = _check_packing(rows, texts)
+    assert n <= -(-sum(r.length for r in rows) // 1024) + 2
+    assert packing.pack(odd).filter("doc_id = 5").count() == 2 and packing.pack(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_keeps_everything(seed):
+    rng = random.Random(seed)
+    histogram = collections.Counter(rng.choice([rng.randint(1, 64), rng.randint(20, 40), 33, 22]) for _ in range(rng.randint(1, 3000)))
+    plan = packing.Plan(dict(histogram), 64)
+    got = collections.Counter()
+    for content, n in plan.bins.items():
+        assert sum(content) <= 64
+        for x in content:
+            got[x] += n
+    assert got == histogram
+    keys, bins, offsets = plan.places()
+    places = {(b, o) for b, o in zip(bins.tolist(), offsets.tolist())}
+    assert len(places) == len(keys)
+
+
+def test_search_empties_bins():
+    # best fit leaves (6, 3) (5, 3) (4): exchanges fill two bins of ten and empty none; moves do
+    plan = packing.Plan({}, 10)
+    out = plan._search({(6,): 1, (4,): 1, (5, 3): 1, (2,): 1})
+    assert sum(out.values()) == 2 and all(sum(c) == 10 for c in out)
+    assert plan._exchange((5, 3), (4, 3)) == ((4, 5), (3, 3)) or sum(plan._exchange((5, 3), (4, 3))[0]) > 8
+
+
+# Media
+
+
+@pytest.mark.parametrize("scheme", list(tiff.SCHEMES))
+@pytest.mark.parametrize("layout", [{"rows_per_strip": 5}, {"tile": (16, 16)}, {}])
+def test_tiff_round_trip(scheme, layout):
+    rng = np.random.default_rng(1)
+    images = [rng.integers(0, 256, (33, 50, 3), dtype=np.uint8), rng.integers(0, 65535, (7, 9, 1), dtype=np.uint16), np.zeros((20, 40, 1), np.uint8)]
+    for predictor in (False, True):
+        for order in "<>":
+            found = list(tiff.pages(tiff.encode(images, scheme, predictor, order=order, **layout)))
+            assert [(p.height, p.width, p.samples, p.scheme) for p in found] == [(*i.shape, scheme) for i in images]
+            for p, i in zip(found, images):
+                assert p.pixels == i.astype(i.dtype.newbyteorder("<")).tobytes()
+
+
+def test_codecs():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 127, 128, 129, 5000, 40_000):
+        for data in (rng.integers(0, 256, n, dtype=np.uint8).tobytes(), b"ab" * (n // 2), b"z" * n):
+            assert tiff.lzw_decode(tiff.lzw_encode(data), len(data)) == data
+            assert tiff.packbits_decode(tiff.packbits_encode(data), len(data)) == data
+
+
+def test_media_query(spark, odd):
+    rows = tiff.text_media(odd).collect()
+    assert len(rows) == len(ODD)
+    for r in rows:
+        raw = {i: (t or "").encode() for i, t in ODD}[r.doc_id]
+        padded = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        assert (r.n_bytes, r.payload_bytes) == (len(raw), len(padded)) and r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.tail_crc32 == zlib.crc32(padded[-576:])
+    bad = spark.createDataFrame([(1, None), (2, bytearray(b"")), (3, bytearray(b"II*\0\xff\xff\xff\x7f")), (4, bytearray(tiff.encode([np.zeros((2, 2, 1), np.uint8)])[:20]))], "doc_id long, media binary")
+    out = tiff.decode_pages(bad, "media", ["doc_id"]).collect()
+    assert sorted(r.doc_id for r in out) == [2, 3, 4] and all(r.error and r.pixels is None for r in out)
+
+
+# Personal data
+
+
+def _luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        n = int(c) * (1 + i % 2)
+        total += n - 9 if n > 9 else n
+    return total % 10 == 0
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def _base(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "email" or (kind == "ip" and all(int(x) <= 255 for x in m[0].split("."))) or (kind == "card" and 14 <= len(d) <= 19 and _luhn(d)) or (kind == "phone" and 10 <= len(d) <= 15):
+                out.append((m.start(), rank, m.end(), kind))
+    return sorted(out)
+
+
+def test_base_spans(spark):
+    rng = random.Random(5)
+    parts = ["a@b.c", "@", ".", "1", "255", "0001", "+1 ", "(415) ", "555-1234", " ", "-", "é", "😀", "\n", "x%", "4111111111111111", "a.b@c-d.e.f", "+", "3", "jane (at) mail (dot) com", "ssn 123-45-6789"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(500)] + [None, "", "1" * 30_000, "a@" * 10_000, "+1" + "(" * 20_000, "a.b@c" + ".d" * 10_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.report(df).collect():
+        want = _base(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for *_, k in want) for kind in BASE]
+        listed = set(filter(None, r.spans.split(",")))
+        assert {f"{k}:{s}:{e}" for s, _, e, k in want} <= listed
+
+
+def test_added_spans_and_redaction(spark, odd):
+    secret = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"
+    rows = [(1, f'token = "{secret}" é'), (2, "mail a.b@c.org or +1 (961) 555-6946"), (3, "order part 123-45-6789 and a-long-story-about-release-notes-2024"), (4, "plain words, nothing else"), (5, None), (6, "my ssn 123-45-6789 here")]
+    out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert secret not in out[1] and out[2] == "mail [EMAIL] or [PHONE]" and out[3] == rows[2][1] and out[4] == rows[3][1] and out[5] is None and "[SSN]" in out[6]
+    assert pii.report(odd).count() == len(ODD) and pii.redact(odd.limit(0)).count() == 0
+    plan = pii.report(odd)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_thresholds_hold_out(spark):
+    model = pii.train(spark)
+    rows = np.array([tuple(r) for r in pii.examples(spark).collect()], float)
+    held = rows[rows[:, -1] == 0]
+    score = sum(t.predict(held[:, : len(pii.FEATURES)]) for t in model.trees)
+    picked = score >= np.array([model.thresholds[int(g)] for g in held[:, 0]])
+    assert held[picked, -2].mean() > 0.95 and picked[held[:, -2] == 1].mean() > 0.8
+
+
+# Near duplicates
+
+
+def _components(ids, links):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def _sets(rows, width):
+    out = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        out[i] = frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+    return out
+
+
+@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
+def test_near_duplicates(spark, width, percent):
+    rows = documents(200)
+    sets = _sets(rows, width)
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    want = _components(ids, links)
+    got = {r.doc_id: r for r in minhash_dedup.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()}
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
+
+
+def test_near_duplicates_odd(spark, odd):
+    got = minhash_dedup.link_documents(odd, 3, 85).collect()
+    assert len(got) == len(ODD) and all(r.kept for r in got)
+    assert minhash_dedup.link_documents(odd.limit(0), 3, 85).count() == 0
+    assert minhash_dedup.keep_one(odd).columns == odd.columns and minhash_dedup.keep_one(odd).count() == len(ODD)
+
+
+def test_sketch_estimates_similarity():
+    rng = np.random.default_rng(3)
+    for n in (3, 40, 600):
+        shared, a, b = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (n, n // 3, n // 3))
+        rows = np.repeat([0, 1], n + n // 3)
+        s = minhash_dedup.sketch(rows, np.concatenate((shared, a, shared, b)), 2, 500)
+        assert (s < 2**64 - 1).all() and abs((s[0] == s[1]).mean() - n / (n + 2 * (n // 3))) < 0.1
+
+
+def test_family_blocks_agree_with_pairs(spark):
+    rows = documents(200)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in minhash_dedup.link_documents(df, 3, 85).collect()}
+    size, minhash_dedup.FAMILY = minhash_dedup.FAMILY, 4
+    try:
+        assert {r.doc_id: r.component_id for r in minhash_dedup.link_documents(df, 3, 85).collect()} == want
+    finally:
+        minhash_dedup.FAMILY = size
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (50, 70)]
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 50: 50, 70: 50, 100: 50}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 16))
+    x[200:300] = x[rng.integers(0, 20, 100)] + 0.12 * rng.normal(size=(100, 16))
+    x[300:320] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [None] + [1.0] * 15), (904, [1.0, 2.0]), (904, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.link_vectors(df, per_cell=40, block=32, margin=0.17).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = u @ u.T >= 0.95
+    links = [(a, b) for a in range(400) for b in range(a + 1, 400) if linked[a, b]]
+    want = _components(range(400), links)
+    assert all(got[i].n_links == linked[i].sum() - 1 and got[i].component_id == want[i] for i in range(400))
+    assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903, 904)) and len(got) == 405
+    assert embedding_dedup.link_vectors(df.limit(0)).count() == 0
+
+
+def test_embedding_recall_of_default_margin(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    x[1500:] = x[rng.integers(0, 300, 1500)] + 0.28 * rng.normal(size=(1500, 64))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(df).collect()}
+    assert want.sum() > 500 and sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in got)
+
+
+# Repeated passages
+
+
+def _brute_removed(rows, length=50):
+    first, out = {}, {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for s in range(len(b) - length + 1):
+            w = b[s : s + length]
+            first[w] = min(first.get(w, i), i)
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if first[b[s : s + length]] < i:
+                gone[s : s + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out[i] = (len(b), len(b) - len(kept), sum(gone[k] and not (k and gone[k - 1]) for k in range(len(b))), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"hot": 0}, {"hot": 3, "bucket_bytes": 3000, "group": 10}])
+def test_repeats(spark, monkeypatch, limits):
+    rows = documents(200) + [(1000, "ab" * 200), (1001, "ab" * 300), (1002, "é" * 60), (1003, "x" + "é" * 60)]
+    real = suffix_dedup.find_runs
+    monkeypatch.setattr(suffix_dedup, "find_runs", lambda d, **k: real(d, **{**k, **limits}))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _brute_removed(rows)
+
+
+def test_repeats_odd(spark, odd):
+    got = suffix_dedup.report(odd).collect()
+    assert len(got) == len(ODD) and all(r.n_removed == 0 for r in got)
+    assert suffix_dedup.remove(odd).columns == odd.columns and suffix_dedup.report(odd.limit(0)).count() == 0
+
+
+def test_suffix_ranks():
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+    suffixes = [bytes(raw[i : min(e, i + 12)]) for i, e in enumerate(ends)]
+    rank = suffix_dedup.suffix_ranks(raw, ends, 12)
+    order = np.argsort(rank, kind="stable")
+    assert [suffixes[i] for i in order] == sorted(suffixes)
+
+
+# SentencePiece
+
+
+def test_viterbi_equals_library():
+    import public_tokenizers
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    path = public_tokenizers.path(sentencepiece_viterbi.PIECES)
+    spec = pb.ModelProto()
+    with open(path, "rb") as f:
+        spec.ParseFromString(f.read())
+    spec.trainer_spec.model_type = 1  # the same pieces and scores, read as a unigram model
+    for p in spec.pieces:
+        p.score = max(p.score, -40_000)  # the library sums in single precision
+    lib, own = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString()), sentencepiece_viterbi.Model(path)
+    rng = random.Random(7)
+    texts = [(t or "")[:150] for _, t in documents()] + ["".join(rng.choice("abé日 \n\tz😀the") for _ in range(rng.randint(1, 30))) for _ in range(300)] + ["  two  spaces ", "\n"]
+    same = sum(np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t) for t in texts)
+    assert same >= len(texts) - 2  # equal sums may split otherwise
+    assert all(own.decode(own.encode(t)) == t for t in texts)
+
+
+def test_viterbi_equals_brute_force():
+    import public_tokenizers
+
+    own = sentencepiece_viterbi.Model(public_tokenizers.path(sentencepiece_viterbi.PIECES))
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(sentencepiece_viterbi.PIECES))
+    pieces = {lib.id_to_piece(i): lib.get_score(i) for i in range(259, lib.get_piece_size())}
+    rng = random.Random(8)
+    for _ in range(200):
+        unit = "▁" + "".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 12)))
+        best = [0.0] + [float("-inf")] * len(unit)
+        for e in range(1, len(unit) + 1):
+            best[e] = max(best[s] + pieces.get(unit[s:e], own.lowest if e - s == 1 else float("-inf")) for s in range(max(0, e - 16), e))
+        assert sum(lib.get_score(i) for i in own.segment(unit)) == best[-1]
+
+
+def test_sentencepiece_query(spark, odd):
+    rows = sentencepiece_viterbi.encode(odd).collect()
+    assert len(rows) == len(ODD) and all(r.round_trip and r.n_pieces == len(r.ids) for r in rows)
+    assert sentencepiece_viterbi.encode(odd.limit(0)).count() == 0
+
+
+# HTML
+
+
+def _page(body, noise="<nav><li><a href=/>Home</a></li></nav>", tail="<footer>&copy; x</footer>"):
+    return f'<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>{noise}<div class="ad">Buy</div>{body}{tail}</body></html>'
+
+
+def test_extraction_rules():
+    page = _page('<article><h1>Head &amp; more</h1><p><b>One<br>two<p>Three &eacute;&nbsp;x</p><aside>side</aside><section class="user-comments"><p>Nice!</p></section><form>f</form><pre>a\n  b</pre></article>')
+    assert html_extract.extract(page) == "Head & more\nOne two\nThree é x\na b"
+    assert html_extract.extract("") == "" and html_extract.extract("<p>a<p>b") == "a\nb" and html_extract.extract("plain  text") == "plain text"
+    assert html_extract.extract('<div id="sidebar">x</div><div>body <i>text</i></div>') == "body text"
+    assert html_extract.extract("<article><p>open <!-- never closed") == "open" and html_extract.extract("<script>x") == ""
+
+
+def test_style_tree_cuts_repeated_branches(spark):
+    rows = [(i, f"http://h.example/{i}", f'<body><div class="tpl">Follow us</div><div class="text">Story {i} of many</div></body>') for i in range(12)]
+    rows += [(100 + i, "http://few.example/", '<body><div class="tpl">Follow us</div></body>') for i in range(3)]
+    rows += [(200, None, None), (201, "x", ""), (202, "http://h.example/0", rows[0][2]), (202, "http://h.example/0", rows[0][2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("z")).withColumn("text", F.lit(1))
+    got = collections.defaultdict(list)
+    for r in html_extract.extract_pages(df).collect():
+        got[r.page_id].append(r.text)
+        assert r.n_chars == len(r.text)
+    assert all(got[i] == [f"Story {i} of many"] for i in range(12)) and got[100] == ["Follow us"] and got[200] == got[201] == [""] and len(got[202]) == 2
+    assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+# Quality
+
+
+def _rated(n, seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    docs, ratings = [], []
+    for i in range(n):
+        w = [rng.choice(words) for _ in range(rng.randint(20, 80))]
+        grade = rng.choice([0, 1, 2, 2, 2])
+        if grade == 0:
+            for _ in range(3):
+                w[rng.randrange(len(w))] = rng.choice(["idiot", "scum", "trash"])
+        elif grade == 1:
+            w = [x.upper() + "!!" for x in w]
+        docs.append((i, " ".join(w)))
+        ratings.append((i, grade))
+    return docs, ratings
+
+
+def test_quality_on_held_out_rows(spark, odd):
+    docs, ratings = _rated(1500, 9)
+    d, r = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(ratings, "doc_id long, grade int")
+    model = quality.train(d, r.filter("doc_id < 1000"))
+    assert model.thresholds[0] < model.thresholds[1]
+    rows = quality.classify(d.filter("doc_id >= 1000"), model).join(r, "doc_id").collect()
+    assert np.mean([x.kept == (x.grade == 2) for x in rows]) > 0.95
+    means = [np.mean([x.expected_grade for x in rows if x.grade == g]) for g in range(3)]
+    assert means == sorted(means)
+    out = {x.doc_id: x for x in quality.classify(odd, model).collect()}
+    assert len(out) == len(ODD) - 1 and not out[1].kept and not out[2].kept and not out[3].kept and out[1].expected_grade == 0
+    assert quality.keep_good(odd, model).columns == odd.columns and quality.classify(odd.limit(0), model).count() == 0
+
+
+def test_quality_without_ratings(spark, odd):
+    none = spark.createDataFrame([(None, 2), (1, None), (77, 1)], "doc_id long, grade int")
+    assert quality.train(odd, none) is None
+    out = quality.classify(odd, None).collect()
+    assert all(r.expected_grade is None for r in out) and sum(not r.kept for r in out) == 3
