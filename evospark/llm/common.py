@@ -7,6 +7,7 @@ step, so extra columns and clashing names never reach a join.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,9 +21,13 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 #: Bytes of text that one vectorised step holds at once; a longer text is a step of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 _local_dir: str | None = None
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -96,10 +101,38 @@ _INV = pow(_MULT, -1, 1 << 64)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int = _MULT) -> np.ndarray:
-    out = np.full(max(n, 1), base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers of ``base``; a worker keeps those of a chunk's length."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, CHUNK_BYTES + 1), base, dtype=np.uint64)
+        have[0] = 1
+        np.multiply.accumulate(have, out=have)
+        if n <= 2 * CHUNK_BYTES:
+            _powers[base] = have
+    return have[:n]
+
+
+def release() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def lean(f):
+    """``f`` over Arrow batches; what its libraries keep of freed memory goes back at the end."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
 
 
 class RollingHash:

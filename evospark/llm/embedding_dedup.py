@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import stored
+from .common import lean, stored
 from .graph import components
 
 #: Rows that the k-means is fitted on, cells at most, vectors to a cell and to a block.
@@ -56,6 +56,7 @@ def _unit(column: pa.Array) -> np.ndarray:
 def _assign(centres: np.ndarray, margin: float):
     gaps = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-18))
 
+    @lean
     def assign(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):

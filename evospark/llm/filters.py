@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 FILTER_BITS = 1 << 24
 
 
@@ -34,11 +36,12 @@ def is_set(words: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
     return (words[bit >> 6] >> (bit & 63)) & 1 == 1
 
 
-def keep(rows: DataFrame, words: np.ndarray, wanted: bool = True) -> DataFrame:
-    """The rows ``id, text`` whose bit is set, or those whose bit isn't."""
+def keep(rows: DataFrame, words: np.ndarray) -> DataFrame:
+    """The rows ``id, text`` whose bit is set."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(is_set(words, batch) == wanted)).select(["id", "text"])
+            yield batch.filter(pa.array(is_set(words, batch))).select(["id", "text"])
 
     return with_bit(rows.select("id", "text")).mapInArrow(run, "id long, text string")

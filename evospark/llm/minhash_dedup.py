@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, RollingHash, chunks, mix, pick, stored, text_bytes, to_signed, words_of
+from .common import _LOWER, RollingHash, chunks, lean, mix, pick, stored, text_bytes, to_signed, words_of
 from .filters import bits_of, is_set, with_bit
 from .graph import components
 
 BANDS, ROWS = 25, 5
 NO_ID = 2**63 - 1
 #: Hashed counts of elements, a fixed number, that order them by rarity.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
 #: The similarity, in percent, that makes a family of compared sets, and the sets of its blocks.
 RELATED, FAMILY = 50, 1_024
 
@@ -75,12 +75,13 @@ def sketch(rows: np.ndarray, values: np.ndarray, n: int, t: int) -> np.ndarray:
     """``(n, t)`` coordinates; rows without elements keep the largest value."""
     empty = np.uint64(2**64 - 1)
     out = np.full(n * t, empty)
+    shift = np.uint64(64 - (2 * t).bit_length())  # rounds come before hashes
     for i in range(2 * t):
         if not len(rows):
             break
         h = mix(values + np.uint64((i * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64))
         bins = ((h >> np.uint64(32)) * np.uint64(t) >> np.uint64(32)).astype(np.int64) if i < t else i - t
-        np.minimum.at(out, rows * t + bins, np.uint64(i << 56) | mix(h) >> np.uint64(8))
+        np.minimum.at(out, rows * t + bins, np.uint64(i) << shift | mix(h) >> (np.uint64(64) - shift))
         waiting = (out.reshape(n, t) == empty).any(1)
         keep = waiting[rows]
         rows, values = rows[keep], values[keep]
@@ -96,6 +97,7 @@ def band_hashes(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketcher(width: int, bands: int, rows: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
@@ -116,6 +118,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """``id, elements`` for the ids asked for (and some more that share a bit with one)."""
     words = bits_of(ids)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(is_set(words, batch)))
@@ -246,6 +249,7 @@ def _prefixes(docs: DataFrame, ids: DataFrame, width: int, percent: int) -> Data
     def slots(column: pa.Array) -> np.ndarray:
         return (mix(column.flatten().to_numpy().view(np.uint64)) % np.uint64(COUNTERS)).astype(np.int64)
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
@@ -257,6 +261,7 @@ def _prefixes(docs: DataFrame, ids: DataFrame, width: int, percent: int) -> Data
     counts = np.zeros(COUNTERS, np.int64)
     counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
 
+    @lean
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("elements")

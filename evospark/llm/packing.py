@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .byte_bpe import default_path, engine
-from .common import pick, stored
+from .common import lean, pick, stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
@@ -44,6 +44,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _cutter(path: str, capacity: int, end_id: int):
+    @lean
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, part, seen = engine(path).ids, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
@@ -161,6 +162,7 @@ class Plan:
 def _placer(places: tuple[np.ndarray, ...]):
     keys, bins, offsets = places
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:

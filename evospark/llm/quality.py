@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, chunks, pick, text_bytes, words_of
+from .common import RollingHash, chunks, lean, pick, text_bytes, words_of
 
 #: Hashed words, measures, rows of the fit at most, rows that a word needs in the fit.
 SLOTS, MEASURES, SAMPLE, LEAST_ROWS = 1 << 18, 32, 8_000, 4
@@ -121,6 +121,7 @@ def fit(row: np.ndarray, slot: np.ndarray, measures: np.ndarray, grade: np.ndarr
     return model
 
 
+@lean
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
@@ -146,6 +147,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_col: str
 
 
 def _scorer(model: Model | None):
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
@@ -176,6 +178,7 @@ def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text") -> D
     ship(docs.sparkSession)
     score = _scorer(model)
 
+    @lean
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = pc.fill_null(batch.column(text_col).cast(pa.string()), "")

@@ -38,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, chunks, mix, pick, stored, text_bytes, to_signed
-from .filters import bits_of, keep
+from .common import RollingHash, chunks, lean, mix, pick, stored, text_bytes, to_signed
+from .filters import bits_of, is_set, keep, with_bit
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text to a bucket of anchors, contexts to a group, contexts of one anchor in a group.
-BUCKET_BYTES, GROUP, HOT = 32_000_000, 20_000, 30_000
+BUCKET_BYTES, GROUP, HOT = 16_000_000, 20_000, 30_000
 NO_ID = 2**63 - 1
 RUNS = "id long, starts array<int>, ends array<int>"
 
@@ -108,28 +108,31 @@ def _lists(ids: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
 PACKED = "kind int, bucket int, h binary, c binary, doc binary, pos binary, span binary, id long, starts array<int>, ends array<int>"
 
 
-def _packer(length: int, gram: int, buckets: int):
+def _packer(length: int, gram: int, buckets: int, words: np.ndarray):
     """Rows of kind 0 hold a chunk's anchors of one bucket; rows of kind 1 hold what is covered by
     an equal context in a smaller document of the same chunk."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(is_set(words, batch)))
             for part in chunks(batch):
                 raw, offsets = text_bytes(part.column("text"))
                 at, row, lo, hi, h, c = anchors(raw, offsets, length, gram)
                 if not len(at):
                     continue
                 doc, base = part.column("id").to_numpy()[row], offsets[row]
-                order = np.lexsort((doc, c, h))
+                # groups of equal (h, c); were two groups to share a key, they would only be split
+                order = np.argsort(mix(h + c * np.uint64(0x9E3779B97F4A7C15)))
                 hs, cs, ds = h[order], c[order], doc[order]
                 fresh = np.concatenate(([True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])))
-                first = ds[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+                first = np.minimum.reduceat(ds, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
                 later = order[ds > first]
-                rest = order[ds == first]
+                rest = np.sort(order[ds == first])
                 g, s, e = _merged(doc[later], (lo - base)[later], (hi - base)[later])
                 covered = _lists(g, s, e)
                 bucket = (h[rest] % np.uint64(buckets)).astype(np.int32)
-                by = np.lexsort((at[rest], bucket))
+                by = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
                 rest, bucket = rest[by], bucket[by]
                 cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                 columns = [(h[rest] // np.uint64(buckets)).astype(np.uint32), c[rest], doc[rest], (at - base)[rest].astype(np.int32), ((at - lo)[rest] << 8 | (hi - at)[rest]).astype(np.uint16)]
@@ -159,7 +162,8 @@ def _matcher(gram: int, groups: int, hot: int):
     def run(table: pa.Table) -> pa.Table:
         get = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         h, c, doc, pos, span = get("h", np.uint32), get("c", np.uint64), get("doc", np.int64), get("pos", np.int32), get("span", np.uint16)
-        order = np.lexsort((doc, c, h))
+        # by h, then by half of c: contexts that share the half and not the rest are only split
+        order = np.argsort(h.astype(np.uint64) << np.uint64(32) | c >> np.uint64(32))
         h, c, doc, pos, span = h[order], c[order], doc[order], pos[order].astype(np.int64), span[order].astype(np.int64)
         new_h = np.concatenate(([True], h[1:] != h[:-1]))
         new_c = new_h | np.concatenate(([True], c[1:] != c[:-1]))
@@ -167,7 +171,7 @@ def _matcher(gram: int, groups: int, hot: int):
         at_h = np.flatnonzero(new_h)
         many = np.minimum.reduceat(doc, at_h) != np.maximum.reduceat(doc, at_h)
         contexts = np.bincount(of_h, weights=new_c)
-        first = doc[np.flatnonzero(new_c)][of_c]
+        first = np.minimum.reduceat(doc, np.flatnonzero(new_c))[of_c]
         covered = doc > first
         going = ~covered & (many & (contexts > 1))[of_h]
         crowded = (contexts > hot)[of_h]
@@ -216,17 +220,17 @@ def suffix_ranks(raw: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     n = len(raw)
     left = ends - np.arange(n)
     key = np.zeros(n, np.uint64)
-    padded = np.concatenate((raw.astype(np.uint64) + np.uint64(1), np.zeros(4, np.uint64)))
-    for k in range(4):
+    padded = np.concatenate((raw.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)))
+    for k in range(7):
         key = key * np.uint64(257) + np.where(left > k, padded[k : k + n], 0)
 
     def dense(x: np.ndarray) -> np.ndarray:
-        order = np.argsort(x, kind="stable")
+        order = np.argsort(x)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([0], (x[order][1:] != x[order][:-1]).astype(np.int64)))) + 1
         return rank
 
-    rank, size = dense(key), 4
+    rank, size = dense(key), 7
     while size < depth:
         step = min(size, depth - size)
         beyond = np.where(left > step, np.concatenate((rank[step:], np.zeros(step, np.int64))), 0)
@@ -245,7 +249,7 @@ def repeats(raw: np.ndarray, ends: np.ndarray, doc: np.ndarray, length: int) ->
     if not n:
         return np.zeros(0, bool)
     rank = suffix_ranks(raw, ends, length)
-    order = np.lexsort((np.arange(n), rank))
+    order = np.argsort(rank)
     _, small = np.unique(doc, return_inverse=True)
     d, run = small[order], rank[order]
     big = np.int64(len(d) + 2)
@@ -311,8 +315,8 @@ def find_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: s
     copies = sizes.join(firsts.select("digest", "first"), "digest").filter((F.col("id") > F.col("first")) & (F.col("n") >= length)).select("id", F.array(F.lit(0)).alias("starts"), F.array("n").alias("ends"))
 
     # texts that are surely later copies of another one have nothing to add
-    texts = keep(rows, bits_of(firsts.select(F.col("first").alias("id"))))
-    packed = stored(texts.mapInArrow(_packer(length, gram, buckets), PACKED), "anchors")
+    words = bits_of(firsts.select(F.col("first").alias("id")))
+    packed = stored(with_bit(rows).mapInArrow(_packer(length, gram, buckets, words), PACKED), "anchors")
     found = stored(packed.filter("kind = 0").select("bucket", "h", "c", "doc", "pos", "span").groupBy("bucket").applyInArrow(_matcher(gram, groups, hot), FOUND), "found")
     covered = [copies, packed.filter("kind = 1").select("id", "starts", "ends"), found.filter("starts is not null").select("id", "starts", "ends")]
 
@@ -348,20 +352,28 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, removed, counts, digests = [], [], [], []
-        has = "starts" in batch.schema.names
-        lists = zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist()) if has else ((None, None) for _ in range(batch.num_rows))
-        for text, (s, e) in zip(batch.column("text"), lists):
-            raw = text.as_py().encode()
-            spans = _spans(s, e)
-            rest = kept_bytes(raw, spans)
-            sizes.append(len(raw))
-            removed.append(len(raw) - len(rest))
-            counts.append(len(spans))
-            digests.append(hashlib.sha256(rest).hexdigest())
-        yield pa.record_batch([batch.column("id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(digests, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _summary(words: np.ndarray | None = None):
+    """Digests of what is left; with ``words``, of the rows that no interval is for."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if words is not None:
+                batch = batch.filter(pa.array(~is_set(words, batch)))
+            sizes, removed, counts, digests = [], [], [], []
+            none = ((None, None) for _ in range(batch.num_rows))
+            lists = none if words is not None else zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist())
+            for text, (s, e) in zip(batch.column("text"), lists):
+                raw = text.as_py().encode()
+                spans = _spans(s, e)
+                rest = kept_bytes(raw, spans)
+                sizes.append(len(raw))
+                removed.append(len(raw) - len(rest))
+                counts.append(len(spans))
+                digests.append(hashlib.sha256(rest).hexdigest())
+            yield pa.record_batch([batch.column("id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(digests, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return run
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,8 +381,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = pick(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
     runs = find_runs(docs, id_col=id_col, text_col=text_col)
     words, schema = bits_of(runs), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    whole = keep(rows, words, wanted=False).mapInArrow(_summary, schema)
-    cut = keep(rows, words).join(runs, "id", "left").mapInArrow(_summary, schema)
+    whole = with_bit(rows).mapInArrow(_summary(words), schema)
+    cut = keep(rows, words).join(runs, "id", "left").mapInArrow(_summary(), schema)
     return whole.union(cut).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

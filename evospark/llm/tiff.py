@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import chunks, pick
+from .common import chunks, lean, pick
 
 # Fixed values of the format: tags, field types with their sizes, compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -293,6 +293,7 @@ PAGE_FIELDS = [("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32(
 
 
 def _reader(keep: list[str], column: str):
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, column):
@@ -330,6 +331,7 @@ def decode_pages(df: DataFrame, media_col: str = "media", keep: list[str] | None
 BLOCK, STRIP_ROWS = 576, 64
 
 
+@lean
 def _writer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):

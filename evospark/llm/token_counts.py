@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import default_path, engine, file_digest
-from .common import pick, stored, table_path
+from .common import lean, pick, stored, table_path
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: A task forgets which digests it has passed on after so many; a repeat is then dropped later.
 SEEN = 1_000_000
 
 
+@lean
 def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose digest this task has not yet passed on."""
     seen: set[bytes] = set()
@@ -43,6 +44,7 @@ def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counter(path: str):
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, done = engine(path).ids, set()
         for batch in batches:
