@@ -1,6 +1,6 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-Ratings are ordered grades (0 toxic, 1 poor, 2 good). One weight vector over hashed words and a few
+Ratings are ordered grades (0 toxic, 1 poor, 2 good). One weight vector over hashed words, their stems and a few
 measures of a text is shared by all grades; ordered thresholds cut its score:
 ``P(grade <= k) = sigmoid(threshold_k - score)``. The model gives an expected grade and the tail
 probability of the best grade, which decides what is kept.
@@ -27,8 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import RollingHash, chunks, lean, pick, text_bytes, words_of
 
-#: Hashed words, measures, rows of the fit at most, rows that a word needs in the fit.
-SLOTS, MEASURES, SAMPLE, LEAST_ROWS = 1 << 18, 32, 8_000, 4
+#: Hashed words and stems, measures, rows of the fit at most, rows that a word needs in the fit and
+#: the share of rows beyond which it says nothing, and the lengths of stems in bytes.
+SLOTS, MEASURES, SAMPLE, LEAST_ROWS, COMMON = 1 << 18, 32, 8_000, 4, 0.2
+STEMS = (4, 5, 6)
+#: Shares are small numbers: they weigh so many times more.
+SCALE = 5.0
 GRADES = 3
 
 _PUNCTUATION = np.zeros(256, bool)
@@ -40,7 +44,7 @@ _ENDINGS = b"*!%&$#|.,?:;"
 
 
 def text_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and slot of every distinct word of a row, and the rows' measures."""
+    """Row and slot of every distinct word and stem of a row, and the rows' measures."""
     raw, offsets = text_bytes(column)
     n = len(offsets) - 1
     start, end, row = words_of(raw, offsets)
@@ -62,10 +66,20 @@ def text_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         stop = end.copy()
         for _ in range(4):  # the word without up to four marks at its end
             stop -= _PUNCTUATION[raw[stop - 1]] & (stop - 1 > start)
-        slot = (RollingHash(_FOLD[raw]).spans(start, stop) >> np.uint64(20)).astype(np.int64) % SLOTS
-        key = np.unique(row * SLOTS + slot)
+        measures[:, 24] = np.bincount(row[end - stop >= 2], minlength=n) / per_word
+        rolling = RollingHash(_FOLD[raw])
+        word = rolling.spans(start, stop)
+        again = np.flatnonzero((word[1:] == word[:-1]) & (row[1:] == row[:-1]))
+        measures[:, 25] = np.bincount(row[again], minlength=n) / per_word
+        place = lambda h: (h >> np.uint64(20)).astype(np.int64) % SLOTS
+        measures[:, 23] = np.bincount(np.unique(row * SLOTS + place(word)) // SLOTS, minlength=n) / per_word
+        keys = [row * SLOTS + place(word)]
+        for size in STEMS:
+            longer = stop - start > size
+            keys.append(row[longer] * SLOTS + place(rolling.spans(start[longer], start[longer] + size) * np.uint64(2 * size + 1)))
+        key = np.unique(np.concatenate(keys))
         row, slot = key // SLOTS, key % SLOTS
-        measures[:, 23] = np.bincount(row, minlength=n) / per_word
+        measures[:, 1:] *= SCALE
     else:
         slot = np.zeros(0, np.int64)
     return row, slot, measures
@@ -85,10 +99,11 @@ class Model:
         return np.bincount(row, weights=self.weights[slot], minlength=len(measures)) + measures @ self.measures
 
 
-def fit(row: np.ndarray, slot: np.ndarray, measures: np.ndarray, grade: np.ndarray, rounds: int = 200, rate: float = 0.05, decay: float = 2e-4) -> Model:
+def fit(row: np.ndarray, slot: np.ndarray, measures: np.ndarray, grade: np.ndarray, rounds: int = 250, rate: float = 0.05, decay: float = 1e-3) -> Model:
     """Adam over all rows at once; thresholds stay ordered as a first one and positive steps."""
     n = len(grade)
-    frequent = np.bincount(slot, minlength=SLOTS) >= LEAST_ROWS
+    rows_of = np.bincount(slot, minlength=SLOTS)
+    frequent = (rows_of >= LEAST_ROWS) & (rows_of <= max(COMMON * n, LEAST_ROWS))
     known = frequent[slot]
     row, slot = row[known], slot[known]
     model = Model(np.zeros(SLOTS), np.zeros(MEASURES), np.zeros(GRADES - 1))
@@ -141,9 +156,8 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_col: str
     lists = table.column("slots").combine_chunks()
     row = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
     measures = np.array(table.column("measures").to_pylist())
-    order = np.lexsort((lists.flatten().to_numpy(), row))  # rows arrive in any order: fix what sums depend on
-    slot = lists.flatten().to_numpy().astype(np.int64)[order]
-    return fit(row[order], slot, measures, table.column("grade").to_numpy().astype(np.int64))
+    slot = lists.flatten().to_numpy().astype(np.int64)
+    return fit(row, slot, measures, table.column("grade").to_numpy().astype(np.int64))
 
 
 def _scorer(model: Model | None):
