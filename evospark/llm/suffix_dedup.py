@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,12 +106,12 @@ def _lists(ids: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
     return [pa.array(ids[first], pa.int64()), *lists]
 
 
-PACKED = "kind int, bucket int, h binary, c binary, doc binary, pos binary, span binary, id long, starts array<int>, ends array<int>"
+PACKED = "bucket int, h binary, c binary, doc binary, pos binary, span binary, id long, starts array<int>, ends array<int>"
 
 
 def _packer(length: int, gram: int, buckets: int, words: np.ndarray):
-    """Rows of kind 0 hold a chunk's anchors of one bucket; rows of kind 1 hold what is covered by
-    an equal context in a smaller document of the same chunk."""
+    """A chunk's anchors of one bucket in a row; and, in rows without anchors, what is covered by an
+    equal context in a smaller document of the same chunk."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,13 +142,12 @@ def _packer(length: int, gram: int, buckets: int, words: np.ndarray):
                 nothing = pa.nulls(m, pa.binary())
                 yield pa.record_batch(
                     [
-                        pa.array([0] * k + [1] * m, pa.int32()),
-                        pa.concat_arrays([pa.array(bucket[cuts], pa.int32()), pa.nulls(m, pa.int32())]),
+                        pa.array(np.concatenate((bucket[cuts], (mix(covered[0].to_numpy().astype(np.uint64)) % np.uint64(buckets)).astype(np.int32))), pa.int32()),
                         *(pa.concat_arrays([pa.array(x, pa.binary()), nothing]) for x in packed),
                         pa.concat_arrays([pa.nulls(k, pa.int64()), covered[0]]),
                         *(pa.concat_arrays([pa.nulls(k, pa.list_(pa.int32())), x.cast(pa.list_(pa.int32()))]) for x in covered[1:]),
                     ],
-                    ["kind", "bucket", "h", "c", "doc", "pos", "span", "id", "starts", "ends"],
+                    ["bucket", "h", "c", "doc", "pos", "span", "id", "starts", "ends"],
                 )
 
     return run
@@ -159,7 +159,18 @@ FOUND = "id long, starts array<int>, ends array<int>, open array<int>, groups ar
 def _matcher(gram: int, groups: int, hot: int):
     """A bucket's anchors: what equal contexts cover, and the anchors whose contexts go on."""
 
+    fields = [("id", pa.int64()), *((n, pa.list_(pa.int32())) for n in ("starts", "ends", "open", "groups", "hot"))]
+    none = lambda n: pa.nulls(n, pa.list_(pa.int32()))
+
+    def found(rows: list) -> pa.Table:
+        return pa.concat_tables(pa.table({n: x.cast(t) for x, (n, t) in zip(r, fields)}) for r in rows)
+
     def run(table: pa.Table) -> pa.Table:
+        known = table.filter(pc.is_null(table.column("h"))).combine_chunks()
+        table = table.filter(pc.is_valid(table.column("h")))
+        rows = [[*(known.column(n) for n in ("id", "starts", "ends")), *[none(known.num_rows)] * 3]]
+        if not table.num_rows:
+            return found(rows)
         get = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         h, c, doc, pos, span = get("h", np.uint32), get("c", np.uint64), get("doc", np.int64), get("pos", np.int32), get("span", np.uint16)
         # by h, then by half of c: contexts that share the half and not the rest are only split
@@ -176,9 +187,6 @@ def _matcher(gram: int, groups: int, hot: int):
         going = ~covered & (many & (contexts > 1))[of_h]
         crowded = (contexts > hot)[of_h]
         g, s, e = _merged(doc[covered], (pos - (span >> 8))[covered], (pos + (span & 255))[covered])
-        fields = [("id", pa.int64()), *((n, pa.list_(pa.int32())) for n in ("starts", "ends", "open", "groups", "hot"))]
-        none = lambda n: pa.nulls(n, pa.list_(pa.int32()))
-        rows = []
         ids, starts, ends = _lists(g, s, e)
         rows.append([ids, starts, ends, none(len(ids)), none(len(ids)), none(len(ids))])
         mixed = mix(h.astype(np.uint64) + np.uint64(1)) % np.uint64(groups)
@@ -190,7 +198,7 @@ def _matcher(gram: int, groups: int, hot: int):
             if place == 3:
                 row[4] = m
             rows.append(row)
-        return pa.concat_tables(pa.table(dict(zip([f for f, _ in fields], [x.cast(t) for x, (_, t) in zip(r, fields)]))) for r in rows)
+        return found(rows)
 
     return run
 
@@ -316,9 +324,9 @@ def find_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: s
 
     # texts that are surely later copies of another one have nothing to add
     words = bits_of(firsts.select(F.col("first").alias("id")))
-    packed = stored(with_bit(rows).mapInArrow(_packer(length, gram, buckets, words), PACKED), "anchors")
-    found = stored(packed.filter("kind = 0").select("bucket", "h", "c", "doc", "pos", "span").groupBy("bucket").applyInArrow(_matcher(gram, groups, hot), FOUND), "found")
-    covered = [copies, packed.filter("kind = 1").select("id", "starts", "ends"), found.filter("starts is not null").select("id", "starts", "ends")]
+    packed = with_bit(rows).mapInArrow(_packer(length, gram, buckets, words), PACKED)
+    found = stored(packed.groupBy("bucket").applyInArrow(_matcher(gram, groups, hot), FOUND), "found")
+    covered = [copies, found.filter("starts is not null").select("id", "starts", "ends")]
 
     going = stored(found.filter("open is not null or hot is not null").groupBy("id").agg(F.flatten(F.collect_list("open")).alias("open"), F.flatten(F.collect_list("groups")).alias("groups"), F.flatten(F.collect_list("hot")).alias("hot")), "going")
     wanted = keep(rows, bits_of(going))
