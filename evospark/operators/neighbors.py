@@ -15,6 +15,8 @@ from ..session import ship
 
 #: Queries that go to every task at once; more are taken in rounds of so many.
 QUERY_BLOCK = 4_096
+#: Leading hex digits of a curve key that make a slice of it.
+SLICE = 4
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -101,12 +103,17 @@ def probe(keys: DataFrame, queries: DataFrame, window: int, both_ways: bool = Fa
 
     ``keys`` holds (curve, hkey, store_id) and ``queries`` (curve, hkey, query_id). Both are put in
     one order per curve, so that every query knows its rank among the stored entries, and a query
-    meets entries by rank: an equi-join on (curve, rank), not a range join.
+    meets entries by rank: an equi-join on (curve, rank), not a range join. Ranks are counted within
+    slices of keys that share their first digits and shifted by the slices' sums.
     """
     rows = keys.select("curve", "hkey", F.col("store_id").alias("id"), F.lit(1).alias("stored"))
     asked = queries.select("curve", "hkey", F.col("query_id").alias("id"), F.lit(0).alias("stored"))
-    order = Window.partitionBy("curve").orderBy("hkey", "stored", "id")
-    placed = rows.union(asked).withColumn("rank", F.sum("stored").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    both = rows.union(asked).withColumn("slice", F.substring("hkey", 1, SLICE))
+    before = Window.partitionBy("curve").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = both.groupBy("curve", "slice").agg(F.sum("stored").alias("n"))
+    base = sums.select("curve", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("curve", "slice").orderBy("hkey", "stored", "id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("rank", F.sum("stored").over(within)).join(base, ["curve", "slice"]).withColumn("rank", F.col("rank") + F.col("base"))
     entries = placed.filter("stored = 1").select("curve", F.col("rank"), F.col("id").alias("store_id"))
     low = -window + 1 if both_ways else 1
     wanted = placed.filter("stored = 0").select("curve", F.col("id").alias("query_id"), F.explode(F.sequence(F.col("rank") + low, F.col("rank") + window)).alias("rank"))

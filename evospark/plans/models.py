@@ -88,7 +88,7 @@ def permutation_importance(spark, d):
     """Loss of R2 by permuted feature, most important first."""
     x, y = window(spark, d)
     model, _ = M.train(M.GaussianProcess(), x, y)
-    rows = evaluated(spark, d).select("g", "fitness").limit(400)
+    rows = evaluated(spark, d).select("g", "fitness")
     return M.permutation_importance(rows, model, "fitness", repeats=3).select("dim", r6("importance").alias("importance")).orderBy(F.desc("importance"), "dim")
 
 
@@ -123,7 +123,7 @@ def tier_evaluate(spark, d):
 @query("tier_replay")
 def tier_replay(spark, d):
     """Tiers of each run's points when every point sees those before it: one fold per run."""
-    e = evaluated(spark, d).filter("vec_id % 5 = 0").select(F.col("island").alias("run"), "vec_id", F.slice("g", 1, 4).alias("g"))
+    e = evaluated(spark, d).select(F.col("island").alias("run"), "vec_id", F.slice("g", 1, 4).alias("g"))
     series = e.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("vec_id", "g"))).alias("s"))
     empty = F.array().cast("array<array<double>>")
     out = F.array().cast("array<struct<vec_id:bigint,tier:string>>")

@@ -76,9 +76,9 @@ def nn_local_first(spark, d):
     return empty.union(full).withColumn("d", r6("d"))
 
 
-@query("pairwise_dist", f"WITH {G_SQL} SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.g, b.g), 6) AS d, abs(a.vec_id - b.vec_id) AS line FROM gen a, gen b WHERE a.vec_id < b.vec_id AND a.vec_id % 5 = 0 AND b.vec_id % 5 = 0")
+@query("pairwise_dist", f"WITH {G_SQL} SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.g, b.g), 6) AS d, abs(a.vec_id - b.vec_id) AS line FROM gen a, gen b WHERE a.vec_id < b.vec_id")
 def pairwise_dist(spark, d):
-    points = genomes(spark, d).filter("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), F.col("g").alias("v"))
+    points = genomes(spark, d).select(F.col("vec_id").alias("id"), F.col("g").alias("v"))
     return N.pairwise(points).select("a", "b", r6("d").alias("d"), F.abs(F.col("a") - F.col("b")).alias("line"))
 
 
@@ -141,25 +141,32 @@ def knn_modes(spark, d):
     return found.join(truth, ["query_id", "store_id"], "left").groupBy("mode").agg(r6(F.count("hit") / F.lit(total)).alias("recall"), r6(F.avg("d")).alias("mean_distance"))
 
 
-@query("recall_at_k", f"""WITH {POP_SQL}, {NN_SQL} WHERE rank <= 10), half AS (SELECT query_id, store_id FROM (SELECT query_id, store_id, row_number() OVER (PARTITION BY query_id ORDER BY d, store_id) AS r2 FROM (SELECT query_id, store_id, list_distance(p.g, c.sg) AS d FROM pop p, cache c WHERE c.store_id % 4 = 0)) WHERE r2 <= 10)
-SELECT query_id, round(count(h.store_id) / 10.0::DOUBLE, 6) AS recall, coalesce(max(CASE WHEN rank = 1 AND h.store_id IS NOT NULL THEN 1 ELSE 0 END), 0)::INT AS top1 FROM nn LEFT JOIN half h USING (query_id, store_id) GROUP BY query_id""")
-def recall_at_k(spark, d):
+# An approximate search: the nearest by the first four dimensions, then the distance by all.
+ROUGH_SQL = "ro AS (SELECT query_id, store_id, d FROM (SELECT query_id, store_id, list_distance(p.g, c.sg) AS d, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(p.g[1:4], c.sg[1:4]), store_id) AS r4 FROM pop p, cache c) WHERE r4 <= 10)"
+
+
+def _rough(spark, d):
     pop, store = population(spark, d), cache(spark, d)
-    truth = N.knn(pop, store, 10)
-    found = N.knn(pop, store.filter("store_id % 4 = 0"), 10).select("query_id", "store_id", F.lit(1).alias("hit"))
-    joined = truth.join(found, ["query_id", "store_id"], "left")
+    found = N.knn(pop.withColumn("g", F.slice("g", 1, 4)), store.withColumn("sg", F.slice("sg", 1, 4)), 10).select("query_id", "store_id")
+    return pop, store, N.rerank(found, pop, store, 10)
+
+
+@query("recall_at_k", f"WITH {POP_SQL}, {NN_SQL} WHERE rank <= 10), {ROUGH_SQL} SELECT query_id, round(count(r.store_id) / 10.0::DOUBLE, 6) AS recall, coalesce(max(CASE WHEN rank = 1 AND r.store_id IS NOT NULL THEN 1 ELSE 0 END), 0)::INT AS top1 FROM nn LEFT JOIN ro r USING (query_id, store_id) GROUP BY query_id")
+def recall_at_k(spark, d):
+    pop, store, rough = _rough(spark, d)
+    joined = N.knn(pop, store, 10).join(rough.select("query_id", "store_id", F.lit(1).alias("hit")), ["query_id", "store_id"], "left")
     return joined.groupBy("query_id").agg(r6(F.count("hit") / F.lit(10.0)).alias("recall"), F.max(F.when((F.col("rank") == 1) & F.col("hit").isNotNull(), 1).otherwise(0)).alias("top1"))
 
 
-@query("quality_score", f"""WITH {POP_SQL}, {NN_SQL} WHERE rank <= 10), gt AS (SELECT query_id, avg(d) AS gt FROM nn GROUP BY query_id), rnd AS (SELECT query_id, avg(list_distance(p.g, c.sg)) AS rnd, avg(list_distance(p.g, c.sg)) FILTER (c.store_id % 8 = 0) AS got FROM pop p, cache c GROUP BY query_id)
-SELECT query_id, round(greatest(0.0, least(1.0, 1.0 - (got - gt) / greatest(rnd - gt, 1e-12))), 6) AS quality FROM gt JOIN rnd USING (query_id)""")
+@query("quality_score", f"""WITH {POP_SQL}, {NN_SQL} WHERE rank <= 10), {ROUGH_SQL}, gt AS (SELECT query_id, avg(d) AS gt FROM nn GROUP BY query_id), got AS (SELECT query_id, avg(d) AS got FROM ro GROUP BY query_id), rnd AS (SELECT query_id, avg(list_distance(p.g, c.sg)) AS rnd FROM pop p, cache c GROUP BY query_id)
+SELECT query_id, round(greatest(0.0, least(1.0, 1.0 - (got - gt) / greatest(rnd - gt, 1e-12))), 6) AS quality FROM gt JOIN got USING (query_id) JOIN rnd USING (query_id)""")
 def quality_score(spark, d):
-    pop, store = population(spark, d), cache(spark, d)
+    pop, store, rough = _rough(spark, d)
     near = N.knn(pop, store, 10).groupBy("query_id").agg(F.avg("d").alias("gt"))
-    n = store.count()
-    every = N.knn(pop, store, n).groupBy("query_id").agg(F.avg("d").alias("rnd"), F.avg(F.when(F.col("store_id") % 8 == 0, F.col("d"))).alias("got"))
+    got = rough.groupBy("query_id").agg(F.avg("d").alias("got"))
+    every = N.knn(pop, store, store.count()).groupBy("query_id").agg(F.avg("d").alias("rnd"))
     score = 1.0 - (F.col("got") - F.col("gt")) / F.greatest(F.col("rnd") - F.col("gt"), F.lit(1e-12))
-    return near.join(every, "query_id").select("query_id", r6(V.clip01(score)).alias("quality"))
+    return near.join(got, "query_id").join(every, "query_id").select("query_id", r6(V.clip01(score)).alias("quality"))
 
 
 @query("l2", f"WITH {G_SQL} SELECT vec_id, round(list_distance(g, [0.5 FOR x IN g]), 6) AS d, round(list_distance(g[1:4], [0.5::DOUBLE, 0.5, 0.5, 0.5]), 6) AS d_short FROM gen")

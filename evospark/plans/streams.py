@@ -120,11 +120,11 @@ def run_scan(spark, d):
     return S.read_runs(spark, path).select("generation", r6("best_fitness").alias("best_fitness"), F.size("population").cast("bigint").alias("members"))
 
 
-@query("stl_export", f"WITH {EVAL_SQL} SELECT vec_id AS id, 192 AS facets FROM ev WHERE vec_id % 50 = 0")
+@query("stl_export", f"WITH {EVAL_SQL} SELECT vec_id AS id, 192 AS facets FROM ev")
 def stl_export(spark, d):
     """Facets of wings, a mesh for each design."""
     p = A.parameters(F.col("g"))
-    designs = genomes(spark, d).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), *(p[n].alias(n) for n in ("wing_span", "wing_root_chord", "wing_tip_chord", "wing_sweep", "naca_m")))
+    designs = genomes(spark, d).select(F.col("vec_id").alias("id"), *(p[n].alias(n) for n in ("wing_span", "wing_root_chord", "wing_tip_chord", "wing_sweep", "naca_m")))
     return S.wing_facets(designs).groupBy("id").agg(F.count("*").alias("facets"))
 
 
