@@ -54,16 +54,16 @@ def _unit(column: pa.Array) -> np.ndarray:
 
 
 def _assign(centres: np.ndarray, margin: float):
-    gaps = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-18))
-
+    # a closure of the centroids alone: their distances are made for the rows at hand
     @lean
     def assign(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 dots = _unit(part.column("embedding")) @ centres.T
                 home = dots.argmax(1)
-                away = (dots[np.arange(len(home)), home][:, None] - dots) / gaps[home]
+                gaps = np.sqrt(np.maximum(2 - 2 * centres[home] @ centres.T, 1e-18))
+                away = (dots[np.arange(len(home)), home][:, None] - dots) / gaps
                 near = away <= margin
                 near[np.arange(len(home)), home] = True
                 row, cell = np.nonzero(near)

@@ -61,5 +61,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_quality_classifier, op2_best_fit_packing, op3_media_tiff, op4_pii, op5_token_counts, op6_embedding_dedup, op7_minhash_dedup, op8_sentencepiece, op9_html_extraction, op10_suffix_dedup)
 }
 
-#: None of these can be said in DuckDB's SQL: tests hold them against brute force instead.
-ORACLES: dict[str, str] = {}
+REACH = "r AS (SELECT id, id AS root FROM ids UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id), c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)"
+
+#: What SQL can say: the links and components of vectors and of shingle sets, by brute force. The
+#: other queries are held against brute force, round trips or held-out rows in the tests.
+ORACLES: dict[str, str] = {
+    "op6_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), ids AS (SELECT id FROM v),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN e]) AND list_sum([x * x FOR x IN e]) > 0),
+l AS (SELECT a.id AS a, b.id AS b FROM ok a, ok b WHERE a.id <> b.id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95), {REACH}
+SELECT c.id AS vec_id, (SELECT count(*) FROM l WHERE l.a = c.id) AS n_links, component_id, c.id = component_id AS kept FROM c""",
+    "op7_minhash_dedup": rf"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT id, CASE WHEN len(w) >= 3 THEN list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+ids AS (SELECT id FROM s), g AS (SELECT id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS same, any_value(a.n) AS na, any_value(b.n) AS nb FROM g a JOIN g b USING (g) WHERE a.id <> b.id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * same >= 85 * (na + nb - same)), {REACH}
+SELECT c.id AS doc_id, len(s.s) AS n_shingles, component_id, c.id = component_id AS kept FROM c JOIN s USING (id)""",
+    "op10_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS x FROM (SELECT doc_id, h, unnest(range(greatest(strlen(h) // 2 - 49, 0))) AS i FROM d)),
+f AS (SELECT x, min(doc_id) AS m FROM w GROUP BY x), hit AS (SELECT w.doc_id, w.i FROM w JOIN f USING (x) WHERE f.m < w.doc_id),
+cov AS (SELECT DISTINCT doc_id, i + k AS p FROM hit, range(50) t(k)),
+b AS (SELECT doc_id, unnest(l) AS byte, unnest(range(len(l))) AS p FROM (SELECT doc_id, regexp_extract_all(h, '..') AS l FROM d)),
+k AS (SELECT doc_id, string_agg(byte, '' ORDER BY p) AS kept FROM b ANTI JOIN cov USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS removed, count(*) FILTER (p IS DISTINCT FROM last + 1) AS spans FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS last FROM cov) GROUP BY doc_id)
+SELECT doc_id, strlen(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(from_hex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)""",
+}
