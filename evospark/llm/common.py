@@ -58,10 +58,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its scan would leave some idle: an input below one split a core is
+    dealt out anew, which moves no more than that; a larger one stays where it is read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if cores > 1 and size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
+
+
 def pick(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id`` and ``text`` alone, with null text as the empty text."""
     ship(df.sparkSession)
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return spread(df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

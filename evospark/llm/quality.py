@@ -105,9 +105,9 @@ def fit(row: np.ndarray, slot: np.ndarray, measures: np.ndarray, grade: np.ndarr
     rows_of = np.bincount(slot, minlength=SLOTS)
     frequent = (rows_of >= LEAST_ROWS) & (rows_of <= max(COMMON * n, LEAST_ROWS))
     known = frequent[slot]
-    row, slot = row[known], slot[known]
-    model = Model(np.zeros(SLOTS), np.zeros(MEASURES), np.zeros(GRADES - 1))
     used = np.flatnonzero(frequent)
+    row, slot = row[known], (np.cumsum(frequent) - 1)[slot[known]]  # places among the used slots
+    model = Model(np.zeros(len(used)), np.zeros(MEASURES), np.zeros(GRADES - 1))
     params = np.zeros(len(used) + MEASURES + GRADES - 1)
     share = np.clip(np.cumsum(np.bincount(grade, minlength=GRADES))[:-1] / n, 1e-3, 1 - 1e-3)
     cuts = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(GRADES - 1))
@@ -116,7 +116,7 @@ def fit(row: np.ndarray, slot: np.ndarray, measures: np.ndarray, grade: np.ndarr
     first, second = np.zeros_like(params), np.zeros_like(params)
     every = np.arange(n)
     for t in range(1, rounds + 1):
-        model.weights[used] = params[: len(used)]
+        model.weights = params[: len(used)]
         model.measures = params[len(used) : len(used) + MEASURES]
         steps = np.exp(params[-(GRADES - 2) :])
         model.thresholds = params[-(GRADES - 1)] + np.concatenate(([0], np.cumsum(steps)))
@@ -128,12 +128,14 @@ def fit(row: np.ndarray, slot: np.ndarray, measures: np.ndarray, grade: np.ndarr
         by_cut[every, grade + 1] -= hi * (1 - hi) / p
         by_cut[every, grade] += lo * (1 - lo) / p
         by_cut = by_cut.sum(0)[1:-1] / n
-        g = np.concatenate(((np.bincount(slot, weights=-by_score[row], minlength=SLOTS))[used], -(measures.T @ by_score), [by_cut.sum()], [by_cut[k + 1 :].sum() * steps[k] for k in range(GRADES - 2)]))
+        g = np.concatenate((np.bincount(slot, weights=-by_score[row], minlength=len(used)), -(measures.T @ by_score), [by_cut.sum()], [by_cut[k + 1 :].sum() * steps[k] for k in range(GRADES - 2)]))
         g[: len(used)] += decay * params[: len(used)]
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
         params = params - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    return model
+    weights = np.zeros(SLOTS)
+    weights[used] = model.weights
+    return Model(weights, model.measures, model.thresholds)
 
 
 @lean
@@ -142,7 +144,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batch):
             row, slot, measures = text_features(part.column("text"))
             ends = np.searchsorted(row, np.arange(part.num_rows + 1))
-            yield pa.record_batch([part.column("grade"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(slot, pa.int32())), pa.array(list(measures), pa.list_(pa.float64()))], ["grade", "slots", "measures"])
+            yield pa.record_batch([part.column("doc_id"), part.column("grade"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(slot, pa.int32())), pa.array(list(measures), pa.list_(pa.float64()))], ["doc_id", "grade", "slots", "measures"])
 
 
 def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
@@ -150,7 +152,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_col: str
     chosen = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).dropna().filter(F.col("grade").between(0, GRADES - 1))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
     rows = pick(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # ``sample`` rows at most
-    table = rows.select("text", "grade").mapInArrow(_vectors, "grade int, slots array<int>, measures array<double>").toArrow()
+    table = rows.select("doc_id", "text", "grade").mapInArrow(_vectors, "doc_id long, grade int, slots array<int>, measures array<double>").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])  # sums in one order
     if not table.num_rows:
         return None
     lists = table.column("slots").combine_chunks()
