@@ -113,7 +113,7 @@ class Filter:
             out = out & (F.col("ts").isNull() | (F.col("ts") <= self.until))
         if self.search is not None:
             out = out & F.lower(F.to_json(F.struct(*columns))).contains(self.search.lower())
-        return F.coalesce(out, F.lit(False))
+        return out
 
 
 def at_level(level: Column, wanted: str) -> Column:
