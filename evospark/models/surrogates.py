@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import ship
 
@@ -272,29 +273,28 @@ def predict(df: DataFrame, model, vector: str = "g", keep: tuple[str, ...] = ())
     return df.select(*dict.fromkeys([*keep, vector])).mapInArrow(run, f"{fields}, mean double, variance double")
 
 
+#: Rows whose values stand in for a feature's distribution.
+POOL = 1_024
+
+
 def permutation_importance(df: DataFrame, model, target: str, vector: str = "g", repeats: int = 5) -> DataFrame:
-    """Loss of R2 when a feature's values trade places, averaged over repeats: rows times features
-    times repeats are one table, scored in bulk."""
-    dims = df.select(F.size(vector).alias("n")).first()["n"]
-    rows = df.select(F.monotonically_increasing_id().alias("row"), target, vector)
-    rows = rows.withColumn("slot", F.row_number().over(_window("row")) - 1).withColumn("n", F.count("*").over(_window()))
-    grid = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("dim")).select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
-    other = rows.select(F.col("slot").alias("from"), F.col(vector).alias("other"))
-    shifted = grid.withColumn("from", F.pmod(F.col("slot") + 1 + F.pmod(F.xxhash64("dim", "rep"), F.col("n") - 1), F.col("n"))).join(other, "from")
-    mixed = shifted.withColumn("x", F.transform(vector, lambda v, i: F.when(i == F.col("dim"), F.get("other", i)).otherwise(v)))
+    """Loss of R2 when a feature's values come from other rows, averaged over repeats: rows times
+    features times repeats are one table, scored in bulk. Donors are a pool of fixed size, drawn by
+    hash, which goes to the rows."""
     from ..operators.stats import regression_metrics
 
+    dims = df.select(F.size(vector).alias("n")).first()["n"]
+    rows = df.select(F.xxhash64(vector, target).alias("row"), target, vector)
+    pool = rows.orderBy("row").limit(POOL).select(F.row_number().over(Window.orderBy("row")).alias("slot"), F.col(vector).alias("other"))
+    n = pool.count()
+    grid = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("dim")).select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
+    placed = grid.withColumn("slot", (F.pmod(F.xxhash64("row", "dim", "rep"), F.lit(n)) + 1).cast("int")).join(F.broadcast(pool), "slot")
+    mixed = placed.withColumn("x", F.transform(vector, lambda v, i: F.when(i == F.col("dim"), F.get("other", i)).otherwise(v)))
     base = F.broadcast(regression_metrics(predict(rows, model, vector, (target,)), target, "mean").select(F.col("r2").alias("base")))
     worse = regression_metrics(predict(mixed, model, "x", ("dim", "rep", target)), target, "mean", ["dim", "rep"])
     return worse.join(base).groupBy("dim").agg(F.avg(F.col("base") - F.col("r2")).alias("importance"))
 
 
-def _window(order: str | None = None):
-    from pyspark.sql.window import Window
-
-    return Window.orderBy(order) if order else Window.partitionBy()
-
-
 def principal_components(df: DataFrame, vector: str = "g", k: int = 2) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Centred projections on the first k components, explained ratios and loadings. Only sums and
     products per pair of dimensions come to the driver; the largest loading of each is positive."""
