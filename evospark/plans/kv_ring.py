@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import curve
 from ..operators import kv as K
@@ -146,10 +145,11 @@ def hop_stats(spark, d):
     return ring_hops(spark, d).agg(r6(F.avg("hops")).alias("mean"), F.max("hops").alias("max"), r6(F.var_pop("hops")).alias("variance"), r6(F.percentile("hops", 0.95)).alias("p95"))
 
 
-@query("parse_key", f"WITH {KV_SQL}, c AS (SELECT k, (o % 3)::VARCHAR || k || '|{{\"v\": \"' || v || '\"}}' AS full_key FROM (SELECT *, row_number() OVER (ORDER BY k) AS o FROM kv)) SELECT k, full_key[1:1]::INT AS curve, split_part(full_key, '|', 1)[2:] AS hkey, json_extract_string(full_key[strpos(full_key, '|') + 1:], '$.v') AS v FROM c")
+@query("parse_key", f"WITH {KV_SQL}, c AS (SELECT k, (('0x' || k[16:16])::INT % 3)::VARCHAR || k || '|{{\"v\": \"' || v || '\"}}' AS full_key FROM kv) SELECT k, full_key[1:1]::INT AS curve, split_part(full_key, '|', 1)[2:] AS hkey, json_extract_string(full_key[strpos(full_key, '|') + 1:], '$.v') AS v FROM c")
 def parse_key(spark, d):
-    kv = pairs(spark, d).withColumn("o", F.row_number().over(Window.orderBy("k")))
-    full = kv.select("k", F.concat((F.col("o") % 3).cast("string"), "k", F.lit("|"), F.to_json(F.struct("v"))).alias("full_key"))
+    kv = pairs(spark, d)
+    digit = F.conv(F.substring("k", 16, 1), 16, 10).cast("int") % 3
+    full = kv.select("k", F.concat(digit.cast("string"), "k", F.lit("|"), F.to_json(F.struct("v"))).alias("full_key"))
     key = F.col("full_key")
     return full.select("k", curve.curve_of(key).alias("curve"), F.substring(curve.key_of(key), 2, 64).alias("hkey"), F.from_json(curve.payload_of(key), "v string")["v"].alias("v"))
 
