@@ -4,20 +4,25 @@ Pages of a host are merged into one style tree, whose nodes are paths of tags wi
 presentation (class, id, role). A node's importance comes from two entropies over the host's
 distinct pages: of the presentations that its children show, and of the contents under it. A
 content that many pages share spreads over them and has a high entropy, so its node matters
-little; contents of one page each make a node matter. Branches of low importance are cut from
-every page. Importance needs evidence: a host with few distinct pages cuts nothing.
+little; contents of one page each make a node matter. Blocks whose element has a low importance
+are cut from every page, inside ``article`` and ``main`` as well as on pages without them; a
+container's mean never takes a block whose own element matters. Importance needs evidence: a host
+with few distinct pages cuts nothing.
 
 What a tag or its class says comes first where it is plain: menus, page headers and footers,
 sidebars, notices, adverts, forms, comments, scripts and styles go whatever their entropy (an
-advert that differs on every page has the statistics of an article), headings and paragraphs of
-the article stay, and a page with an ``article`` or ``main`` element is read from it alone.
+advert that differs on every page has the statistics of an article), and a page with an
+``article`` or ``main`` element is read from it alone. A heading or paragraph of the article stays
+in an element of low importance if its text is on no other page of the host. A repeated text whose
+element has the same path as the page's own paragraphs stays, since the path matters.
 
 Defined cases: null or empty html, and pages without a main text, give the empty text; a page
 whose url has no host belongs to the empty host; repeated rows each get their row and count once
 in a tree; an empty table gives an empty result; extra columns are ignored.
 
 Scale: trees are sums over (host, path, content), combined before the shuffle, so a host with a
-third of the pages is no task of its own; only the cut paths of a host join its pages.
+third of the pages is no task of its own; only the cut paths of a host, and the contents that
+several pages share under them, join its pages.
 """
 
 from __future__ import annotations
@@ -44,7 +49,8 @@ RAW = set("script style textarea title noscript xmp iframe noembed noframes temp
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = RAW | set("nav footer aside form head button select option datalist svg math canvas object audio video dialog menu input label".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-STAYS = HEADINGS | set("p pre blockquote article main".split())
+#: Inside article and main these stay in a cut element if their text is the page's own.
+STAYS = HEADINGS | {"p"}
 #: A start tag closes an open element of these kinds first.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "li", "dd", "dt", "tbody", "thead", "tfoot", "caption", "summary"}
@@ -146,11 +152,12 @@ def _candidates(page: str) -> list[Block]:
     return inside or found
 
 
-def extract(page: str, cut: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text; ``cut`` holds digests of the paths that the host's tree cuts."""
+def extract(page: str, cut: frozenset[int] | set[int] = frozenset(), shared: frozenset[int] | set[int] = frozenset()) -> str:
+    """The main text; ``cut`` holds digests of the paths that the host's tree cuts, ``shared`` those
+    of the contents under them that more than one page has."""
     found = _candidates(page)
     if cut:
-        found = [b for b in found if b.stays or not any(_digest("/".join(b.path[:k])) in cut for k in range(1, len(b.path) + 1))]
+        found = [b for b in found if _digest("/".join(b.path)) not in cut or (b.stays and _digest(b.text()) not in shared)]
     return "\n".join(b.text() for b in found)
 
 
@@ -161,12 +168,12 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts, pages, paths, contents, styles = [], [], [], [], []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             found = _candidates(page)
-            signature = _digest("\n".join(b.text() for b in found if b.stays) or "\n".join(b.text() for b in found))
+            signature = _digest("\n".join(b.text() for b in found))
             seen = set()
             for b in found:
                 content = _digest(b.text())
                 # the whole page is one node, so that a host's distinct pages can be counted
-                steps = [("", signature)] if b.stays else [("", signature), *(("/".join(b.path[:k]), content) for k in range(1, len(b.path) + 1))]
+                steps = [("", signature), *(("/".join(b.path[:k]), content) for k in range(1, len(b.path) + 1))]
                 for path, value in steps:
                     key = (_digest(path), value)
                     if key not in seen:
@@ -180,31 +187,35 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_paths(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
-    """``host, cut``: digests of the paths whose importance is low, for each host that has any."""
+    """``host, cut, shared``: digests of the paths whose importance is low, and of the contents under
+    them that more than one page has, for each host that has any."""
     root = _digest("")
     rows = pages.mapInArrow(_nodes, "host string, page long, path long, content long, style long").distinct()
     by_content = rows.groupBy("host", "path", "content", "style").agg(F.count("*").alias("n"))
     by_content = stored(by_content, "style-tree")
     size = by_content.filter(F.col("path") == root).groupBy("host").agg(F.count("*").alias("m")).filter(F.col("m") >= least_pages)
-    spread = by_content.filter(F.col("path") != root).join(size, "host")
-    # contents: one minus the mean entropy of each over the pages that hold it
-    content = spread.groupBy("host", "path").agg((1 - F.sum(F.log("n") / F.log("m")) / F.count("*")).alias("content"))
-    shown = spread.groupBy("host", "path", "style").agg(F.sum("n").alias("n"))
+    nodes = by_content.filter(F.col("path") != root)
+    # contents: one minus the mean entropy of each over the pages that hold it; a host's size joins
+    # its paths, not its contents, and only those with a content that pages share
+    content = nodes.groupBy("host", "path").agg(F.sum(F.log("n")).alias("logs"), F.count("*").alias("contents")).filter("logs > 0")
+    shown = nodes.groupBy("host", "path", "style").agg(F.sum("n").alias("n"))
     total = shown.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("styles"))
     presentation = total.select("host", "path", F.when(F.col("styles") > 1, (F.log("all") - F.col("nlogn") / F.col("all")) / F.log("styles")).otherwise(0.0).alias("presentation"), "styles")
-    both = content.join(presentation, ["host", "path"])
+    both = content.join(presentation, ["host", "path"]).join(size, "host").withColumn("content", 1 - F.col("logs") / F.log("m") / F.col("contents"))
     weight = 1 - F.pow(F.lit(DAMPING), F.col("styles"))
     importance = weight * F.col("presentation") + (1 - weight) * F.col("content")
     low = both.filter((F.greatest(importance, F.col("content")) < least_importance))
-    return low.groupBy("host").agg(F.collect_set("path").alias("cut"))
+    # a low path's contents lie on many pages each, so there are few of them
+    repeated = by_content.filter("n > 1").join(low.select("host", "path"), ["host", "path"]).groupBy("host").agg(F.collect_set("content").alias("shared"))
+    return low.groupBy("host").agg(F.collect_set("path").alias("cut")).join(repeated, "host", "left")
 
 
 @lean
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, known = [], {}
-        for page, cut in zip(batch.column("html").to_pylist(), batch.column("cut").to_pylist()):
-            texts.append(extract(page, known.setdefault(tuple(cut), frozenset(cut)) if cut else frozenset()))
+        for page, *own in zip(*(batch.column(c).to_pylist() for c in ("html", "cut", "shared"))):
+            texts.append(extract(page, *(known.setdefault(tuple(x), frozenset(x)) if x else frozenset() for x in own)))
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -216,4 +227,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), host.alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = spread(rows)
     cut = stored(cut_paths(rows.select("host", "html")), "cut-paths")
-    return rows.join(cut, "host", "left").select("page_id", "url", "html", "cut").mapInArrow(_extractor, "page_id long, url string, text string, n_chars long")
+    return rows.join(cut, "host", "left").select("page_id", "url", "html", "cut", "shared").mapInArrow(_extractor, "page_id long, url string, text string, n_chars long")

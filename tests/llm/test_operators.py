@@ -435,6 +435,21 @@ def test_style_tree_cuts_repeated_branches(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_style_tree_cuts_inside_articles(spark):
+    tpl = '<div class="tpl">Follow us</div><div class="tpl"><p>Write to us</p></div><ul>' + "".join(f"<li>Link {i}</li>" for i in range(30)) + "</ul>"
+    rows = [(i, f"http://{t}.example/{i}", f'<{t}><h1>Title {i}</h1>{tpl}<p>Story {i}</p><div class="text">More of {i}</div></{t}>') for i in range(24) for t in [("article", "main")[i % 2]]]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nStory {i}\nMore of {i}" for i in range(24))
+    few = [(i, f"http://f.example/{i}", h) for i, _, h in rows[:4]]
+    assert all("Follow us\nWrite to us\nLink 0" in r.text for r in html_extract.extract_pages(spark.createDataFrame(few, "page_id long, url string, html string")).collect())
+
+
+def test_own_paragraphs_stay_in_cut_elements():
+    page = '<article><div class="tpl"><p>Own</p><p>Shared</p><ul><li>Other</ul></div></article>'
+    paths = {html_extract._digest("/".join(b.path)) for b in html_extract.blocks_of(page)}
+    assert html_extract.extract(page, paths, {html_extract._digest("Shared")}) == "Own"
+
+
 # Quality
 
 
