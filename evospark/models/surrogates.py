@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import ship
 
@@ -273,22 +272,34 @@ def predict(df: DataFrame, model, vector: str = "g", keep: tuple[str, ...] = ())
     return df.select(*dict.fromkeys([*keep, vector])).mapInArrow(run, f"{fields}, mean double, variance double")
 
 
-#: Rows whose values stand in for a feature's distribution.
-POOL = 1_024
+#: Copies of equal rows that a task numbers at once.
+COPIES = 4_096
+
+
+def permuted(df: DataFrame, target: str, vector: str, repeats: int) -> DataFrame:
+    """``target, vector, rep, other``: every row with its donor in each repeat. Rows get ranks in the
+    order of their hash, equal ones a number each so that they spread; a repeat turns the ranks by
+    an offset of its own, so each row gives its values once and no task holds a table."""
+    from ..operators.stats import running
+
+    own = df.groupBy(target, vector).agg(F.count("*").alias("w")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(w - 1) div {COPIES}"))).alias("part")).repartition(vector, "part")
+    own = own.select(target, vector, F.explode(F.sequence(F.col("part") * COPIES + 1, F.least("w", (F.col("part") + 1) * COPIES))).alias("copy"))
+    rows = own.select(target, vector, F.xxhash64(vector, target, "copy").cast("double").alias("at"), F.lit(1).alias("one"))
+    ranked = running(rows, "at", {"rank": "one"}).select(target, vector, "rank")
+    n = df.count()
+    turn = F.pmod(F.xxhash64("rep", F.lit(42)), F.lit(max(1, n - 1))) + min(1, n - 1)
+    placed = ranked.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")).withColumn("donor", F.pmod(F.col("rank") - 1 + turn, F.lit(n)) + 1)
+    return placed.join(ranked.select(F.col("rank").alias("donor"), F.col(vector).alias("other")), "donor").select(target, vector, "rep", "other")
 
 
 def permutation_importance(df: DataFrame, model, target: str, vector: str = "g", repeats: int = 5) -> DataFrame:
-    """Loss of R2 when a feature's values come from other rows, averaged over repeats: rows times
-    features times repeats are one table, scored in bulk. Donors are a pool of fixed size, drawn by
-    hash, which goes to the rows."""
+    """Loss of R2 when a feature's values are permuted over all rows, averaged over repeats: rows
+    times features times repeats are one table, scored in bulk. A repeat's features share donors."""
     from ..operators.stats import regression_metrics
 
     dims = df.select(F.size(vector).alias("n")).first()["n"]
-    rows = df.select(F.xxhash64(vector, target).alias("row"), target, vector)
-    pool = rows.orderBy("row").limit(POOL).select(F.row_number().over(Window.orderBy("row")).alias("slot"), F.col(vector).alias("other"))
-    n = pool.count()
-    grid = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("dim")).select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
-    placed = grid.withColumn("slot", (F.pmod(F.xxhash64("row", "dim", "rep"), F.lit(n)) + 1).cast("int")).join(F.broadcast(pool), "slot")
+    rows = df.select(target, vector)
+    placed = permuted(rows, target, vector, repeats).select("*", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("dim"))
     mixed = placed.withColumn("x", F.transform(vector, lambda v, i: F.when(i == F.col("dim"), F.get("other", i)).otherwise(v)))
     base = F.broadcast(regression_metrics(predict(rows, model, vector, (target,)), target, "mean").select(F.col("r2").alias("base")))
     worse = regression_metrics(predict(mixed, model, "x", ("dim", "rep", target)), target, "mean", ["dim", "rep"])

@@ -106,6 +106,25 @@ def test_surrogates_learn():
     assert M.train(M.Neighbours(), x[:10], y[:10])[1] is None and M.metrics(y[:0], y[:0])["r2"] == 0
 
 
+class _First:
+    """Predicts a row's first feature."""
+
+    def predict(self, x):
+        return x[:, 0], np.zeros(len(x))
+
+
+def test_permutation_of_all_rows(spark):
+    # a third of the rows are equal, and one of 3,000 rows holds nearly all of the variance
+    rows = [([i / 2000, 0.5], i / 2000) for i in range(1999)] + [([1000.0, 0.5], 1000.0)] + [([0.25, 0.5], 0.25)] * 1000
+    df = spark.createDataFrame(rows, "g array<double>, y double").repartition(8)
+    got = M.permuted(df, "y", "g", 4).groupBy("rep").agg(F.sort_array(F.collect_list(F.col("other")[0])).alias("o"), F.sort_array(F.collect_list("y")).alias("y"), F.count_if(F.col("other")[0] == F.col("y")).alias("same")).collect()
+    assert len(got) == 4 and all(r.o == r.y == sorted(y for _, y in rows) and r.same < 600 for r in got)
+    out = {r.dim: r.importance for r in M.permutation_importance(df, _First(), "y", repeats=3).collect()}
+    # a permutation moves the outlier once in and once out: twice the variance is lost
+    assert out[0] == pytest.approx(2, abs=0.02) and out[1] == pytest.approx(0)
+    assert M.permuted(df.limit(1), "y", "g", 2).count() == 2
+
+
 def test_mission_events():
     one = lambda v: np.array([v])
     cl, cd, cm = X.polar(one(5.0), one(2.0), one(0.03), one(0.8))
