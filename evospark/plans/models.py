@@ -13,6 +13,8 @@ from ..operators import tiering as T
 from ..registry import query
 from .base import cache, evaluated, genomes, population, r6
 
+#: Generations that a stored point serves in a replay.
+MAX_AGE = 5
 #: Rows of the training window.
 WINDOW = 400
 
@@ -122,16 +124,18 @@ def tier_evaluate(spark, d):
 
 @query("tier_replay")
 def tier_replay(spark, d):
-    """Tiers of each run's points when every point sees those before it: one fold per run."""
-    e = evaluated(spark, d).select(F.col("island").alias("run"), "vec_id", F.slice("g", 1, 4).alias("g"))
-    series = e.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("vec_id", "g"))).alias("s"))
-    empty = F.array().cast("array<array<double>>")
+    """Tiers of each run's points when every point sees the stored ones before it, of which those
+    more than MAX_AGE generations old are gone: one fold per run."""
+    e = evaluated(spark, d).select(F.col("island").alias("run"), "generation", "vec_id", "g")
+    series = e.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("generation", "vec_id", "g"))).alias("s"))
+    empty = F.array().cast("array<struct<g:array<double>,generation:bigint>>")
     out = F.array().cast("array<struct<vec_id:bigint,tier:string>>")
 
     def step(acc, x):
-        dist = F.array_min(F.transform(acc["seen"], lambda g: F.aggregate(F.zip_with(g, x["g"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)))
+        held = F.filter(acc["seen"], lambda p: x["generation"] - p["generation"] <= MAX_AGE)
+        dist = F.array_min(F.transform(held, lambda p: F.aggregate(F.zip_with(p["g"], x["g"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)))
         tier = F.when(dist < 0.005**2, "T1").when(dist <= 0.15**2, "T2").otherwise("T3")
-        seen = F.when(F.coalesce(tier == "T3", F.lit(True)), F.array_append(acc["seen"], x["g"])).otherwise(acc["seen"])
+        seen = F.when(F.coalesce(tier == "T3", F.lit(True)), F.array_append(held, F.struct(x["g"].alias("g"), x["generation"].alias("generation")))).otherwise(held)
         return F.struct(seen.alias("seen"), F.array_append(acc["out"], F.struct(x["vec_id"].alias("vec_id"), F.coalesce(tier, F.lit("T3")).alias("tier"))).alias("out"))
 
     folded = F.aggregate("s", F.struct(empty.alias("seen"), out.alias("out")), step, lambda a: a["out"])

@@ -125,6 +125,29 @@ def test_permutation_of_all_rows(spark):
     assert M.permuted(df.limit(1), "y", "g", 2).count() == 2
 
 
+def test_tier_replay(spark, tmp_path):
+    from evospark import registry
+
+    def row(i, *g):
+        return (i, 0, [2 * x - 1 for x in (*g, *[0.5] * (10 - len(g)))])
+
+    # run 0 (ids by fours); a generation has fifty ids
+    rows = [row(0), row(4), row(8, 0.6), row(12, 0.5, 0.5, 0.5, 0.5, 0.9)]  # equal, near, far in the fifth gene alone
+    rows += [row(304, 0.5, 0.5, 0.5, 0.5, 0.9), row(308), row(312)]  # six generations on
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.tier for r in registry.QUERIES["tier_replay"](spark, str(tmp_path)).filter("run = 0").collect()}
+    assert got == {0: "T3", 4: "T1", 8: "T2", 12: "T3", 304: "T3", 308: "T3", 312: "T1"}
+
+
+def test_tier_replay_within_age(spark, tmp_path):
+    from evospark import registry
+
+    rows = [(i, 0, [0.0] * 10) for i in (0, 252, 300)]  # generations 0, 5 and 6
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.tier for r in registry.QUERIES["tier_replay"](spark, str(tmp_path)).collect()}
+    assert got == {0: "T3", 252: "T1", 300: "T3"}
+
+
 def test_mission_events():
     one = lambda v: np.array([v])
     cl, cd, cm = X.polar(one(5.0), one(2.0), one(0.03), one(0.8))
