@@ -210,10 +210,11 @@ def queue_backlog(spark, d):
 
 @query("bootstrap_scaling")
 def bootstrap_scaling(spark, d):
-    """Seconds of a generation of 100 for one to eight workers, from resampled latencies."""
-    e = table(spark, d, "events")
-    pool = e.groupBy((F.col("event_id") % 1000).alias("slot")).agg(F.avg("value").alias("ms"))
+    """Seconds of a generation of 100 for one to eight workers, from latencies drawn from all events."""
+    e = table(spark, d, "events").filter("value is not null").select("event_id", F.col("value").alias("ms"), F.lit(1).alias("one"))
+    pool = S.running(e, "event_id", {"rank": "one"}).select((F.col("rank") - 1).alias("slot"), "ms")
+    n = F.broadcast(e.agg(F.count("*").alias("n")).filter("n > 0"))
     draws = spark.range(8).select((F.col("id") + 1).alias("workers"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("item"))
-    draws = draws.select("workers", (F.col("item") % F.col("workers")).alias("worker"), F.pmod(F.xxhash64("workers", "item", F.lit(42)), F.lit(1000)).alias("slot"))
+    draws = draws.join(n).select("workers", (F.col("item") % F.col("workers")).alias("worker"), F.pmod(F.xxhash64("workers", "item", F.lit(42)), F.col("n")).alias("slot"))
     each = draws.join(pool, "slot").groupBy("workers", "worker").agg(F.sum("ms").alias("busy"))
     return each.groupBy("workers").agg(r6(F.max("busy") / 1000).alias("seconds"))

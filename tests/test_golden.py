@@ -148,6 +148,20 @@ def test_tier_replay_within_age(spark, tmp_path):
     assert got == {0: "T3", 252: "T1", 300: "T3"}
 
 
+def test_bootstrap_draws_single_latencies(spark, tmp_path):
+    from evospark import registry
+
+    # one event in ten is slow; averages over a thousand slots hide that
+    spark.range(20_000).select(F.col("id").alias("event_id"), F.when(F.col("id") * 7919 % 20_000 < 2_000, 1000.0).otherwise(0.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.workers: r.seconds for r in registry.QUERIES["bootstrap_scaling"](spark, str(tmp_path)).collect()}
+    assert len(got) == 8 and all(s == int(s) for s in got.values())  # whole latencies
+    # ids without any residue of their own lose no draw
+    few = f"{tmp_path}/few"
+    spark.range(7).select((F.col("id") * 5).alias("event_id"), F.lit(100.0).alias("value")).write.parquet(f"{few}/events.parquet")
+    got = {r.workers: r.seconds for r in registry.QUERIES["bootstrap_scaling"](spark, few).collect()}
+    assert got == {w: pytest.approx(-(-100 // w) / 10) for w in range(1, 9)}
+
+
 def test_mission_events():
     one = lambda v: np.array([v])
     cl, cd, cm = X.polar(one(5.0), one(2.0), one(0.03), one(0.8))
