@@ -1,20 +1,19 @@
 """Embedding near-dedup: spherical k-means cells and blocked cosine products.
 
-Equal vectors are folded into one with a weight first. A spherical k-means, fitted on a bounded
-sample, gives each vector its home cell and the cells whose bisector with the home cell lies
-within ``margin`` of it. A linked pair lies within a chord of sqrt(2 - 2 * 0.95) = 0.316; for any
-direction that leads from one cell to another, the two distances to the bisector add up to no more
-than the chord's part in that direction, so ``margin`` = 0.158 loses no pair at all. The default
-of 0.09 follows from the chord's spread over the dimensions (a standard deviation of 0.04 in 64)
-and is measured against brute force in the tests.
+Equal vectors are folded into one with a weight first. For each length of vectors a spherical
+k-means, fitted on a bounded sample, gives each vector its home cell and the cells whose bisector
+with the home cell lies within ``margin`` of it. A linked pair lies within a chord of
+sqrt(2 - 2 * 0.95) = 0.316; for any direction that leads from one cell to another, the two distances
+to the bisector add up to no more than the chord's part in that direction, so the default, half the
+chord (0.158), loses no pair at all.
 
 Cells are compared in blocks: home vectors of a cell with all vectors in it, a block of each to a
 task's group. A pair that meets in two cells counts in the smaller one. Blocks give each vector's
 number of links and a forest that spans the links, never all pairs.
 
-Defined cases: null or zero vectors, vectors with null or non-finite components and vectors of
-another length than the commonest one link with nothing; repeated rows link with each other; an
-empty table gives an empty result; extra columns are ignored.
+Defined cases: null or zero vectors and vectors with null or non-finite components link with
+nothing; only vectors of one length are compared; equal vectors of different ids link, rows of one
+id don't link with each other; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,22 +52,29 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _assign(centres: np.ndarray, margin: float):
-    # a closure of the centroids alone: their distances are made for the rows at hand
+def _assign(cells: dict[int, tuple[int, np.ndarray]], margin: float):
+    # a closure of the centroids alone, by length with their first number: their distances are made
+    # for the rows at hand
     @lean
     def assign(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                dots = _unit(part.column("embedding")) @ centres.T
-                home = dots.argmax(1)
-                gaps = np.sqrt(np.maximum(2 - 2 * centres[home] @ centres.T, 1e-18))
-                away = (dots[np.arange(len(home)), home][:, None] - dots) / gaps
-                near = away <= margin
-                near[np.arange(len(home)), home] = True
-                row, cell = np.nonzero(near)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(near.sum(1)))), pa.int32()), pa.array(cell, pa.int32()))
-                yield pa.record_batch([part.column("id"), part.column("weight"), part.column("embedding"), pa.array(home, pa.int32()), lists], ["id", "weight", "embedding", "home", "cells"])
+            dims = batch.column("dims").to_numpy()
+            for d in np.unique(dims).tolist():
+                first, centres = cells[d]
+                own = batch.take(pa.array(np.flatnonzero(dims == d)))
+                for at in range(0, own.num_rows, 1024):
+                    yield placed(own.slice(at, 1024), first, centres)
+
+    def placed(part, first, centres):
+        dots = _unit(part.column("embedding")) @ centres.T
+        home = dots.argmax(1)
+        gaps = np.sqrt(np.maximum(2 - 2 * centres[home] @ centres.T, 1e-18))
+        away = (dots[np.arange(len(home)), home][:, None] - dots) / gaps
+        near = away <= margin
+        near[np.arange(len(home)), home] = True
+        row, cell = np.nonzero(near)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(near.sum(1)))), pa.int32()), pa.array(cell + first, pa.int32()))
+        return pa.record_batch([part.column("id"), part.column("weight"), part.column("embedding"), pa.array(home + first, pa.int32()), lists], ["id", "weight", "embedding", "home", "cells"])
 
     return assign
 
@@ -111,34 +117,41 @@ def _compare(threshold: float):
     return compare
 
 
-def link_vectors(df: DataFrame, threshold: float = 0.95, margin: float = 0.09, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, per_cell: int = PER_CELL, block: int = BLOCK) -> DataFrame:
+def link_vectors(df: DataFrame, threshold: float = 0.95, margin: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, per_cell: int = PER_CELL, block: int = BLOCK) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row; see the module's notes."""
     ship(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
     good = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("embedding", F.when(good, F.col("embedding")))
-    sizes = rows.filter("embedding is not null").groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dims")).first()
     plain = [F.col("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")]
-    if sizes is None:
+    if margin is None:
+        margin = float(np.sqrt(max(0.0, (1 - threshold) / 2))) + 1e-6
+    ids = rows.filter("embedding is not null").groupBy("vec_id", "embedding").agg(F.count("*").alias("own"))
+    vectors = stored(ids.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.sum("own").alias("weight"), F.size("embedding").alias("dims")), "vectors")
+    sizes = vectors.groupBy("dims").agg(F.count("*").alias("n")).orderBy("dims").collect()  # a row for each length
+    if not sizes:
         return rows.select(*plain)
-    fits = F.coalesce(F.size("embedding") == sizes["dims"], F.lit(False))
-    vectors = stored(rows.filter(fits).groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "vectors")
-    n = vectors.count()
-    taken = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow().column("embedding").combine_chunks()
-    units = _unit(taken)
-    k = max(1, min(CELLS, n // per_cell, len(units)))
-    centres = fit_cells(units, k)
-    placed = stored(vectors.mapInArrow(_assign(centres, margin), f"id long, weight long, embedding {dict(vectors.dtypes)['embedding']}, home int, cells array<int>"), "placed")
+    cells, first = {}, 0
+    for d, n in sizes:
+        k = max(1, min(CELLS, n // per_cell, sample))
+        if k == 1:
+            centres = np.full((1, d), d**-0.5)
+        else:
+            taken = vectors.filter(F.col("dims") == d).orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow().column("embedding").combine_chunks()
+            centres = fit_cells(_unit(taken), k)
+        cells[d] = (first, centres)
+        first += k
+    placed = stored(vectors.mapInArrow(_assign(cells, margin), f"id long, weight long, embedding {dict(vectors.dtypes)['embedding']}, home int, cells array<int>"), "placed")
     in_cell = placed.select("*", F.explode("cells").alias("cell")).withColumn("at_home", F.col("cell") == F.col("home"))
-    counts = F.broadcast(in_cell.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("at_home").alias("n_home")))  # a row for each of at most CELLS cells
+    counts = F.broadcast(in_cell.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("at_home").alias("n_home")))  # a row for each of at most CELLS cells a length
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
     in_cell = in_cell.join(counts, "cell").select("*", F.pmod(F.xxhash64("id", "cell"), blocks("n")).cast("int").alias("own"), F.pmod(F.xxhash64("cell", "id"), blocks("n_home")).cast("int").alias("own_home"))
     columns = ["cell", "id", "weight", "embedding", "home", "cells"]
     lefts = in_cell.filter("at_home").select(*columns, F.lit(True).alias("is_left"), F.col("own_home").alias("i"), F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("j"))
-    rights = in_cell.select(*columns, F.lit(False).alias("is_left"), F.explode(F.sequence(F.lit(0), blocks("n_home") - 1)).alias("i"), F.col("own").alias("j"))
+    rights = in_cell.withColumn("cells", F.lit(None).cast("array<int>")).select(*columns, F.lit(False).alias("is_left"), F.explode(F.sequence(F.lit(0), blocks("n_home") - 1)).alias("i"), F.col("own").alias("j"))
     found = stored(lefts.union(rights).groupBy("cell", "i", "j").applyInArrow(_compare(threshold), "id long, links long, root long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     reached = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     folded = stored(vectors.join(links, "id", "left").join(reached, "id", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "folded")
-    linked = rows.filter(fits).join(folded, "embedding", "left").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return linked.union(rows.filter(~fits).select(*plain))
+    linked = ids.join(folded, "embedding").select("vec_id", (F.col("n_links") + 1 - F.col("own")).alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), F.explode(F.array_repeat(F.lit(0), F.col("own").cast("int")))).drop("col")
+    return linked.union(rows.filter("embedding is null").select(*plain))

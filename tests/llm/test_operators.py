@@ -314,6 +314,22 @@ def test_embedding_recall_of_default_margin(spark):
     assert want.sum() > 500 and sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in got)
 
 
+def test_embeddings_of_every_length_and_no_lost_link(spark):
+    rng = np.random.default_rng(6)
+    sets = {4: rng.normal(size=(1500, 4)), 32: rng.normal(size=(800, 32)), 2: np.array([[1.0, 2.0], [1.0, 2.0], [2.0, 4.0]])}
+    sets[32][400:] = sets[32][rng.integers(0, 200, 400)] + 0.15 * rng.normal(size=(400, 32))
+    want, rows = {}, []
+    for x in sets.values():
+        u, at = x / np.linalg.norm(x, axis=1)[:, None], len(rows)
+        linked = u @ u.T >= 0.95
+        links = [(at + a, at + b) for a, b in zip(*np.nonzero(np.triu(linked, 1)))]
+        roots = _components(range(at, at + len(x)), links)
+        want |= {at + i: (linked[i].sum() - 1, roots[at + i]) for i in range(len(x))}
+        rows += [(at + i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link_vectors(df).collect()} == want
+
+
 # Repeated passages
 
 
