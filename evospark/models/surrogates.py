@@ -1,8 +1,8 @@
 """Gaussian process, k-nearest neighbours, random forest and multi-layer perceptron.
 
-Training sets are bounded by the sliding window (a thousand rows); a fit runs on the driver, or in
-one task for each candidate of a search, and predictions run over tables of any size in Arrow
-batches. Every model offers ``fit(x, y)`` and ``predict(x) -> (mean, variance)``.
+Training sets of the online models and of every Gaussian process are bounded by the sliding window
+(a thousand rows); a fit runs on the driver, or in one task for each candidate of a search, and
+predictions run over tables of any size in Arrow batches. Every model offers ``fit(x, y)`` and ``predict(x) -> (mean, variance)``.
 """
 
 from __future__ import annotations
@@ -86,6 +86,10 @@ class Neighbours:
         return self
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        step = max(1, 4_000_000 // self.x.size)  # differences of 32 MB at once
+        if len(x) > step:
+            each = [self.predict(x[at : at + step]) for at in range(0, len(x), step)]
+            return np.concatenate([m for m, _ in each]), np.concatenate([v for _, v in each])
         d = np.sqrt(((self.scaler.transform(x)[:, None, :] - self.x[None]) ** 2).sum(-1))
         near = np.argsort(d, axis=1, kind="stable")[:, : self.k]
         dist = np.take_along_axis(d, near, 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -10,13 +12,14 @@ from ..models import mission as X
 from ..models import surrogates as M
 from ..operators import evolution as E
 from ..operators import tiering as T
+from ..operators.stats import regression_metrics
 from ..registry import query
 from .base import cache, evaluated, genomes, population, r6
 
 #: Generations that a stored point serves in a replay.
 MAX_AGE = 5
-#: Rows of the training window.
-WINDOW = 400
+#: Rows of the online surrogates' training window, and the most that a Gaussian process trains on.
+WINDOW = 1_000
 
 
 def window(spark, d):
@@ -25,6 +28,32 @@ def window(spark, d):
     return np.array([r["g"] for r in rows]), np.array([r["fitness"] for r in rows])
 
 
+def arrays(df):
+    """``g`` and ``fitness`` of a table, in the order of ``vec_id``; 88 bytes a row on the driver."""
+    t = df.select("vec_id", "g", "fitness").orderBy("vec_id").toArrow()
+    return t.column("g").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1), t.column("fitness").to_numpy()
+
+
+def parts(spark, d, *shares):
+    """The whole table with ``part``, dealt by hash of the id; the shares are in tenths."""
+    at = F.pmod(F.xxhash64("vec_id", F.lit(42)), F.lit(10))
+    edges = np.cumsum(shares).tolist()
+    part = F.lit(len(edges) - 1)
+    for i, edge in reversed(list(enumerate(edges[:-1]))):
+        part = F.when(at < edge, i).otherwise(part)
+    return evaluated(spark, d).select("vec_id", "g", "fitness", part.alias("part"))
+
+
+def latest(rows):
+    """What a Gaussian process trains on: the newest WINDOW rows."""
+    return rows.orderBy(F.desc("vec_id")).limit(WINDOW)
+
+
+def scored(rows, model):
+    """Metrics over a table of any size."""
+    return regression_metrics(M.predict(rows, model, "g", ("fitness",)), "fitness", "mean")
+
+
 def _predictions(spark, d, model):
     x, y = window(spark, d)
     model, _ = M.train(model, x, y)
@@ -41,7 +70,7 @@ def gp_predict(spark, d):
 def gp_optimize(spark, d):
     """Length scales by likelihood, and the relevance that follows from them."""
     x, y = window(spark, d)
-    gp = M.optimize_gp(spark, x[:120], y[:120])
+    gp = M.optimize_gp(spark, x, y)
     return spark.createDataFrame([(i, float(v), gp.log_likelihood) for i, v in enumerate(gp.scales)], "dim int, scale double, log_likelihood double")
 
 
@@ -59,30 +88,34 @@ def mlp_predict(spark, d):
 
 @query("model_compare")
 def model_compare(spark, d):
-    """Held-out metrics of the four surrogates."""
-    x, y = window(spark, d)
-    a, _, c = M.split(len(y))
+    """Metrics of the four surrogates on the held-out fifth of the whole table. All train on three
+    fifths, the Gaussian process on the newest WINDOW rows of these."""
+    rows = parts(spark, d, 6, 2, 2)
+    training, held = rows.filter("part = 0"), rows.filter("part = 2")
+    x, y = arrays(training)
     models = {"gp": M.GaussianProcess(), "knn": M.Neighbours(), "rf": M.RandomForest(trees=30, depth=8), "mlp": M.Perceptron(epochs=100)}
-    rows = [(n, *(round(v, 6) for v in M.metrics(y[c], m.fit(x[a], y[a]).predict(x[c])[0]).values())) for n, m in models.items()]
-    return spark.createDataFrame(rows, "model string, r2 double, rmse double, mae double, max_residual double")
+    out = [scored(held, m.fit(*((x[-WINDOW:], y[-WINDOW:]) if n == "gp" else (x, y)))).select(F.lit(n).alias("model"), *(r6(c).alias(c) for c in ("r2", "rmse", "mae", "max_residual"))) for n, m in models.items()]
+    return reduce(lambda a, b: a.union(b), out)
 
 
 @query("learning_curve")
 def learning_curve(spark, d):
-    """Validation R2 of the Gaussian process by the size of its training set."""
-    x, y = window(spark, d)
-    a, b, _ = M.split(len(y))
-    rows = [(n, round(M.metrics(y[b], M.GaussianProcess().fit(x[a[:n]], y[a[:n]]).predict(x[b])[0])["r2"], 6)) for n in (20, 40, 80, 160, len(a))]
-    return spark.createDataFrame(rows, "n int, r2 double")
+    """R2 of the Gaussian process on the validation fifth of the whole table, by the size of its
+    training set, of up to WINDOW rows."""
+    rows = parts(spark, d, 6, 2, 2)
+    x, y = arrays(latest(rows.filter("part = 0")))
+    a = np.random.default_rng(42).permutation(len(y))
+    out = [scored(rows.filter("part = 1"), M.GaussianProcess().fit(x[a[:n]], y[a[:n]])).select(F.lit(n).alias("n"), r6("r2").alias("r2")) for n in (20, 40, 80, 160, len(a))]
+    return reduce(lambda a, b: a.union(b), out)
 
 
 @query("cross_validation")
 def cross_validation(spark, d):
-    """Five-fold R2 of the Gaussian process."""
-    x, y = window(spark, d)
-    fold = np.random.default_rng(42).permutation(len(y)) % 5
-    rows = [(k, round(M.metrics(y[fold == k], M.GaussianProcess().fit(x[fold != k], y[fold != k]).predict(x[fold == k])[0])["r2"], 6)) for k in range(5)]
-    return spark.createDataFrame(rows, "fold int, r2 double")
+    """R2 of the Gaussian process on each fifth of the whole table, trained on the newest WINDOW rows
+    of the others."""
+    rows = parts(spark, d, 2, 2, 2, 2, 2)
+    out = [scored(rows.filter(F.col("part") == k), M.GaussianProcess().fit(*arrays(latest(rows.filter(F.col("part") != k))))).select(F.lit(k).alias("fold"), r6("r2").alias("r2")) for k in range(5)]
+    return reduce(lambda a, b: a.union(b), out)
 
 
 @query("permutation_importance")

@@ -162,6 +162,38 @@ def test_bootstrap_draws_single_latencies(spark, tmp_path):
     assert got == {w: pytest.approx(-(-100 // w) / 10) for w in range(1, 9)}
 
 
+def test_models_use_the_whole_table(spark, tmp_path, monkeypatch):
+    from evospark.plans import models as P
+
+    rng = np.random.default_rng(3)
+    n = 1500
+    spark.createDataFrame([(i, 0, rng.uniform(-1, 1, 10).tolist()) for i in range(n)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    d, trained, tried, tested = str(tmp_path), [], [], []
+    gp_fit, predict = M.GaussianProcess.fit, M.predict
+    monkeypatch.setattr(M.GaussianProcess, "fit", lambda self, x, y: trained.append(len(y)) or gp_fit(self, x, y))
+    monkeypatch.setattr(M, "predict", lambda df, *a: tested.append(df.count()) or predict(df, *a))
+    monkeypatch.setattr(M, "optimize_gp", lambda spark, x, y: tried.append(len(y)) or M.GaussianProcess(scales=np.ones(10)).fit(x[:50], y[:50]))
+    P.gp_optimize(spark, d)
+    assert tried == [1000] and len(P.window(spark, d)[1]) == 1000
+    trained.clear()
+    assert P.cross_validation(spark, d).count() == 5
+    assert sum(tested) == n and trained == [1000] * 5  # every row is held out once
+    trained.clear(), tested.clear()
+    assert P.learning_curve(spark, d).count() == 5 and max(trained) > 800 and min(tested) > 200
+    tested.clear()
+    fits = {}
+    for m in (M.Neighbours, M.RandomForest, M.Perceptron):
+        monkeypatch.setattr(m, "fit", lambda self, x, y, m=m, fit=m.fit: fits.update({m: len(y)}) or fit(self, x[:50], y[:50]))
+    assert P.model_compare(spark, d).count() == 4 and min(fits.values()) > 800 and min(tested) > 200
+
+
+def test_neighbours_in_parts():
+    rng = np.random.default_rng(1)
+    x, q = rng.random((50_000, 4)), rng.random((45, 4))
+    m = M.Neighbours().fit(x, x[:, 0])
+    assert np.allclose(m.predict(q)[0], np.concatenate([m.predict(q[i : i + 1])[0] for i in range(45)]))
+
+
 def test_mission_events():
     one = lambda v: np.array([v])
     cl, cd, cm = X.polar(one(5.0), one(2.0), one(0.03), one(0.8))
