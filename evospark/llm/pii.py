@@ -232,6 +232,18 @@ def train(spark: SparkSession, n: int = EXAMPLES) -> Model:
 ADDED = "array<struct<start:int,end:int,kind:string,score:double>>"
 
 
+def _meets(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def selected(spans: Column) -> Column:
+    """Spans by falling score, then start and kind, without those that meet one kept before."""
+    order = F.transform(spans, lambda s: F.struct((-s["score"]).alias("last"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    none = F.array().cast("array<struct<last:double,start:int,kind:string,end:int>>")
+    kept = F.aggregate(F.array_sort(order), none, lambda acc, s: F.when(F.exists(acc, lambda k: _meets(s, k)), acc).otherwise(F.array_append(acc, s)))
+    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), (-s["last"]).alias("score"))).cast(ADDED)
+
+
 def added_spans(text: Column, base: Column, model: Model) -> Column:
     """The selected proposals: none within a base span, the best of those that overlap."""
     def proposals(g: int) -> Column:
@@ -246,11 +258,8 @@ def added_spans(text: Column, base: Column, model: Model) -> Column:
 
     parts = [proposals(g) for g in range(len(GENERATORS))]
     found = F.concat(*parts).cast(ADDED)
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    free = F.filter(found, lambda s: ~F.exists(base, lambda b: meets(s, b)))
-    better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind"] < b["kind"]))))
-    kept = F.filter(free, lambda s: ~F.exists(free, lambda o: meets(s, o) & better(o, s)))
-    return F.when(F.size(found) > 0, kept).otherwise(F.array().cast(ADDED))
+    free = F.filter(found, lambda s: ~F.exists(base, lambda b: _meets(s, b)))
+    return F.when(F.size(found) > 0, selected(free)).otherwise(F.array().cast(ADDED))
 
 
 PLACED = "array<struct<start:int,rank:int,end:int,kind:string>>"

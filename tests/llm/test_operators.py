@@ -423,6 +423,14 @@ def test_sentencepiece_query(spark, odd):
     assert sentencepiece_viterbi.encode(odd.limit(0)).count() == 0
 
 
+def test_pii_keeps_what_no_kept_span_covers(spark):
+    # a meets b and b meets c, but a doesn't meet c: with a > b > c both a and c stay
+    spans = [(0, 30, "credential", 0.8), (0, 12, "secret", 0.9), (13, 30, "secret", 0.7), (40, 50, "secret", 0.5), (40, 50, "address", 0.5)]
+    df = spark.createDataFrame([(spans,), ([],)], f"s {pii.ADDED}").select(pii.selected(F.col("s")).alias("s"))
+    got = sorted([sorted((s.start, s.end, s.kind) for s in r.s) for r in df.collect()])
+    assert got == [[], [(0, 12, "secret"), (13, 30, "secret"), (40, 50, "address")]]
+
+
 # HTML
 
 
