@@ -77,13 +77,13 @@ def gp_optimize(spark, d):
 @query("rf_predict")
 def rf_predict(spark, d):
     """Random forest means and variances between trees."""
-    return _predictions(spark, d, M.RandomForest(trees=30, depth=8))
+    return _predictions(spark, d, M.RandomForest())
 
 
 @query("mlp_predict")
 def mlp_predict(spark, d):
     """Perceptron predictions."""
-    return _predictions(spark, d, M.Perceptron(epochs=100))
+    return _predictions(spark, d, M.Perceptron())
 
 
 @query("model_compare")
@@ -93,7 +93,7 @@ def model_compare(spark, d):
     rows = parts(spark, d, 6, 2, 2)
     training, held = rows.filter("part = 0"), rows.filter("part = 2")
     x, y = arrays(training)
-    models = {"gp": M.GaussianProcess(), "knn": M.Neighbours(), "rf": M.RandomForest(trees=30, depth=8), "mlp": M.Perceptron(epochs=100)}
+    models = {"gp": M.GaussianProcess(), "knn": M.Neighbours(), "rf": M.RandomForest(), "mlp": M.Perceptron()}
     out = [scored(held, m.fit(*((x[-WINDOW:], y[-WINDOW:]) if n == "gp" else (x, y)))).select(F.lit(n).alias("model"), *(r6(c).alias(c) for c in ("r2", "rmse", "mae", "max_residual"))) for n, m in models.items()]
     return reduce(lambda a, b: a.union(b), out)
 
@@ -124,7 +124,7 @@ def permutation_importance(spark, d):
     x, y = window(spark, d)
     model, _ = M.train(M.GaussianProcess(), x, y)
     rows = evaluated(spark, d).select("g", "fitness")
-    return M.permutation_importance(rows, model, "fitness", repeats=3).select("dim", r6("importance").alias("importance")).orderBy(F.desc("importance"), "dim")
+    return M.permutation_importance(rows, model, "fitness", repeats=30).select("dim", r6("importance").alias("importance")).orderBy(F.desc("importance"), "dim")
 
 
 @query("pca")

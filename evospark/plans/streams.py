@@ -77,7 +77,7 @@ def online_training(spark, d):
     stream = spark.readStream.schema("event_id bigint, g array<double>, fitness double").option("maxFilesPerTrigger", 1).parquet(path)
     registry = W.Registry()
     fit = lambda held: M.GaussianProcess().fit(np.array([h[0] for h in held]), np.array([h[1] for h in held]))
-    W.online_training(stream, registry, fit, cap=200, least=50).awaitTermination()
+    W.online_training(stream, registry, fit).awaitTermination()
     version, model = registry.active
     out = M.predict(rows, model, "g", ("event_id", "fitness"))
     return out.agg(F.lit(version).alias("version"), r6(F.corr("fitness", "mean")).alias("corr"))

@@ -187,6 +187,20 @@ def test_models_use_the_whole_table(spark, tmp_path, monkeypatch):
     assert P.model_compare(spark, d).count() == 4 and min(fits.values()) > 800 and min(tested) > 200
 
 
+def test_queries_have_the_operators_settings(spark, tmp_path, monkeypatch):
+    from evospark.plans import models as P
+
+    seen = []
+    monkeypatch.setattr(P, "_predictions", lambda spark, d, model: seen.append(model))
+    P.rf_predict(spark, ""), P.mlp_predict(spark, "")
+    assert (seen[0].trees, seen[0].depth, seen[1].epochs) == (150, 12, 300)
+    x = np.random.default_rng(2).random((60, 3))
+    gp = M.optimize_gp(spark, x, np.sin(6 * x[:, 0]))
+    assert gp.scales[0] < 0.5 * min(gp.scales[1:])  # a sweep visits every dimension
+    fixed = lambda k, f: M.GaussianProcess(scales=np.where(np.arange(3) == k, gp.scales * f, gp.scales)).fit(x, np.sin(6 * x[:, 0])).log_likelihood
+    assert all(fixed(k, f) < gp.log_likelihood + 0.01 for k in range(3) for f in M.FACTORS if 0.05 <= gp.scales[k] * f <= 50)
+
+
 def test_neighbours_in_parts():
     rng = np.random.default_rng(1)
     x, q = rng.random((50_000, 4)), rng.random((45, 4))
