@@ -1,35 +1,34 @@
 """HTML extraction by site style trees.
 
 Pages of a host are merged into one style tree, whose nodes are paths of tags with their
-presentation (class, id, role). A node's importance comes from two entropies over the host's
-distinct pages: of the presentations that its children show, and of the contents under it. A
-content that many pages share spreads over them and has a high entropy, so its node matters
-little; contents of one page each make a node matter. Blocks whose element has a low importance
-are cut from every page, inside ``article`` and ``main`` as well as on pages without them; a
-container's mean never takes a block whose own element matters. Importance needs evidence: a host
-with few distinct pages cuts nothing.
+presentation (class, id, role). Two entropies over the host's distinct pages tell how much a node
+matters. The presentations that its children show: many different ones matter. The contents that its
+own text shows: a content that n of m pages share has the entropy log n, and its importance is
+1 - log n / log(m + PRIOR); a node's is the mean of its contents. PRIOR stands for pages with a
+content of their own that weren't seen, so that a host of a few pages gives little evidence.
+
+A block goes if its element has a low importance, or if its own content has half of that or less,
+inside ``article`` and ``main`` as well as on pages without them. In an element of low importance a
+heading or paragraph of the article stays if its text is on no other page of the host.
 
 What a tag or its class says comes first where it is plain: menus, page headers and footers,
 sidebars, notices, adverts, forms, comments, scripts and styles go whatever their entropy (an
 advert that differs on every page has the statistics of an article), and a page with an
-``article`` or ``main`` element is read from it alone. A heading or paragraph of the article stays
-in an element of low importance if its text is on no other page of the host. A repeated text whose
-element has the same path as the page's own paragraphs stays, since the path matters.
+``article`` or ``main`` element is read from it alone. A class counts only if all its words name such
+things, and never on headings, paragraphs and quotations.
 
 Defined cases: null or empty html, and pages without a main text, give the empty text; a page
 whose url has no host belongs to the empty host; repeated rows each get their row and count once
 in a tree; an empty table gives an empty result; extra columns are ignored.
 
-Scale: trees are sums over (host, path, content), combined before the shuffle, so a host with a
-third of the pages is no task of its own; only the cut paths of a host, and the contents that
-several pages share under them, join its pages.
+Scale: a page gives a row for each content and each element, whatever its depth. Trees are sums over
+(host, path, content), combined before the shuffle, so a host with a third of the pages is no task of
+its own. What a host cuts is on m ** 0.75 pages at least by the geometric mean, so that m pages of b
+blocks have no more than b * (m + PRIOR) ** 0.25 such contents; that row alone joins its pages.
 """
 
 from __future__ import annotations
 
-import hashlib
-import html
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,184 +37,86 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import lean, spread, stored
+from .html_scan import HEADINGS, Block, blocks_of, digest
 
-#: Distinct pages of a host before its tree counts, the importance below which a branch goes, and
-#: the weight that a level passes on to the one above.
-LEAST_PAGES, LEAST_IMPORTANCE, DAMPING = 5, 0.25, 0.9
-
-# Fixed values of HTML: elements by kind.
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript xmp iframe noembed noframes template".split())
-BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = RAW | set("nav footer aside form head button select option datalist svg math canvas object audio video dialog menu input label".split())
-HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Pages of their own that are taken for granted, the importance below which a branch goes, and the
+#: weight that a presentation passes on to the contents.
+PRIOR, LEAST_IMPORTANCE, DAMPING = 4, 0.25, 0.9
 #: Inside article and main these stay in a cut element if their text is the page's own.
 STAYS = HEADINGS | {"p"}
-#: A start tag closes an open element of these kinds first.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "li", "dd", "dt", "tbody", "thead", "tfoot", "caption", "summary"}
-#: Words of a class, id or role that name what isn't main text.
-NOISE = set("ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_STYLE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
-
-
-def _digest(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-class Block:
-    """Text of one block, the path of the element that holds it, and what its branch says."""
-
-    __slots__ = ("parts", "path", "noise", "main", "stays")
-
-    def __init__(self, path: tuple[str, ...], noise: bool, main: bool, stays: bool):
-        self.parts, self.path, self.noise, self.main, self.stays = [], path, noise, main, stays
-
-    def text(self) -> str:
-        return " ".join(html.unescape("".join(self.parts)).split())
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks with text, in order."""
-    out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool, bool, bool]] = [("", (), False, False, False)]
-    block: Block | None = None
-    at, raw = 0, ""
-
-    def add(text: str) -> None:
-        nonlocal block
-        if block is None:
-            if not text.strip():
-                return
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in BLOCKS), len(stack) - 1)
-            block = Block(stack[k][1], stack[-1][2], stack[-1][3], stack[-1][4])
-            out.append(block)
-        block.parts.append(text)
-
-    for m in _TOKEN.finditer(page):
-        tag = (m[2] or "").lower()
-        if raw:
-            if not (m[1] and tag == raw):
-                continue
-            raw = ""
-            at = m.end()
-            stack.pop()
-            continue
-        if m.start() > at and not stack[-1][2]:
-            add(page[at : m.start()])
-        at = m.end()
-        if not tag:
-            continue
-        if tag == "br":
-            if block is not None:
-                block.parts.append(" ")
-            continue
-        if m[1]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if k:
-                if any(s[0] in BLOCKS for s in stack[k:]) or stack[k][2] != stack[k - 1][2]:
-                    block = None
-                del stack[k:]
-            continue
-        if tag in BLOCKS:
-            block = None
-            if tag in CLOSES_P and any(s[0] == "p" for s in stack):
-                k = max(i for i, s in enumerate(stack) if s[0] == "p")
-                if not any(s[0] in BLOCKS - {"p"} for s in stack[k + 1 :]):
-                    del stack[k:]
-            if tag in CLOSES and stack[-1][0] in CLOSES[tag]:
-                stack.pop()
-        if tag in VOID:
-            continue
-        _, path, noise, main, stays = stack[-1]
-        look = {a.lower(): (x or y or z or "").lower() for a, x, y, z in _STYLE.findall(m[3])} if m[3] else {}
-        label = tag + "".join(f"[{k}={v}]" for k, v in sorted(look.items()))
-        known = tag in DROPPED or (tag == "header" and not main) or (tag not in ("html", "body", "article", "main") and not NOISE.isdisjoint(_WORD.findall(" ".join(look.values()))))
-        main = main or tag in ("article", "main")
-        inner = (tag, (*path, label) if tag in BLOCKS or look else path, noise or known, main, (stays or tag in STAYS) if main else False)
-        if m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
-            continue
-        stack.append(inner)
-        if tag in RAW:
-            raw = tag
-    if not raw and at < len(page) and not stack[-1][2]:
-        add(page[at:])
-    return [b for b in out if b.text()]
-
-
-def _candidates(page: str) -> list[Block]:
-    found = [b for b in blocks_of(page) if not b.noise]
-    inside = [b for b in found if b.main]
-    return inside or found
-
-
-def extract(page: str, cut: frozenset[int] | set[int] = frozenset(), shared: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text; ``cut`` holds digests of the paths that the host's tree cuts, ``shared`` those
-    of the contents under them that more than one page has."""
-    found = _candidates(page)
-    if cut:
-        found = [b for b in found if _digest("/".join(b.path)) not in cut or (b.stays and _digest(b.text()) not in shared)]
-    return "\n".join(b.text() for b in found)
+NOTHING: frozenset[int] = frozenset()
+
+
+def candidates(page: str) -> list[Block]:
+    """The blocks that tags and classes leave."""
+    found = blocks_of(page)
+    return [b for b in found if b.main] or found
+
+
+def extract(page: str, cut: frozenset[int] = NOTHING, shared: frozenset[int] = NOTHING, common: frozenset[int] = NOTHING) -> str:
+    """The main text. ``cut`` holds the paths that the host's tree cuts, ``shared`` the contents under
+    them that more than one page has, ``common`` the contents of low importance."""
+    found = candidates(page)
+    if cut or common:
+        own = lambda b: b.main and b.node.tag in STAYS and b.content not in shared
+        found = [b for b in found if b.content not in common and (b.node.path not in cut or own(b))]
+    return "\n".join(b.text for b in found)
+
+
+PAGE, CONTENT, PRESENTATION = 0, 1, 2
 
 
 @lean
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per (page, path, content) of the candidate branches that entropy may cut."""
+    """A row for a page, for each of its contents with its element's path, and for each element with
+    its parent's path and its own presentation."""
     for batch in batches:
-        hosts, pages, paths, contents, styles = [], [], [], [], []
+        out = []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            found = _candidates(page)
-            signature = _digest("\n".join(b.text() for b in found))
+            found = candidates(page)
+            signature = digest("\n".join(b.text for b in found))
+            rows = {(PAGE, 0, signature)}
             seen = set()
             for b in found:
-                content = _digest(b.text())
-                # the whole page is one node, so that a host's distinct pages can be counted
-                steps = [("", signature), *(("/".join(b.path[:k]), content) for k in range(1, len(b.path) + 1))]
-                for path, value in steps:
-                    key = (_digest(path), value)
-                    if key not in seen:
-                        seen.add(key)
-                        hosts.append(host)
-                        pages.append(signature)
-                        paths.append(key[0])
-                        contents.append(value)
-                        styles.append(_digest("|".join(b.path[len(path.split("/")) :][:1])) if path else 0)
-        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(paths, pa.int64()), pa.array(contents, pa.int64()), pa.array(styles, pa.int64())], ["host", "page", "path", "content", "style"])
-
-
-def cut_paths(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
-    """``host, cut, shared``: digests of the paths whose importance is low, and of the contents under
-    them that more than one page has, for each host that has any."""
-    root = _digest("")
-    rows = pages.mapInArrow(_nodes, "host string, page long, path long, content long, style long").distinct()
-    by_content = rows.groupBy("host", "path", "content", "style").agg(F.count("*").alias("n"))
-    by_content = stored(by_content, "style-tree")
-    size = by_content.filter(F.col("path") == root).groupBy("host").agg(F.count("*").alias("m")).filter(F.col("m") >= least_pages)
-    nodes = by_content.filter(F.col("path") != root)
-    # contents: one minus the mean entropy of each over the pages that hold it; a host's size joins
-    # its paths, not its contents, and only those with a content that pages share
-    content = nodes.groupBy("host", "path").agg(F.sum(F.log("n")).alias("logs"), F.count("*").alias("contents")).filter("logs > 0")
-    shown = nodes.groupBy("host", "path", "style").agg(F.sum("n").alias("n"))
-    total = shown.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("styles"))
-    presentation = total.select("host", "path", F.when(F.col("styles") > 1, (F.log("all") - F.col("nlogn") / F.col("all")) / F.log("styles")).otherwise(0.0).alias("presentation"), "styles")
-    both = content.join(presentation, ["host", "path"]).join(size, "host").withColumn("content", 1 - F.col("logs") / F.log("m") / F.col("contents"))
+                rows.add((CONTENT, b.node.path, b.content))
+                node = b.node
+                while node is not None and node.parent is not None and id(node) not in seen:
+                    seen.add(id(node))
+                    rows.add((PRESENTATION, node.parent.path, node.style))
+                    node = node.parent
+            out += [(host, signature, *row) for row in rows]
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, kinds)], ["host", "page", "kind", "path", "value"])
+
+
+def cut_paths(pages: DataFrame, prior: int = PRIOR, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
+    """``host, cut, shared, common`` of ``pages`` (host, html), for each host that cuts anything."""
+    rows = pages.mapInArrow(_nodes, "host string, page long, kind int, path long, value long").distinct()
+    tree = stored(rows.groupBy("host", "kind", "path", "value").agg(F.count("*").alias("n")), "style-tree")
+    size = tree.filter(F.col("kind") == PAGE).groupBy("host").agg(F.log(F.count("*") + prior).alias("log_m"))
+    contents = tree.filter(F.col("kind") == CONTENT)
+    # a host's size joins its paths, not its contents, and only those with a content that pages share
+    content = contents.groupBy("host", "path").agg(F.sum(F.log("n")).alias("logs"), F.count("*").alias("contents")).filter("logs > 0")
+    total = tree.filter(F.col("kind") == PRESENTATION).groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("styles"))
+    presentation = total.select("host", "path", "styles", F.when(F.col("styles") > 1, (F.log("all") - F.col("nlogn") / F.col("all")) / F.log("styles")).otherwise(0.0).alias("presentation"))
+    both = content.join(size, "host").join(presentation, ["host", "path"], "left").fillna(0, ["styles", "presentation"])
+    both = both.withColumn("content", 1 - F.col("logs") / F.col("log_m") / F.col("contents"))
     weight = 1 - F.pow(F.lit(DAMPING), F.col("styles"))
     importance = weight * F.col("presentation") + (1 - weight) * F.col("content")
-    low = both.filter((F.greatest(importance, F.col("content")) < least_importance))
-    # a low path's contents lie on many pages each, so there are few of them
-    repeated = by_content.filter("n > 1").join(low.select("host", "path"), ["host", "path"]).groupBy("host").agg(F.collect_set("content").alias("shared"))
-    return low.groupBy("host").agg(F.collect_set("path").alias("cut")).join(repeated, "host", "left")
+    low = both.filter(F.greatest(importance, F.col("content")) < least_importance).select("host", "path")
+    several = contents.filter("n > 1")
+    shared = several.join(low, ["host", "path"]).select("host", F.lit("shared").alias("what"), "value")
+    common = several.join(size, "host").filter(1 - F.log("n") / F.col("log_m") < least_importance / 2).select("host", F.lit("common").alias("what"), "value")
+    every = low.select("host", F.lit("cut").alias("what"), F.col("path").alias("value")).union(shared).union(common)
+    return every.groupBy("host").agg(*(F.collect_set(F.when(F.col("what") == w, F.col("value"))).alias(w) for w in ("cut", "shared", "common")))
 
 
 @lean
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, known = [], {}
-        for page, *own in zip(*(batch.column(c).to_pylist() for c in ("html", "cut", "shared"))):
-            texts.append(extract(page, *(known.setdefault(tuple(x), frozenset(x)) if x else frozenset() for x in own)))
+        for page, *own in zip(*(batch.column(c).to_pylist() for c in ("html", "cut", "shared", "common"))):
+            texts.append(extract(page, *(known.setdefault(tuple(x), frozenset(x)) if x else NOTHING for x in own)))
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -227,4 +128,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), host.alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = spread(rows)
     cut = stored(cut_paths(rows.select("host", "html")), "cut-paths")
-    return rows.join(cut, "host", "left").select("page_id", "url", "html", "cut", "shared").mapInArrow(_extractor, "page_id long, url string, text string, n_chars long")
+    return rows.join(cut, "host", "left").select("page_id", "url", "html", "cut", "shared", "common").mapInArrow(_extractor, "page_id long, url string, text string, n_chars long")

@@ -2,15 +2,18 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evospark.llm import embedding_dedup, graph, html_extract, minhash_dedup, packing, pii, quality, sentencepiece_viterbi, suffix_dedup, tiff, token_counts
+from evospark.llm import embedding_dedup, graph, html_extract, html_scan, minhash_dedup, packing, pii, quality, sentencepiece_viterbi, suffix_dedup, tiff, token_counts
 from evospark.llm.byte_bpe import ByteBpe, default_path
 
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "two words"), (5, "two words"), (None, "no id é 😀"), (6, "x" * 60_000), (7, "a b c d e f " * 3_000)]
@@ -513,8 +516,94 @@ def test_style_tree_cuts_inside_articles(spark):
 
 def test_own_paragraphs_stay_in_cut_elements():
     page = '<article><div class="tpl"><p>Own</p><p>Shared</p><ul><li>Other</ul></div></article>'
-    paths = {html_extract._digest("/".join(b.path)) for b in html_extract.blocks_of(page)}
-    assert html_extract.extract(page, paths, {html_extract._digest("Shared")}) == "Own"
+    paths = {b.node.path for b in html_scan.blocks_of(page)}
+    assert html_extract.extract(page, paths, {html_scan.digest("Shared")}) == "Own"
+
+
+def test_no_page_is_lost_to_odd_markup():
+    good = "<article><p>good text</p></article>"
+    for odd in ("<script>for(i=0;i<n;i++){}</script>", "<script><!-- x </script>", "<title>if a<b then</title>", "<!--> -->", "<!-- <article> -->", "<style>a>b{}</STYLE >", "< 5 <> </>", "<a href='x\" title=y'>", '<a title="it\'s > that">k</a>', "<textarea><article></textarea>"):
+        assert html_extract.extract(odd + good) == "good text", odd
+    assert html_extract.extract("<p>1 < 2 & 3 > 2</p>") == "1 < 2 & 3 > 2"
+    assert html_extract.extract("<article><p class='related-work'>a</p><div class='social-science'>b</div><section class='comments-of-the-press'>c</section><div class='userComments'>d</div><h2 id='ad'>e</h2></article>") == "a\nb\nc\ne"
+
+
+@pytest.mark.parametrize("odd", ["<a ", '<a href="', "<!--", "<script>", "<p><b>", "</p", "<div>", "<title>", "a<b>", "<a b='", "<li>x", "<b>x</i>"])
+def test_scanning_takes_linear_time(odd):
+    start = time.perf_counter()
+    html_extract.extract(odd * (1_000_000 // len(odd)))
+    assert time.perf_counter() - start < 15
+
+
+def test_deep_nesting():
+    page = "".join(f"<div class=c{i}>t{i}" for i in range(5_000)) + "</div>" * 5_000
+    assert html_extract.extract(page) == "\n".join(f"t{i}" for i in range(5_000))
+
+
+def _brute_trees(rows):
+    """The main text of well-formed pages from one dictionary for each host."""
+    kept, hosts = {}, collections.defaultdict(lambda: (set(), collections.defaultdict(set), collections.defaultdict(set)))
+    for key, (host, page) in rows.items():
+        blocks, children = [], set()
+
+        def walk(e, path, main):
+            main = main or e.tag in ("article", "main")
+            label = e.tag + (f".{e.get('class')}" if e.get("class") else "")
+            children.add((path, label))
+            path = (*path, label)
+            if (e.text or "").strip():
+                blocks.append((path, e.tag, e.text.strip(), main))
+            for c in e:
+                walk(c, path, main)
+
+        walk(ElementTree.fromstring(page), (), False)
+        blocks = [b for b in blocks if b[3]] or blocks
+        used = {path[:k] for path, *_ in blocks for k in range(1, len(path) + 1)}
+        name = tuple(t for _, _, t, _ in blocks)
+        pages, contents, styles = hosts[host]
+        pages.add(name)
+        for path, _, text, _ in blocks:
+            contents[path, text].add(name)
+        for path, label in children:
+            if (*path, label) in used:
+                styles[path, label].add(name)
+        kept[key] = blocks
+    out = {}
+    for key, (host, _) in rows.items():
+        pages, contents, styles = hosts[host]
+        log_m, rest = math.log(len(pages) + 4), []
+        for path, tag, text, main in kept[key]:
+            own = [len(v) for (p, _), v in contents.items() if p == path]
+            content = 1 - sum(map(math.log, own)) / log_m / len(own)
+            shown = [len(v) for (p, _), v in styles.items() if p == path]
+            spread = -sum(n / sum(shown) * math.log(n / sum(shown)) for n in shown) / math.log(len(shown)) if len(shown) > 1 else 0
+            weight = 1 - 0.9 ** len(shown)
+            low = sum(map(math.log, own)) > 0 and max(weight * spread + (1 - weight) * content, content) < 0.25
+            common = any(len(v) > 1 and 1 - math.log(len(v)) / log_m < 0.125 for (_, t), v in contents.items() if t == text)
+            shared = any(len(v) > 1 for (p, t), v in contents.items() if t == text)
+            if not common and (not low or (main and tag in ("p", "h1") and not shared)):
+                rest.append(text)
+        out[key] = "\n".join(rest)
+    return out
+
+
+def test_style_trees_equal_brute_force(spark):
+    rng, rows = random.Random(8), {}
+    for i in range(240):
+        host = rng.choice("aaabc")
+        body = [f"<h1>Title {i % 200}</h1>"]
+        for k in range(rng.randint(1, 6)):
+            body.append(rng.choice([f"<p>Own {i % 190} {k}</p>", "<p>Read our rules</p>", f"<p>Often {rng.randint(0, 3)}</p>", f'<div class="box{k % 2}">Box {rng.randint(0, 1)}<div>in {k % 2}</div></div>', f'<div class="text">Part {i % 190}</div>', f'<section><div class="tpl"><p>Stand {k % 2}</p></div></section>', f"<ul><li>Link {k % 3}</li></ul>"]))
+        if rng.random() < 0.9 and host == "a":
+            body.append('<p class="legal">All rights with the house</p>')
+        tag = rng.choice(["article", "div"])
+        rows[i] = (host, f"<body><{tag}>{''.join(body)}</{tag}></body>")
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", page) for i, (h, page) in rows.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_pages(df).collect()}
+    want = _brute_trees(rows)
+    assert got == want
+    plain = {i: html_extract.extract(page) for i, (_, page) in rows.items()}
+    assert sum(plain[i] != want[i] for i in rows) > 100 and not any("All rights" in t for t in want.values())
 
 
 # Quality
