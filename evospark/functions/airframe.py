@@ -52,20 +52,23 @@ def fuselage_volume(p: dict[str, Column]) -> Column:
 def fuselage_wetted_area(p: dict[str, Column]) -> Column:
     """Square metres; zero without a length or a diameter."""
     length, d = p["fuse_length"] * 1e-3, p["fuse_max_diam"] * 1e-3
-    fineness = at_least(length / d, 1.0)
-    nose, tail = at_least(length * p["nose_ratio"] / d, 0.5), at_least(length * p["tail_ratio"] / d, 0.5)
+    width = F.nullif(d, F.lit(0.0))
+    fineness = at_least(length / width, 1.0)
+    nose, tail = at_least(length * p["nose_ratio"] / width, 0.5), at_least(length * p["tail_ratio"] / width, 0.5)
     body = F.lit(math.pi) * d * length * (1.0 - 0.5 * (p["nose_ratio"] + p["tail_ratio"]))
     shape = 1.0 + 3.0 / F.pow(fineness, F.lit(1.9)) + 0.03443 / nose + 0.03443 / tail
     return F.when((length <= 0) | (d <= 0), 0.0).otherwise(body * F.least(shape, F.lit(1.5)))
 
 
 def fuselage_drag(p: dict[str, Column], s_ref: Column, speed: float = 15.0) -> Column:
+    """Skin friction with a form factor, referred to ``s_ref``; 0 without length, width, area or speed."""
     length, d = p["fuse_length"] * 1e-3, p["fuse_max_diam"] * 1e-3
     re = RHO * speed * length / MU
     cf = F.when(re < 1e3, 1.328 / F.sqrt(at_least(re, 1.0))).otherwise(0.455 / F.pow(F.log10(re), F.lit(2.58)))
-    fineness = at_least(length / d, 1.0)
+    fineness = at_least(length / F.nullif(d, F.lit(0.0)), 1.0)
     form = 1.0 + 60.0 / (fineness * fineness * fineness) + fineness / 400.0
-    return cf * form * fuselage_wetted_area(p) / s_ref
+    empty = (length <= 0) | (d <= 0) | (s_ref <= 0) | (F.lit(speed) <= 0)
+    return F.when(empty, 0.0).otherwise(cf * form * fuselage_wetted_area(p) / F.nullif(s_ref, F.lit(0.0)))
 
 
 def wing_area(p: dict[str, Column]) -> Column:

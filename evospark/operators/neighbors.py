@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,8 +14,8 @@ from pyspark.sql.window import Window
 from ..functions import vectors as V
 from ..session import ship
 
-#: Queries that go to every task at once; more are taken in rounds of so many.
-QUERY_BLOCK = 4_096
+#: Queries that may go to every task, and the stored points that a block of them meets beyond that.
+QUERY_BLOCK, STORE_BLOCK = 4_096, 16_384
 #: Leading hex digits of a curve key that make a slice of it.
 SLICE = 4
 
@@ -23,56 +24,99 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _searcher(ids: np.ndarray, points: np.ndarray, k: int):
-    """The best k of a task's rows for each query; a task holds k rows a query and no more."""
+Stored = Iterator[tuple[np.ndarray, np.ndarray]]
+Work = Callable[[np.ndarray, np.ndarray, Stored], pa.RecordBatch]
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _distances(points: np.ndarray, stored: np.ndarray) -> np.ndarray:
+    d = np.zeros((len(points), len(stored)))
+    for dim in range(points.shape[1]):  # in order, so that sums are those of a plain loop
+        d += (points[:, dim, None] - stored[None, :, dim]) ** 2
+    return np.sqrt(d)
+
+
+def _nearest(k: int) -> Work:
+    """The best k of the stored rows for each query, k rows a query held at a time."""
+
+    def work(ids: np.ndarray, points: np.ndarray, rows: Stored) -> pa.RecordBatch:
         best_d = np.full((len(ids), k), np.inf)
         best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                stored, sid = _matrix(part.column("v")), part.column("id").to_numpy()
-                d = np.zeros((len(points), len(stored)))
-                for dim in range(points.shape[1]):  # in order, so that sums are those of a plain loop
-                    d += (points[:, dim, None] - stored[None, :, dim]) ** 2
-                all_d = np.hstack((best_d, np.sqrt(d)))
-                all_i = np.hstack((best_i, np.broadcast_to(sid, d.shape)))
-                order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+        for sid, stored in rows:
+            d = _distances(points, stored)
+            all_d = np.hstack((best_d, d))
+            all_i = np.hstack((best_i, np.broadcast_to(sid, d.shape)))
+            order = np.lexsort((all_i, all_d), axis=1)[:, :k]
+            best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
         q, r = np.nonzero(np.isfinite(best_d))
-        yield pa.record_batch([pa.array(ids[q]), pa.array(best_i[q, r]), pa.array(best_d[q, r])], ["query_id", "store_id", "d"])
+        return pa.record_batch([pa.array(ids[q]), pa.array(best_i[q, r]), pa.array(best_d[q, r])], ["query_id", "store_id", "d"])
 
-    return search
+    return work
 
 
-def knn(queries: DataFrame, store: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """``query_id, store_id, d, rank``: the k nearest of ``store`` (store_id, sg) by distance, then
-    id, for each of ``queries`` (query_id, g).
+def _sums(ids: np.ndarray, points: np.ndarray, rows: Stored) -> pa.RecordBatch:
+    """The sum of each query's distances and their number."""
+    total, n = np.zeros(len(ids)), 0
+    for sid, stored in rows:
+        total += _distances(points, stored).sum(1)
+        n += len(sid)
+    return pa.record_batch([pa.array(ids), pa.array(total), pa.array(np.full(len(ids), n))], ["query_id", "total", "n"])
+
+
+def _sliced(batch: pa.RecordBatch | pa.Table, size: int = 512) -> Stored:
+    for at in range(0, batch.num_rows, size):
+        part = batch.slice(at, size)
+        column = part.column("v")
+        yield part.column("id").to_numpy(), _matrix(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+
+
+def _meet(queries: DataFrame, store: DataFrame, work: Work, schema: str, block: int, stored_block: int) -> DataFrame:
+    """``work`` on all queries and stored points, a row for each query and part of the store.
 
-    The store is scanned in place: a block of queries of a fixed size goes to its tasks, each task
-    keeps k candidates a query, and only those are shuffled. The store may grow at will; queries
-    beyond a block take a further scan each.
+    Up to ``block`` queries (no more than that ever come to the driver) go to the tasks that scan the
+    store, which stays in place. Beyond that, queries and stored points are dealt into blocks by
+    their ids, and each pair of blocks is a group of its own: a task holds two blocks.
     """
-    spark = ship(queries.sparkSession)
-    n = queries.count()
+    ship(queries.sparkSession)
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("g").alias("v"))
     rows = store.select(F.col("store_id").cast("long").alias("id"), F.col("sg").alias("v"))
-    found = None
-    rounds = max(1, -(-n // block))
-    for r in range(rounds):
-        own = queries if rounds == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)
-        taken = own.select(F.col("query_id").cast("long"), "g").toArrow()
-        if not taken.num_rows:
-            continue
-        ids, points = taken.column("query_id").to_numpy(), _matrix(taken.column("g").combine_chunks())
-        near = rows.mapInArrow(_searcher(ids, points, k), "query_id long, store_id long, d double")
-        found = near if found is None else found.union(near)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, store_id long, d double")
+    taken = asked.limit(block + 1).toArrow()
+    if taken.num_rows <= block:
+        ids, points = taken.column("id").to_numpy(), _matrix(taken.column("v").combine_chunks()) if taken.num_rows else None
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if len(ids):
+                yield work(ids, points, (part for batch in batches for part in _sliced(batch)))
+
+        return rows.mapInArrow(scan, schema)
+    parts = lambda df, size: df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias("n")).scalar()
+    dealt = lambda df, own, other, is_query: df.select("id", "v", F.lit(is_query).alias("asked"), F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+    with_parts = lambda df: df.withColumn("qb", parts(asked, block)).withColumn("sb", parts(rows, stored_block))
+    both = dealt(with_parts(asked), "qb", "sb", True).select("id", "v", "asked", "qb", "sb").union(dealt(with_parts(rows), "sb", "qb", False).select("id", "v", "asked", "qb", "sb"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        own = table.filter(table.column("asked"))
+        other = table.filter(pc.invert(table.column("asked")))
+        points = _matrix(own.column("v").combine_chunks()) if own.num_rows else np.zeros((0, 0))
+        return pa.Table.from_batches([work(own.column("id").to_numpy(), points, _sliced(other) if own.num_rows else iter(()))])
+
+    return both.groupBy("qb", "sb").applyInArrow(compare, schema)
+
+
+def knn(queries: DataFrame, store: DataFrame, k: int, block: int = QUERY_BLOCK, stored_block: int = STORE_BLOCK) -> DataFrame:
+    """``query_id, store_id, d, rank``: the k nearest of ``store`` (store_id, sg) by distance, then
+    id, for each of ``queries`` (query_id, g). A part of the store gives k candidates a query, and
+    only those are shuffled to be ranked."""
+    found = _meet(queries, store, _nearest(k), "query_id long, store_id long, d double", block, stored_block)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "store_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def mean_distance(queries: DataFrame, store: DataFrame, block: int = QUERY_BLOCK, stored_block: int = STORE_BLOCK) -> DataFrame:
+    """``query_id, mean_distance`` over the whole store: sums of each part, never pairs."""
+    found = _meet(queries, store, _sums, "query_id long, total double, n long", block, stored_block)
+    return found.groupBy("query_id").agg((F.sum("total") / F.sum("n")).alias("mean_distance"))
+
+
 def lookup_exact(queries: DataFrame, store: DataFrame) -> DataFrame:
     """``query_id, exact_id``: the first stored point that equals the query, or null."""
     first = store.groupBy("sg").agg(F.min("store_id").alias("exact_id"))

@@ -209,8 +209,8 @@ def powertrain(spark, d):
 
 @query("ga_run")
 def ga_run(spark, d):
-    """Telemetry of a short run on two islands."""
-    return E.run(spark, E.Settings(generations=4, size=16))
+    """Telemetry of a run on two islands, whose second tier predicts once its model is trained."""
+    return E.run(spark, E.Settings(generations=5, size=60))
 
 
 @query("reproduce")

@@ -137,8 +137,9 @@ def knn_modes(spark, d):
     """Recall at ten of four retrieval modes against the exact answer."""
     pop, store, found = _modes(spark, d)
     truth = N.knn(pop, store, 10).select("query_id", "store_id", F.lit(1).alias("hit"))
-    total = truth.count()
-    return found.join(truth, ["query_id", "store_id"], "left").groupBy("mode").agg(r6(F.count("hit") / F.lit(total)).alias("recall"), r6(F.avg("d")).alias("mean_distance"))
+    total = truth.agg(F.count("*").alias("total"))  # one row
+    hits = found.join(truth, ["query_id", "store_id"], "left").groupBy("mode").agg(F.count("hit").alias("hits"), r6(F.avg("d")).alias("mean_distance"))
+    return hits.join(F.broadcast(total)).select("mode", r6(F.col("hits") / F.col("total")).alias("recall"), "mean_distance")
 
 
 # An approximate search: the nearest by the first four dimensions, then the distance by all.
@@ -164,7 +165,7 @@ def quality_score(spark, d):
     pop, store, rough = _rough(spark, d)
     near = N.knn(pop, store, 10).groupBy("query_id").agg(F.avg("d").alias("gt"))
     got = rough.groupBy("query_id").agg(F.avg("d").alias("got"))
-    every = N.knn(pop, store, store.count()).groupBy("query_id").agg(F.avg("d").alias("rnd"))
+    every = N.mean_distance(pop, store).withColumnRenamed("mean_distance", "rnd")
     score = 1.0 - (F.col("got") - F.col("gt")) / F.greatest(F.col("rnd") - F.col("gt"), F.lit(1e-12))
     return near.join(got, "query_id").join(every, "query_id").select("query_id", r6(V.clip01(score)).alias("quality"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,23 +9,15 @@ from pyspark.sql import functions as F
 from ..functions import airframe as A
 from ..operators import logs as L
 from ..registry import query
+from ..session import shared_path
 from ..sources import files as S
 from ..streaming import streams as W
 from .base import EVAL_SQL, evaluated, genomes, r6
 from .logs import raw_logs
 
 
-def scratch(spark, name: str) -> str:
-    """A fresh path in the shared folder, or in a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "evospark-streams")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
 def _log_stream(spark, d):
-    path = scratch(spark, "logs")
+    path = shared_path(spark, "logs")
     raw_logs(spark, d).select("event_id", "raw", "topic", "broker_ts").repartitionByRange(4, "event_id").write.parquet(path)
     return W.normalized(W.file_logs(spark, path))
 
@@ -71,7 +61,7 @@ def online_training(spark, d):
 
     from ..models import surrogates as M
 
-    path = scratch(spark, "samples")
+    path = shared_path(spark, "samples")
     rows = evaluated(spark, d).select(F.col("vec_id").alias("event_id"), "g", "fitness")
     rows.repartitionByRange(3, "event_id").write.parquet(path)
     stream = spark.readStream.schema("event_id bigint, g array<double>, fitness double").option("maxFilesPerTrigger", 1).parquet(path)
@@ -95,7 +85,7 @@ def _records(spark, d):
 @query("dataset_filter", f"WITH {EVAL_SQL} SELECT count(*) AS n, count(*) FILTER (vec_id % 3 <> 0) AS with_ld, round(sum(fitness), 4) AS total FROM ev WHERE vec_id % 10 <> 0")
 def dataset_filter(spark, d):
     """Usable training records of a JSON file."""
-    path = scratch(spark, "dataset")
+    path = shared_path(spark, "dataset")
     _records(spark, d).select("config", "aero", "fitness").write.json(path)
     rows = S.usable(spark.read.schema(S.RECORD).json(path))
     return rows.agg(F.count("*").alias("n"), F.count("aero.ld").alias("with_ld"), F.round(F.sum("fitness"), 4).alias("total"))
@@ -104,7 +94,7 @@ def dataset_filter(spark, d):
 @query("tolerant_load", f"WITH {EVAL_SQL} SELECT count(*) AS n FROM ev")
 def tolerant_load(spark, d):
     """Records between comments and broken lines."""
-    path = scratch(spark, "tolerant")
+    path = shared_path(spark, "tolerant")
     good = _records(spark, d).select(F.to_json(F.struct("config", "aero", "fitness")).alias("value"))
     noise = spark.createDataFrame([("# a comment",), ("// another",), ("{broken",), ('{"aero": null}',)], "value string")
     good.union(noise).write.text(path)
@@ -114,7 +104,7 @@ def tolerant_load(spark, d):
 @query("run_scan", f"WITH {EVAL_SQL} SELECT generation, round(max(fitness), 6) AS best_fitness, count(*) AS members FROM ev GROUP BY generation")
 def run_scan(spark, d):
     """Telemetry written as JSON lines and read back."""
-    path = scratch(spark, "telemetry")
+    path = shared_path(spark, "telemetry")
     rows = evaluated(spark, d).groupBy("generation").agg(F.max("fitness").alias("best_fitness"), F.collect_list("g").alias("population"))
     S.write_telemetry(rows, path)
     return S.read_runs(spark, path).select("generation", r6("best_fitness").alias("best_fitness"), F.size("population").cast("bigint").alias("members"))
@@ -130,6 +120,6 @@ def stl_export(spark, d):
 
 @query("csv_roundtrip", f"WITH {EVAL_SQL} SELECT vec_id, round(fitness, 6) AS fitness FROM ev")
 def csv_roundtrip(spark, d):
-    path = scratch(spark, "csv")
+    path = shared_path(spark, "csv")
     S.write_csv(evaluated(spark, d).select("vec_id", r6("fitness").alias("fitness")), path)
     return spark.read.schema("vec_id bigint, fitness double").option("header", True).csv(path)

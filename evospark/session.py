@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import SparkSession
 #: worker holds a few batches at a time, whatever the length of the texts.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
+_local_dir: str | None = None
 _ROOT = os.path.dirname(os.path.abspath(__file__))
 
 
@@ -39,6 +41,29 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary one in local mode; a
+    cluster's executors wouldn't share that, so there it is an error."""
+    global _local_dir
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if _local_dir is None:
+        _local_dir = "file://" + tempfile.mkdtemp(prefix="evospark-")
+    return _local_dir
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the application's file system closes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("evospark")
