@@ -8,8 +8,6 @@ step, so extra columns and clashing names never reach a join.
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,42 +16,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_path, ship
 
 #: Bytes of text that one vectorised step holds at once; a longer text is a step of its own.
 CHUNK_BYTES = 500_000
 
-_local_dir: str | None = None
 try:
     _libc = ctypes.CDLL("libc.so.6")
 except OSError:  # another C library
     _libc = None
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    global _local_dir
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if _local_dir is None:
-        _local_dir = "file://" + tempfile.mkdtemp(prefix="evospark-")
-    return _local_dir
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the application's file system closes."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there, and a lost
     executor costs no more than the reading tasks."""
-    path = table_path(df.sparkSession, name)
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

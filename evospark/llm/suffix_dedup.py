@@ -31,6 +31,7 @@ taken to have different ids.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -409,6 +410,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             columns[where] = pa.array(texts, pa.string())
             yield pa.record_batch(columns, names)
 
-    keyed = runs.select(F.col("id").alias("_run_id"), F.col("starts").alias("_run_starts"), F.col("ends").alias("_run_ends"))
-    joined = docs.join(keyed, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == keyed["_run_id"], "left").select(*(docs[c] for c in names), "_run_starts", "_run_ends")
+    key, starts, ends = (f"_{c}_{uuid.uuid4().hex}" for c in ("id", "starts", "ends"))  # no column of ``docs``
+    keyed = runs.select(F.col("id").alias(key), F.col("starts").alias(starts), F.col("ends").alias(ends))
+    joined = docs.join(keyed, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == keyed[key], "left").select(*(docs[c] for c in names), starts, ends)
     return joined.mapInArrow(run, docs.schema)

@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_path
 from .byte_bpe import default_path, engine, file_digest
-from .common import lean, pick, stored, table_path
+from .common import lean, pick, stored
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: A task forgets which digests it has passed on after so many; a repeat is then dropped later.
@@ -72,7 +73,7 @@ def count_tokens(docs: DataFrame, cache_path: str | None = None, tokenizer_path:
     spark = docs.sparkSession
     tokenizer_path = tokenizer_path or default_path()
     version = file_digest(tokenizer_path)
-    cache_path = cache_path or table_path(spark, "token-cache")
+    cache_path = cache_path or shared_path(spark, "token-cache")
     keyed = pick(docs, id_col, text_col).withColumn("digest", F.unhex(F.sha2("text", 256)))
     known = open_cache(spark, cache_path).filter(F.col("tokenizer") == version).select("digest")
     texts = keyed.select("digest", "text").mapInArrow(_fresh, "digest binary, text string")

@@ -606,6 +606,12 @@ def test_style_trees_equal_brute_force(spark):
     assert sum(plain[i] != want[i] for i in rows) > 100 and not any("All rights" in t for t in want.values())
 
 
+def test_clashing_names_in_remove(spark):
+    df = spark.createDataFrame([(1, "x" * 60, 1, 2, 3), (2, "x" * 60, 4, 5, 6)], "doc_id long, text string, _run_starts int, _run_ends int, id int")
+    got = suffix_dedup.remove(df)
+    assert got.columns == df.columns and sorted(got.collect()) == [(1, "x" * 60, 1, 2, 3), (2, "", 4, 5, 6)]
+
+
 # Quality
 
 
