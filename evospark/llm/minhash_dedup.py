@@ -115,7 +115,8 @@ def _sketcher(width: int, bands: int, rows: int):
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``id, elements`` for the ids asked for (and some more that share a bit with one)."""
+    """``id, elements``, a row for each id asked for (and some more that share a bit with one): the
+    full sets, kept once for all that follows."""
     words = bits_of(ids)
 
     @lean
@@ -128,20 +129,19 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(to_signed(value)))], ["id", "elements"])
 
     rows = with_bit(docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text"))
-    return rows.mapInArrow(run, "id long, elements array<long>")
+    return stored(rows.mapInArrow(run, "id long, elements array<long>").groupBy("id").agg(F.first("elements").alias("elements")), "sets")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, related: int | None = None) -> DataFrame:
-    """Of the pairs ``a < b``, those whose full sets are at least ``related`` percent similar, and
-    whether they are linked."""
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-    sets = _sets(docs, ids, width)
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int, related: int | None = None) -> DataFrame:
+    """Of the distinct pairs ``a < b``, those whose full sets are at least ``related`` percent similar,
+    and whether they are linked. Nothing follows the joins, so that Spark may split the partition of
+    a set that is in very many pairs."""
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("of_b")), "b")
     joined = joined.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a")), "a")
     both = F.size(F.array_intersect("of_a", "of_b")).cast("long")
     either = F.size("of_a") + F.size("of_b") - both
     rows = joined.select("a", "b", (100 * both >= percent * either).alias("linked"), (100 * both >= F.lit(related or percent) * either).alias("related"))
-    return stored(rows.filter("related").select("a", "b", "linked").distinct(), "confirmed")
+    return stored(rows.filter("related").select("a", "b", "linked"), "confirmed")
 
 
 def _family_links(percent: int):
@@ -195,14 +195,14 @@ def _family_links(percent: int):
     return run
 
 
-def _within_families(docs: DataFrame, open_ids: DataFrame, families: DataFrame, reached: DataFrame, width: int, percent: int) -> DataFrame:
+def _within_families(sets: DataFrame, open_ids: DataFrame, families: DataFrame, reached: DataFrame, percent: int) -> DataFrame:
     """Links across components between open sets of one family, compared in blocks of ``FAMILY``."""
     own = open_ids.join(families, "id").join(reached, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component"))
     own = stored(own, "family-members")
     sizes = own.groupBy("family").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     own = own.join(stored(sizes.select("family", F.ceil(F.col("n") / FAMILY).cast("int").alias("blocks")), "families"), "family")
     own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = own.join(_sets(docs, own.select("id"), width), "id")
+    rows = own.join(sets, "id")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("family", "id", "component", "elements", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return stored(rows.groupBy("family", "i", "j").applyInArrow(_family_links(percent), "a long, b long"), "family-links")
@@ -220,15 +220,16 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80, bands: in
     leaders = stored(entries.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("other")).filter("leader <> other").select("bucket", "leader"), "leaders")
     members = stored(entries.join(leaders, "bucket"), "members")
     first = stored(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    compared = _confirmed(docs, first, width, percent, RELATED)
+    sets = _sets(docs, stored(members.select("id").distinct(), "wanted"), width)
+    compared = _confirmed(sets, first, percent, RELATED)
     links = compared.filter("linked").select("a", "b")
     reached = components(links)
     open_ids = stored(_open(members, reached).select("id").distinct(), "open-ids")
     if open_ids.limit(1).count():
         families = components(compared).withColumnRenamed("component", "family")
-        links = links.union(_within_families(docs, open_ids, families, reached, width, percent))
-        rest = _across(docs, open_ids, families, reached, classes, first, width, percent)
-        reached = components(links.union(_confirmed(docs, rest, width, percent).select("a", "b")))
+        links = links.union(_within_families(sets, open_ids, families, reached, percent))
+        rest = _across(sets, open_ids, families, reached, classes, first, percent)
+        reached = components(links.union(_confirmed(sets, rest, percent).select("a", "b")))
     labelled = stored(classes.join(reached, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component")), "labelled")
     alone = sketched.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     found = sketched.filter("n_shingles > 0").join(labelled, ["d1", "d2"], "left")
@@ -236,7 +237,7 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80, bands: in
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")).union(alone)
 
 
-def _prefixes(docs: DataFrame, ids: DataFrame, width: int, percent: int) -> DataFrame:
+def _prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     """``bucket, id``: the elements of which two sets of these ids share one if they are linked.
 
     A linked pair shares percent / 100 of either set at least, so under one order of all elements
@@ -244,7 +245,7 @@ def _prefixes(docs: DataFrame, ids: DataFrame, width: int, percent: int) -> Data
     rare elements first leaves few pairs, and a table of ``COUNTERS`` hashed counts is enough to
     know which are rare.
     """
-    sets = stored(_sets(docs, ids, width).join(ids, "id", "left_semi"), "open-sets")
+    sets = stored(sets.join(ids, "id", "left_semi"), "open-sets")
 
     def slots(column: pa.Array) -> np.ndarray:
         return (mix(column.flatten().to_numpy().view(np.uint64)) % np.uint64(COUNTERS)).astype(np.int64)
@@ -283,10 +284,10 @@ def _open(members: DataFrame, reached: DataFrame) -> DataFrame:
     return own.join(main, "bucket")
 
 
-def _across(docs: DataFrame, ids: DataFrame, families: DataFrame, reached: DataFrame, classes: DataFrame, done: DataFrame, width: int, percent: int) -> DataFrame:
+def _across(sets: DataFrame, ids: DataFrame, families: DataFrame, reached: DataFrame, classes: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """Pairs of different families and components that share a rare element and whose sizes allow
     a link, less those compared before."""
-    rows = _open(_prefixes(docs, ids, width, percent), reached).join(classes.select("id", "n"), "id").join(families, "id", "left")
+    rows = _open(_prefixes(sets, ids, percent), reached).join(classes.select("id", "n"), "id").join(families, "id", "left")
     rows = stored(rows.withColumn("family", F.coalesce("family", "id")), "open-members")
     left = rows.filter("component <> main").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("family").alias("fx"))
     right = rows.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("family").alias("fy"))
