@@ -34,6 +34,8 @@ STEMS = (4, 5, 6)
 #: Shares are small numbers: they weigh so many times more.
 SCALE = 5.0
 GRADES = 3
+#: Rows of the fit that are summed at a time.
+AT_ONCE = 500
 
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -104,9 +106,14 @@ def fit(row: np.ndarray, slot: np.ndarray, measures: np.ndarray, grade: np.ndarr
     n = len(grade)
     rows_of = np.bincount(slot, minlength=SLOTS)
     frequent = (rows_of >= LEAST_ROWS) & (rows_of <= max(COMMON * n, LEAST_ROWS))
-    known = frequent[slot]
     used = np.flatnonzero(frequent)
-    row, slot = row[known], (np.cumsum(frequent) - 1)[slot[known]]  # places among the used slots
+    place = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)  # among the used slots
+    parts = []  # some rows at a time, so that no step needs an array of all words
+    for first in range(0, n, AT_ONCE):
+        last = min(first + AT_ONCE, n)
+        a, b = np.searchsorted(row, (first, last))
+        at = place[slot[a:b]]
+        parts.append((first, last, (row[a:b] - first)[at >= 0].astype(np.int32), at[at >= 0]))
     model = Model(np.zeros(len(used)), np.zeros(MEASURES), np.zeros(GRADES - 1))
     params = np.zeros(len(used) + MEASURES + GRADES - 1)
     share = np.clip(np.cumsum(np.bincount(grade, minlength=GRADES))[:-1] / n, 1e-3, 1 - 1e-3)
@@ -120,7 +127,8 @@ def fit(row: np.ndarray, slot: np.ndarray, measures: np.ndarray, grade: np.ndarr
         model.measures = params[len(used) : len(used) + MEASURES]
         steps = np.exp(params[-(GRADES - 2) :])
         model.thresholds = params[-(GRADES - 1)] + np.concatenate(([0], np.cumsum(steps)))
-        cdf = np.hstack((np.zeros((n, 1)), model.below(model.score(row, slot, measures)), np.ones((n, 1))))
+        score = np.concatenate([np.bincount(r, weights=model.weights[at], minlength=last - first) for first, last, r, at in parts]) + measures @ model.measures
+        cdf = np.hstack((np.zeros((n, 1)), model.below(score), np.ones((n, 1))))
         hi, lo = cdf[every, grade + 1], cdf[every, grade]
         p = np.maximum(hi - lo, 1e-9)
         by_score = (hi + lo - 1) / n  # of the negative log likelihood
@@ -128,7 +136,8 @@ def fit(row: np.ndarray, slot: np.ndarray, measures: np.ndarray, grade: np.ndarr
         by_cut[every, grade + 1] -= hi * (1 - hi) / p
         by_cut[every, grade] += lo * (1 - lo) / p
         by_cut = by_cut.sum(0)[1:-1] / n
-        g = np.concatenate((np.bincount(slot, weights=-by_score[row], minlength=len(used)), -(measures.T @ by_score), [by_cut.sum()], [by_cut[k + 1 :].sum() * steps[k] for k in range(GRADES - 2)]))
+        by_slot = sum(np.bincount(at, weights=-by_score[first:last][r], minlength=len(used)) for first, last, r, at in parts)
+        g = np.concatenate((by_slot, -(measures.T @ by_score), [by_cut.sum()], [by_cut[k + 1 :].sum() * steps[k] for k in range(GRADES - 2)]))
         g[: len(used)] += decay * params[: len(used)]
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
@@ -156,9 +165,9 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_col: str
     if not table.num_rows:
         return None
     lists = table.column("slots").combine_chunks()
-    row = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
+    row = np.repeat(np.arange(table.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     measures = np.array(table.column("measures").to_pylist())
-    slot = lists.flatten().to_numpy().astype(np.int64)
+    slot = lists.flatten().to_numpy()
     return fit(row, slot, measures, table.column("grade").to_numpy().astype(np.int64))
 
 
