@@ -43,6 +43,18 @@ def cluster_keys(parts: list[DataFrame]) -> DataFrame:
     return rows.distinct()
 
 
+def routed_put(tables: DataFrame, changes: DataFrame) -> DataFrame:
+    """``k, v, node``: each change (k, v, seq, node) is written on the node that owns its key; a node
+    that held the key before without owning it keeps nothing of it."""
+    last = changes.groupBy("k").agg(F.max_by(F.struct("v", "node"), "seq").alias("c"))
+    return tables.join(last, "k", "left_anti").select("k", "v", "node").unionByName(last.select("k", "c.v", "c.node"))
+
+
+def routed_delete(tables: DataFrame, keys: DataFrame) -> DataFrame:
+    """``k, v, node`` without the entries that the owners (node) of ``keys`` hold."""
+    return tables.join(keys.select("k", "node"), ["k", "node"], "left_anti").select("k", "v", "node")
+
+
 class Table:
     """A durable table: Parquet under ``path``, sorted by key, with metadata beside it."""
 

@@ -88,6 +88,19 @@ def _by_prefix(keys: DataFrame, ring: DataFrame, hash_col: str, first: str) -> D
     return joined.withColumn("owner", F.coalesce(inside, F.col("beyond"))).drop("slice", "ids", "beyond")
 
 
+def lookup(keys: DataFrame, ring: DataFrame, hash_col: str = "h") -> DataFrame:
+    """``successor, predecessor, following`` of each key's hash: its owner and that one's neighbours."""
+    around = topology(ring.select("vid").distinct()).select(F.col("vid").alias("successor"), F.col("pred").alias("predecessor"), F.col("succ").alias("following"))
+    return owners(keys, ring, hash_col).withColumnRenamed("owner", "successor").join(F.broadcast(around), "successor")  # a row for each virtual id
+
+
+def notify(vids: DataFrame, came: DataFrame) -> DataFrame:
+    """``vid, before, after, changed``: predecessors of ``vids`` before and after others came."""
+    before = topology(vids).select("vid", F.col("pred").alias("before"))
+    after = topology(vids.union(came).distinct()).select("vid", F.col("pred").alias("after"))
+    return before.join(after, "vid").withColumn("changed", F.col("before") != F.col("after"))
+
+
 def routes(keys: DataFrame, ids: list[str], start: str, max_hops: int = 33) -> DataFrame:
     """Hops from node ``start`` to the owner of each key by decimal fingers, in one expression: a
     bounded fold over the hops, with the fingers of the few nodes as literals."""

@@ -29,15 +29,25 @@ def evenly_spaced(df: DataFrame, order: str, by: Sequence[str], k: int) -> DataF
     return ranked.filter((F.col("_n") <= k) | F.array_contains(wanted, F.col("_i").cast("bigint"))).drop("_i", "_n")
 
 
+#: Slices that a sort of a whole table is dealt into.
+SLICES = 256
+
+
+def feasible(df: DataFrame, ld: str = "ld", rejected: str = "rejected", least: float = 4.0) -> DataFrame:
+    """Designs that were flown (``ld`` is there), weren't rejected and glide better than ``least``."""
+    return df.filter(F.col(ld).isNotNull() & ~F.isnan(ld) & ~F.col(rejected) & (F.col(ld) > least))
+
+
 def pareto(df: DataFrame, maximize: str, minimize: str) -> DataFrame:
     """Distinct cost pairs that no other pair dominates: the least cost so far, in order of gain.
 
     A pair is dominated if one with a higher gain has no higher cost. Costs are first reduced to
-    the least per gain; running minima are then taken within slices of gains and joined by the
-    slices' own minima, so no single task sees all rows.
+    the least per gain; running minima are then taken within slices of about as many gains each and
+    joined by the slices' own minima, so no single task sees all rows.
     """
-    least = df.groupBy(maximize).agg(F.min(minimize).alias(minimize))
-    sliced = least.withColumn("_s", F.floor(F.col(maximize) / 8))
+    least = df.filter(F.col(maximize).isNotNull() & F.col(minimize).isNotNull()).groupBy(maximize).agg(F.min(minimize).alias(minimize))
+    edges = least.agg(F.percentile_approx(maximize, [k / SLICES for k in range(1, SLICES)], 10 * SLICES).alias("_e"))  # one row
+    sliced = least.join(F.broadcast(edges)).withColumn("_s", F.size(F.filter("_e", lambda e: e < F.col(maximize)))).drop("_e")
     slices = sliced.groupBy("_s").agg(F.min(minimize).alias("_m"))
     above = Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
     base = slices.select("_s", F.min("_m").over(above).alias("_above"))

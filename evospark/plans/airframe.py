@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import airframe as A
 from ..functions import vectors as V
+from ..operators import select as S
 from ..registry import query
 from .base import G_SQL, genomes, r6, table
 
@@ -99,6 +100,29 @@ def fitness(spark, d):
     return rows.select("vec_id", r6(F.when(F.col("vol") < A.LEAST_VOLUME, A.REJECT).otherwise(f)).alias("fitness"))
 
 
+FLOWN_SQL = f"{DRAG_SQL}, q AS (SELECT vec_id, m_total AS mass, CASE WHEN vec_id % 9 <> 0 THEN cl / (cd0 + cl * cl / (pi() * ar * greatest(e, 0.1))) END AS ld, {VOLUME_SQL} AS vol FROM dd), fe AS (SELECT round(ld, 6) AS ld, round(mass, 6) AS mass FROM q WHERE ld > 4.0 AND vol >= 20000)"
+
+
+@query("feasible_front", f"WITH {FLOWN_SQL} SELECT DISTINCT ld, mass FROM fe a WHERE NOT EXISTS (SELECT 1 FROM fe b WHERE b.ld >= a.ld AND b.mass <= a.mass AND (b.ld > a.ld OR b.mass < a.mass))")
+def feasible_front(spark, d):
+    """Glide ratio against mass of the feasible designs that no other one beats; each ninth design
+    plays one that the solver gave nothing for."""
+    p = A.parameters(F.col("g"))
+    b, cl = A.drag_buildup(p), A.required_cl(p)
+    flown = F.when(F.col("vec_id") % 9 != 0, cl / (b["cd0"] + cl * cl * b["induced"]))
+    rows = genomes(spark, d).select(flown.alias("ld"), A.masses(p)["m_total"].alias("mass"), (A.fuselage_volume(p) < A.LEAST_VOLUME).alias("rejected"))
+    return S.pareto(S.feasible(rows).select(r6("ld").alias("ld"), r6("mass").alias("mass")), "ld", "mass")
+
+
+@query("fuselage_empty", "SELECT n, 0.0::DOUBLE AS wetted, 0.0::DOUBLE AS cd FROM (SELECT unnest(['area', 'diameter', 'length', 'speed']) AS n)")
+def fuselage_empty(spark, d):
+    """No drag without a length, a diameter, an area or a speed."""
+    rows = spark.createDataFrame([("length", 0.0, 60.0, 1.0), ("diameter", 600.0, 0.0, 1.0), ("area", 600.0, 60.0, 0.0), ("speed", 600.0, 60.0, 1.0)], "n string, fuse_length double, fuse_max_diam double, s double")
+    p = {c: F.col(c) for c in ("fuse_length", "fuse_max_diam")} | {"nose_ratio": F.lit(0.25), "tail_ratio": F.lit(0.35)}
+    drag = F.when(F.col("n") == "speed", A.fuselage_drag(p, F.col("s"), 0.0)).otherwise(A.fuselage_drag(p, F.col("s")))
+    return rows.select("n", F.when(F.col("n").isin("area", "speed"), 0.0).otherwise(A.fuselage_wetted_area(p)).alias("wetted"), drag.alias("cd"))
+
+
 @query("fitness_smooth", f"WITH {DRAG_SQL}, q AS (SELECT vec_id, cl / (cd0 + cl * cl / (pi() * ar * greatest(e, 0.1))) AS ld, cl, {VOLUME_SQL} AS vol FROM dd) SELECT vec_id, round(CASE WHEN vec_id % 9 = 0 THEN -20.0 ELSE greatest(least(ld - 10.0 * tanh(power((vol - 50000) / 50000, 2)) - 0.5 * abs(10 * cl - 2) - 15.0 * power(ln(1 + exp(5.0 * (0.1 - cl + 0.05))) / 5.0, 2), 40.0), -20.0) END, 6) AS fitness FROM q")
 def fitness_smooth(spark, d):
     p = A.parameters(F.col("g"))

@@ -97,6 +97,41 @@ def kv_routed_get(spark, d):
     return found.join(F.broadcast(ring), found["owner"] == ring["vid"]).select("k", "v", "node")
 
 
+@query("kv_routed_put", f"WITH {OWNER_SQL}, ch AS (SELECT k, 'new-' || v AS v FROM kv WHERE k < '0000000000000400') SELECT kv.k, coalesce(ch.v, kv.v) AS v, vn.node FROM own JOIN kv USING (k) JOIN vn ON vn.vid = own.owner LEFT JOIN ch ON ch.k = kv.k")
+def kv_routed_put(spark, d):
+    """The nodes' tables after writes that went to each key's owner."""
+    kv = pairs(spark, d)
+    changes = kv.filter("k < '0000000000000400'").select("k", F.concat(F.lit("new-"), "v").alias("v"), F.lit(1).alias("seq"))
+    return K.routed_put(_routed(spark, kv), _routed(spark, changes))
+
+
+@query("kv_routed_delete", f"WITH {OWNER_SQL} SELECT kv.k, kv.v, vn.node FROM own JOIN kv USING (k) JOIN vn ON vn.vid = own.owner WHERE kv.k >= '0000000000000400'")
+def kv_routed_delete(spark, d):
+    """The nodes' tables after deletes that went to each key's owner."""
+    kv = pairs(spark, d)
+    return K.routed_delete(_routed(spark, kv), _routed(spark, kv.filter("k < '0000000000000400'")))
+
+
+def _routed(spark, rows):
+    """Rows with the node that owns their key."""
+    ring = R.vnodes(spark, NODES, 100).select("vid", "node")
+    found = R.owners(rows.withColumn("h", R.sha1_id(F.col("k"))), ring)
+    return found.join(F.broadcast(ring), found["owner"] == ring["vid"]).drop("h", "owner", "vid")  # a row for each virtual id
+
+
+@query("ring_lookup", f"WITH {OWNER_SQL}, t AS (SELECT vid, coalesce(lag(vid) OVER (ORDER BY vid), (SELECT max(vid) FROM vn)) AS pred, coalesce(lead(vid) OVER (ORDER BY vid), (SELECT min(vid) FROM vn)) AS succ FROM vn) SELECT k, owner AS successor, pred AS predecessor, succ AS following FROM own JOIN t ON t.vid = own.owner")
+def ring_lookup(spark, d):
+    """The successor of each key's hash, with its neighbours on the ring."""
+    return R.lookup(_hashed(spark, d), R.vnodes(spark, NODES, 100)).select("k", "successor", "predecessor", "following")
+
+
+@query("ring_notify", f"WITH {VNODES_SQL}, old AS (SELECT vid FROM vn WHERE node <> 'http://node-c:5000'), t AS (SELECT vid, coalesce(lag(vid) OVER (ORDER BY vid), (SELECT max(vid) FROM old)) AS pred FROM old), new AS (SELECT vid, coalesce(lag(vid) OVER (ORDER BY vid), (SELECT max(vid) FROM vn)) AS pred FROM vn) SELECT t.vid, t.pred AS before, new.pred AS after, t.pred <> new.pred AS changed FROM t JOIN new USING (vid)")
+def ring_notify(spark, d):
+    """Predecessors of two nodes' ids before and after a third one makes itself known."""
+    ring = R.vnodes(spark, NODES, 100).select("vid", "node")
+    return R.notify(ring.filter(F.col("node") != NODES[2]).select("vid"), ring.filter(F.col("node") == NODES[2]).select("vid"))
+
+
 @query("peer_hash", f"WITH {KV_SQL} SELECT k, sha1(k)[1:16] AS h FROM kv")
 def peer_hash(spark, d):
     return _hashed(spark, d)
@@ -221,17 +256,28 @@ def rmi_predict(spark, d):
     return M.predict(keys, M.train(keys, 16), 16).select("k", r6("cdf").alias("cdf"))
 
 
-@query("rmi_position", f"WITH {LEARN_SQL} SELECT k, lpad(lower(to_hex(CASE WHEN f * 18446744073709551616.0::DOUBLE >= 18446744073709551615.0::DOUBLE THEN 18446744073709551615::UBIGINT ELSE (f * 18446744073709551616.0::DOUBLE)::UBIGINT END)), 16, '0')[1:13] AS head FROM pk")
+POSITION_SQL = "lpad(lower(to_hex(CASE WHEN {0} >= 1.0 THEN 18446744073709551615::UBIGINT ELSE floor({0} * 18446744073709551616.0::DOUBLE)::UBIGINT END)), 16, '0')"
+
+
+@query("rmi_position", f"WITH {LEARN_SQL} SELECT k, {POSITION_SQL.format('p')} AS position FROM pk UNION ALL SELECT 'end', 'ffffffffffffffff'")
 def rmi_position(spark, d):
-    keys = learned(spark, d).distinct()
-    return keys.select("k", F.substring(M.position(M.feature(F.col("k"))), 1, 13).alias("head"))
+    """Ring positions of the keys' shares, all digits, and of a whole one."""
+    rows = M.ranked(learned(spark, d)).select("k", "p").union(spark.createDataFrame([("end", 1.0)], "k string, p double"))
+    return rows.select("k", M.position(F.col("p")).alias("position"))
 
 
-@query("key_owner", f"WITH {PREDICT_SQL}, {VNODES_SQL}, h AS (SELECT k, printf('%.6f', cdf) AS c6, cdf FROM pr) SELECT vn.vid AS owner, count(*) > 0 AS used FROM (SELECT coalesce(v.vid, (SELECT min(vid) FROM vn)) AS vid FROM (SELECT lpad(lower(to_hex(CASE WHEN cdf >= 1.0 THEN 18446744073709551615::UBIGINT ELSE (cdf * 18446744073709551616.0::DOUBLE)::UBIGINT END)), 16, '0') AS pos FROM h) q ASOF LEFT JOIN (SELECT vid FROM vn) v ON q.pos <= v.vid) o JOIN vn USING (vid) GROUP BY 1")
-def key_owner(spark, d):
+PLACED_SQL = f"{PREDICT_SQL}, {VNODES_SQL}, q AS (SELECT k, {POSITION_SQL.format('cdf')} AS pos FROM pr), po AS (SELECT k, coalesce(v.vid, (SELECT min(vid) FROM vn)) AS owner FROM q ASOF LEFT JOIN (SELECT vid FROM vn) v ON q.pos <= v.vid)"
+
+
+def _placed(spark, d):
     keys = learned(spark, d).distinct()
     placed = M.predict(keys, M.train(keys, 16), 16).withColumn("h", M.position(F.col("cdf")))
-    return R.owners(placed, R.vnodes(spark, NODES, 100)).groupBy("owner").agg((F.count("*") > 0).alias("used"))
+    return R.owners(placed, R.vnodes(spark, NODES, 100))
+
+
+@query("key_owner", f"WITH {PLACED_SQL} SELECT k, owner FROM po")
+def key_owner(spark, d):
+    return _placed(spark, d).select("k", "owner")
 
 
 @query("rebalance", f"WITH {HASHED_SQL}, o1 AS (SELECT ke.k, coalesce(v.vid, (SELECT min(vid) FROM vn)) AS a FROM ke ASOF LEFT JOIN (SELECT vid FROM vn) v ON ke.h <= v.vid), v2 AS (SELECT * FROM vn WHERE node <> 'http://node-c:5000'), o2 AS (SELECT ke.k, coalesce(v.vid, (SELECT min(vid) FROM v2)) AS b FROM ke ASOF LEFT JOIN (SELECT vid FROM v2) v ON ke.h <= v.vid) SELECT k, a AS before, b AS after FROM o1 JOIN o2 USING (k) WHERE a <> b")
@@ -266,11 +312,13 @@ def model_diff(spark, d):
     return M.difference(m.filter("model = 0"), m.filter("model = 1")).select("bin", r6("weight").alias("weight"), r6("bias").alias("bias"))
 
 
-@query("window_counts", f"WITH {LEARN_SQL}, w AS (SELECT least(floor(f * 16), 15)::INT AS bin, f, rank % 7 <> 0 AS inside FROM pk) SELECT bin, count(*) FILTER (inside) AS inside, count(*) FILTER (NOT inside) AS outside FROM w GROUP BY bin")
+@query("window_counts", f"WITH {PLACED_SQL} SELECT least(floor(f * 16), 15)::INT AS bin, count(*) FILTER (node = '{NODES[0]}') AS inside, count(*) FILTER (node <> '{NODES[0]}') AS outside FROM po JOIN pr USING (k) JOIN vn ON vn.vid = po.owner GROUP BY 1")
 def window_counts(spark, d):
-    rows = M.ranked(learned(spark, d))
-    inside = F.col("rank") % 7 != 0
-    return rows.groupBy(M.bin_of(F.col("f"), 16).alias("bin")).agg(F.count_if(inside).alias("inside"), F.count_if(~inside).alias("outside"))
+    """Keys of each leaf whose predicted place is the first node's, and the others."""
+    nodes = R.vnodes(spark, NODES, 100).select(F.col("vid").alias("owner"), "node")
+    rows = _placed(spark, d).join(F.broadcast(nodes), "owner")  # a row for each virtual id
+    inside = F.col("node") == NODES[0]
+    return rows.groupBy(M.bin_of(M.feature(F.col("k")), 16).alias("bin")).agg(F.count_if(inside).alias("inside"), F.count_if(~inside).alias("outside"))
 
 
 @query("pid_fold")

@@ -61,11 +61,28 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_stl(facets: DataFrame, path: str, name: str = "airframe") -> None:
-    """ASCII facets (``ax .. cz``), a block of text for each row; the caller adds head and tail."""
+def facet_normal() -> list:
+    """The unit normal of a facet ``ax .. cz``; zero for one without an area."""
+    u, v = ([F.col(p + c) - F.col("a" + c) for c in "xyz"] for p in "bc")
+    n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    size = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
+    return [F.when(size > 0, x / F.nullif(size, F.lit(0.0))).otherwise(0.0) for x in n]
+
+
+def write_stl(facets: DataFrame, path: str, by: str = "id") -> None:
+    """A whole ASCII solid for each design: facets (``ax .. cz``) with their normals, between the
+    lines that name it. One file a task; a design's few hundred facets stay together."""
     point = lambda p: F.concat(F.lit("      vertex "), F.concat_ws(" ", *(F.col(p + c).cast("string") for c in "xyz")))
-    text = F.concat_ws("\n", F.lit("  facet normal 0 0 0"), F.lit("    outer loop"), point("a"), point("b"), point("c"), F.lit("    endloop"), F.lit("  endfacet"))
-    facets.select(text.alias("value")).write.mode("overwrite").text(path)
+    head = F.concat(F.lit("  facet normal "), F.concat_ws(" ", *(x.cast("string") for x in facet_normal())))
+    facet = F.concat_ws("\n", head, F.lit("    outer loop"), point("a"), point("b"), point("c"), F.lit("    endloop"), F.lit("  endfacet"))
+    name = F.concat(F.lit("airframe-"), F.col(by).cast("string"))
+    solids = facets.select(name.alias("name"), facet.alias("facet")).groupBy("name").agg(F.array_sort(F.collect_list("facet")).alias("facets"))
+    solids.select(F.concat_ws("\n", F.concat(F.lit("solid "), "name"), F.array_join("facets", "\n"), F.concat(F.lit("endsolid "), "name")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_log(rows: DataFrame, path: str) -> None:
+    """Structured log lines: one JSON object each, as ``streams.tail_files`` reads them back."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("append").text(path)
 
 
 def wing_facets(designs: DataFrame, sections: int = 24) -> DataFrame:

@@ -29,10 +29,12 @@ def file_logs(spark: SparkSession, path: str, files_per_trigger: int = 1) -> Dat
 
 
 def tail_files(spark: SparkSession, globs: dict[str, str]) -> DataFrame:
-    """Lines of text files, tagged by the pattern they match."""
+    """Lines of text files, tagged by the pattern they match, in the columns that ``normalized``
+    takes. An id is the time that its file was changed, in microseconds, so that later lines are
+    newer; lines of one change share it."""
     rows = None
     for topic, glob in globs.items():
-        part = spark.readStream.format("text").load(glob).select(F.col("value").alias("raw"), F.lit(topic).alias("topic"), F.lit(None).cast("bigint").alias("broker_ts"))
+        part = spark.readStream.format("text").load(glob).select(F.unix_micros("_metadata.file_modification_time").alias("event_id"), F.col("value").alias("raw"), F.lit(topic).alias("topic"), F.lit(None).cast("bigint").alias("broker_ts"))
         rows = part if rows is None else rows.union(part)
     return rows
 
@@ -59,6 +61,22 @@ def to_memory(df: DataFrame, name: str, mode: str, checkpoint: str | None = None
     return df.sparkSession.table(name)
 
 
+def push_to_clients(df: DataFrame, clients: dict[str, L.Filter], send: Callable[[str, str, DataFrame], None], seconds: int = 1, once: bool = False):
+    """Hands each client the rows of a normalized stream that its own filter lets through, as
+    ``send(client, "logs", rows)``, the batch's candidates as ``"candidates"``, and its counts as
+    ``"stats"``, at most once a second."""
+
+    def batch(rows: DataFrame, _: int) -> None:
+        stats = rows.groupBy("source", "level").agg(F.count("*").alias("n"), F.max("ts").alias("newest"))
+        candidates = rows.filter(F.col("genome").isNotNull())
+        for client, wanted in clients.items():
+            send(client, "logs", L.matching(rows, wanted))
+            send(client, "candidates", candidates)
+            send(client, "stats", stats)
+
+    return push(df, batch, seconds, once)
+
+
 def push(df: DataFrame, send: Callable[[DataFrame, int], None], seconds: int = 1, once: bool = False):
     """Hands every micro-batch to ``send``, at most once a second."""
     writer = df.writeStream.foreachBatch(send)

@@ -50,6 +50,53 @@ def test_nearest(spark):
     assert neighbors.knn(q.limit(0), store, 2).count() == 0 and neighbors.knn(q, store.limit(0), 2).count() == 0
 
 
+def test_blocks_of_neighbours_equal_a_scan(spark):
+    rng = random.Random(4)
+    vectors = [(i, [rng.randint(0, 5) / 5 for _ in range(3)]) for i in range(400)]
+    store = spark.createDataFrame(vectors, "store_id long, sg array<double>")
+    q = spark.createDataFrame([(i, v) for i, v in vectors if i % 3 == 0], "query_id long, g array<double>")
+    got = neighbors.knn(q, store, 4, block=20, stored_block=50)
+    assert sorted(got.collect()) == sorted(neighbors.knn(q, store, 4).collect())
+    for r in got.filter("query_id % 60 = 0").collect():
+        every = sorted((math.dist(v, vectors[r.query_id][1]), i) for i, v in vectors)
+        assert r.store_id == every[r["rank"] - 1][1]
+    means = {r.query_id: r.mean_distance for r in neighbors.mean_distance(q, store, block=20, stored_block=50).collect()}
+    assert all(abs(means[i] - sum(math.dist(v, w) for _, w in vectors) / 400) < 1e-9 for i, v in vectors if i % 60 == 0)
+    assert neighbors.knn(q, store.limit(0), 2, block=20).count() == 0
+
+
+def test_second_tier_predicts_once_trained(spark):
+    s = E.Settings(islands=2, size=20, sigma=0.03, generations=4, least=30, fresh=10)
+    rows = E.run(spark, s).orderBy("generation", "island").collect()
+    assert all(r.t1 + r.t2 + r.t3 == 20 for r in rows) and all(r.t2 == 0 for r in rows if r.model == 0)
+    assert [r.model for r in rows][:4] == [0, 0, 1, 1] and sum(r.t2 for r in rows) > 0
+
+    class Broken:
+        def fit(self, x, y):
+            raise AssertionError("too few points for a model")
+
+    assert all(r.t2 == 0 and r.model == 0 for r in E.run(spark, E.Settings(size=10, generations=2), surrogate=Broken).collect())
+
+
+def test_pareto_by_quantiles(spark):
+    rng = random.Random(2)
+    pairs = [(rng.choice([rng.random() * 1e-3, rng.random() * 1e6]), rng.random()) for _ in range(800)] + [(None, 0.0), (1e7, None)]
+    got = {tuple(r) for r in select.pareto(spark.createDataFrame(pairs, "a double, b double"), "a", "b").collect()}
+    whole = [p for p in pairs if None not in p]
+    assert got == {(a, b) for a, b in whole if not any(x >= a and y <= b and (x > a or y < b) for x, y in whole)}
+
+
+def test_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from evospark.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]"))).startswith("file://")
+
+
 def test_curve_order_and_locality():
     unit = np.array([[0, 0], [0, 1], [1, 1], [1, 0]], float)
     assert curve.encode(unit, [0, 1], bits=1) == ["0", "1", "2", "3"]
