@@ -45,7 +45,9 @@ from .filters import bits_of, is_set, keep, with_bit
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text to a bucket of anchors, contexts to a group, contexts of one anchor in a group.
-BUCKET_BYTES, GROUP, HOT = 16_000_000, 20_000, 30_000
+BUCKET_BYTES, GROUP, HOT = 8_000_000, 20_000, 30_000
+#: Bytes of text to a task of groups.
+TASK_BYTES = 64_000_000
 NO_ID = 2**63 - 1
 RUNS = "id long, starts array<int>, ends array<int>"
 
@@ -319,21 +321,23 @@ def find_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: s
     sizes = stored(rows.select("id", F.octet_length("text").alias("n"), F.unhex(F.sha2("text", 256)).alias("digest")), "sizes")
     firsts = stored(sizes.groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n")), "firsts")
     total = firsts.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
+    buckets = max(2 * spark.sparkContext.defaultParallelism, -(-total // bucket_bytes))
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (length - gram) // group)
     copies = sizes.join(firsts.select("digest", "first"), "digest").filter((F.col("id") > F.col("first")) & (F.col("n") >= length)).select("id", F.array(F.lit(0)).alias("starts"), F.array("n").alias("ends"))
 
     # texts that are surely later copies of another one have nothing to add
     words = bits_of(firsts.select(F.col("first").alias("id")))
     packed = with_bit(rows).mapInArrow(_packer(length, gram, buckets, words), PACKED)
-    found = stored(packed.groupBy("bucket").applyInArrow(_matcher(gram, groups, hot), FOUND), "found")
+    # a bucket is a task, however many there are
+    found = stored(packed.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_matcher(gram, groups, hot), FOUND), "found")
     covered = [copies, found.filter("starts is not null").select("id", "starts", "ends")]
 
     going = stored(found.filter("open is not null or hot is not null").groupBy("id").agg(F.flatten(F.collect_list("open")).alias("open"), F.flatten(F.collect_list("groups")).alias("groups"), F.flatten(F.collect_list("hot")).alias("hot")), "going")
     wanted = keep(rows, bits_of(going))
     texts = wanted.join(going, "id")
     contexts = texts.filter(F.size("open") > 0).select("id", "text", "open", "groups").mapInArrow(_contexts(length, gram), "grp int, id long, start int, context binary")
-    covered.append(contexts.groupBy("grp").applyInArrow(_grouped(length), RUNS))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
+    covered.append(contexts.repartition(tasks, "grp").groupBy("grp").applyInArrow(_grouped(length), RUNS))
     if going.filter(F.size("hot") > 0).limit(1).count():
         windows = stored(texts.filter(F.size("hot") > 0).select("id", "text", "hot").mapInArrow(_windows(length, gram), "w1 long, w2 long, id long, start int"), "windows")
         shared = stored(windows.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"), "shared-windows")
