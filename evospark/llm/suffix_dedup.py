@@ -45,7 +45,7 @@ from .filters import bits_of, is_set, keep, with_bit
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text to a bucket of anchors, contexts to a group, contexts of one anchor in a group.
-BUCKET_BYTES, GROUP, HOT = 8_000_000, 20_000, 30_000
+BUCKET_BYTES, GROUP, HOT = 8_000_000, 10_000, 10_000
 #: Bytes of text to a task of groups.
 TASK_BYTES = 64_000_000
 NO_ID = 2**63 - 1
