@@ -167,14 +167,26 @@ def finger_start(spark, d):
     return R.vnodes(spark, NODES, 100).select("vid", *(R.finger_start(v, i).alias(f"f{i}") for i in (0, 4, 19, 20)))
 
 
-@query("ring_hops")
+# Eight nodes with their successors and decimal fingers, and every key's way from the first of them.
+HOPS_SQL = f"""{KV_SQL}, ids AS (SELECT sha1('0|http://node-' || range || ':5000')[1:16] AS vid FROM range(8)),
+nx AS (SELECT vid, coalesce(lead(vid) OVER (ORDER BY vid), (SELECT min(vid) FROM ids)) AS succ FROM ids),
+jumps AS (SELECT vid, lpad(lower(to_hex(((('0x' || vid)::UBIGINT::HUGEINT + ('1' || repeat('0', range::INT))::HUGEINT) % 18446744073709551616)::UBIGINT)), 16, '0') AS target FROM ids, range(17)),
+fingers AS (SELECT j.vid, coalesce(min(i.vid), (SELECT min(vid) FROM ids)) AS finger FROM jumps j LEFT JOIN ids i ON i.vid >= j.target GROUP BY j.vid, j.target UNION SELECT vid, succ FROM nx),
+nodes AS (SELECT nx.vid, succ, list(finger) AS fs FROM nx JOIN fingers USING (vid) GROUP BY nx.vid, succ),
+way AS (SELECT k, sha1(k)[1:16] AS h, (SELECT min(vid) FROM ids) AS here, false AS done, 0 AS hops FROM kv
+UNION ALL SELECT k, h, CASE WHEN arrived THEN succ ELSE coalesce(CASE WHEN here > h THEN list_max([f FOR f IN fs IF f < h]) END, list_max([f FOR f IN fs IF f > here AND (f < h OR here > h)]), succ) END, arrived, hops + 1
+FROM (SELECT way.*, succ, fs, CASE WHEN here = succ THEN true WHEN here < succ THEN h > here AND h <= succ ELSE h > here OR h <= succ END AS arrived FROM way JOIN nodes ON nodes.vid = here WHERE NOT done)),
+routed AS (SELECT k, h, here AS owner, hops FROM way WHERE done)"""
+
+
+@query("ring_hops", f"WITH RECURSIVE {HOPS_SQL} SELECT k, h, owner, hops FROM routed")
 def ring_hops(spark, d):
     """Hops of every key's lookup from the first of eight nodes."""
     ids = sorted(r["vid"] for r in R.vnodes(spark, [f"http://node-{i}:5000" for i in range(8)], 1).collect())
     return R.routes(_hashed(spark, d), ids, ids[0])
 
 
-@query("hop_stats")
+@query("hop_stats", f"WITH RECURSIVE {HOPS_SQL} SELECT round(avg(hops), 6) AS mean, max(hops) AS max, round(var_pop(hops), 6) AS variance, round(quantile_cont(hops::DOUBLE, 0.95), 6) AS p95 FROM routed")
 def hop_stats(spark, d):
     """Mean, maximum, variance and 95th percentile of the hops."""
     return ring_hops(spark, d).agg(r6(F.avg("hops")).alias("mean"), F.max("hops").alias("max"), r6(F.var_pop("hops")).alias("variance"), r6(F.percentile("hops", 0.95)).alias("p95"))
@@ -321,7 +333,17 @@ def window_counts(spark, d):
     return rows.groupBy(M.bin_of(M.feature(F.col("k")), 16).alias("bin")).agg(F.count_if(inside).alias("inside"), F.count_if(~inside).alias("outside"))
 
 
-@query("pid_fold")
+# A round of the controller for each row of ``rounds``, from the state after the one before it.
+PID_SQL = f"""{LEARN_SQL}, counts AS (SELECT least(floor(f * 16), 15)::INT AS bin, rank % 10 AS step, count(*) FILTER (rank % 7 <> 0)::DOUBLE AS inside, count(*)::DOUBLE AS total FROM rk GROUP BY 1, 2),
+rounds AS (SELECT bin, row_number() OVER (PARTITION BY bin ORDER BY step) AS n, total, inside / greatest(total, 1) - 0.95::DOUBLE AS error FROM counts),
+leaf AS (SELECT DISTINCT bin, 0::BIGINT AS n, 0 AS p, 0 AS i, false AS up, 0 AS d, 1.0::DOUBLE AS scale, 0.0::DOUBLE AS shifted FROM rounds
+UNION ALL SELECT bin, n, CASE WHEN idle THEN p ELSE level END, CASE WHEN idle THEN i WHEN output > 2 OR output < 0.5 THEN 1 ELSE least(i + 1, 15) END, CASE WHEN idle THEN up ELSE output BETWEEN 0.5 AND 2 AND level < p END,
+CASE WHEN idle THEN d WHEN output BETWEEN 0.5 AND 2 AND level > p THEN 1 ELSE 0 END, CASE WHEN idle THEN scale WHEN output > 2 THEN scale * 1.05::DOUBLE WHEN output < 0.5 THEN scale * 0.95::DOUBLE ELSE scale END,
+CASE WHEN idle THEN shifted WHEN error > 0 THEN shifted - 0.01::DOUBLE * least(abs(error), 1) ELSE shifted + 0.01::DOUBLE * least(abs(error), 1) END
+FROM (SELECT *, level + i / 4.0::DOUBLE + CASE WHEN up THEN d ELSE -d END AS output FROM (SELECT leaf.* EXCLUDE (n), r.n, error, total < 20 AS idle, CASE WHEN error > 0.05 THEN 3 WHEN error > 0.02 THEN 2 WHEN error > -0.02 THEN 1 ELSE 0 END AS level FROM leaf JOIN rounds r ON r.bin = leaf.bin AND r.n = leaf.n + 1)))"""
+
+
+@query("pid_fold", f"WITH RECURSIVE {PID_SQL} SELECT bin, p, i, up, d, round(scale, 6) AS scale, round(shifted, 6) AS \"offset\" FROM leaf QUALIFY n = max(n) OVER (PARTITION BY bin)")
 def pid_fold(spark, d):
     """Scale and offset of every leaf after ten control rounds."""
     steps = M.ranked(learned(spark, d)).groupBy(M.bin_of(F.col("f"), 16).alias("bin"), (F.col("rank") % 10).alias("step")).agg(F.count_if(F.col("rank") % 7 != 0).alias("inside"), F.count_if(F.col("rank") % 7 == 0).alias("outside"))
