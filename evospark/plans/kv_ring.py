@@ -252,7 +252,19 @@ def radix_fill(spark, d):
     return rmi_radix(spark, d).groupBy("bin").agg(F.count("*").alias("slots"), F.countDistinct("value").alias("values"), F.max("value").alias("top"))
 
 
-@query("rmi_auto")
+# Each number of bins with its leaves and its error on the sketch, then the radix model of the best.
+AUTO_SQL = f"""{LEARN_SQL}, tried AS (SELECT unnest(CASE WHEN (SELECT count(*) FROM lk) < 100 THEN [1] ELSE [8, 16, 32, 64] END) AS bins),
+binned AS (SELECT bins, least(floor(f * bins), bins - 1)::INT AS bin, f, p, rank, rank % greatest(n // 100, 1) = 0 AS in_sketch FROM pk, tried),
+sums AS (SELECT bins, bin, count(*) AS m, sum(f) AS sx, sum(p) AS sy, sum(f * p) AS sxy, count(*) * sum(f * f) - sum(f) * sum(f) AS den FROM binned GROUP BY 1, 2),
+slopes AS (SELECT *, m < 2 OR abs(den) < 1e-12 AS flat, CASE WHEN m < 2 OR abs(den) < 1e-12 THEN 1.0::DOUBLE ELSE (m * sxy - sx * sy) / den END AS weight FROM sums),
+fitted AS (SELECT bins, bin, weight, CASE WHEN flat THEN 0.0::DOUBLE ELSE (sy - weight * sx) / m END AS bias FROM slopes),
+chosen AS (SELECT bins, avg(abs(greatest(0.0::DOUBLE, least(1.0::DOUBLE, weight * f + bias)) - f)) AS error FROM binned JOIN fitted USING (bins, bin) WHERE in_sketch GROUP BY bins ORDER BY error, bins LIMIT 1),
+slots AS (SELECT bin, least(floor(f * 1024), 1023)::INT AS slot, floor(max_by(p, rank) * 4294967295.0::DOUBLE) / 4294967295.0::DOUBLE AS cdf FROM binned JOIN chosen USING (bins) GROUP BY 1, 2),
+radix AS (SELECT avg(abs(cdf - f)) AS error FROM binned b JOIN chosen USING (bins) JOIN slots s ON s.bin = b.bin AND s.slot = least(floor(f * 1024), 1023)::INT WHERE in_sketch),
+verdict AS (SELECT bins, CASE WHEN bins >= 16 AND radix.error < chosen.error THEN 'radix' ELSE 'linear' END AS model FROM chosen, radix)"""
+
+
+@query("rmi_auto", f"WITH {AUTO_SQL} SELECT v.bins, model, e.bin::INT AS bin, round(CASE WHEN model = 'radix' THEN 0.0::DOUBLE ELSE coalesce(weight, 1.0::DOUBLE) END, 6) AS weight, round(CASE WHEN model = 'radix' THEN 0.0::DOUBLE ELSE coalesce(bias, 0.0::DOUBLE) END, 6) AS bias FROM verdict v JOIN (SELECT range AS bin FROM range(64)) e ON e.bin < v.bins LEFT JOIN fitted f ON f.bins = v.bins AND f.bin = e.bin")
 def rmi_auto(spark, d):
     """Bins, kind and leaves of the model that suits the keys best."""
     bins, kind, leaves = M.auto(learned(spark, d))
