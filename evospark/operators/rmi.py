@@ -16,6 +16,8 @@ RADIX = 1024
 U32 = float(2**32 - 1)
 #: What a double holds of 2^64 - 1, and of 2^64.
 U64 = 18446744073709551615.0
+#: Distinct keys, the least by hash, that give the bounds of slices, and the slices' number's root.
+SAMPLED, SIDE = 16_384, 32
 
 
 def _fraction(digits: Column) -> Column:
@@ -42,18 +44,32 @@ def bin_of(f: Column, bins: int) -> Column:
     return F.least(F.floor(f * float(bins)), F.lit(bins - 1)).cast("int")
 
 
+def _slice_of(keys: DataFrame) -> Column:
+    """The slice of a key ``k``: SIDE * SIDE ranges with about equal numbers of the distinct keys,
+    whatever these look like. Two rounds of SIDE comparisons find it."""
+    sample = sorted(r["k"] for r in keys.orderBy(F.xxhash64("k"), "k").limit(SAMPLED).collect())
+    if not sample:
+        return F.lit(0)
+    lows = [sample[i * len(sample) // SIDE**2] for i in range(SIDE**2)]  # of each slice
+    begun = lambda bounds: F.size(F.filter(bounds, lambda low: low <= F.col("k")))
+    coarse = begun(F.lit(lows[SIDE::SIDE]))
+    fine = F.lit([lows[i + 1 : i + SIDE] for i in range(0, SIDE**2, SIDE)])
+    return coarse * SIDE + begun(F.get(fine, coarse))
+
+
 def ranked(keys: DataFrame) -> DataFrame:
-    """``k, f, rank, n, p``: distinct keys with their 0-based rank and empirical CDF.
+    """``k, f, rank, n, p``: distinct keys, nulls aside, with their 0-based rank and empirical CDF.
 
-    Ranks are counted within slices of the first hex digits and shifted by the slices' sums, so
-    that no single task sorts all keys.
+    Ranks are counted within slices of the keys and shifted by the slices' sums, so that no single
+    task sorts all keys.
     """
-    own = keys.select("k").distinct().withColumn("slice", F.substring("k", 1, 14))
+    own = keys.select("k").filter("k is not null").distinct()
+    own = own.withColumn("slice", _slice_of(own))
     sizes = own.groupBy("slice").agg(F.count("*").alias("c"))
     w = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = sizes.select("slice", (F.sum("c").over(w) - F.col("c")).alias("base"), F.sum("c").over(Window.partitionBy()).alias("n"))
     within = own.withColumn("r", F.row_number().over(Window.partitionBy("slice").orderBy("k")) - 1)
-    rows = within.join(starts, "slice")
+    rows = within.join(F.broadcast(starts), "slice")  # a row for each of SIDE * SIDE slices at most
     return rows.select("k", feature(F.col("k")).alias("f"), (F.col("r") + F.col("base")).alias("rank"), "n").withColumn("p", F.col("rank") / F.col("n"))
 
 
