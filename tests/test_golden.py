@@ -113,6 +113,17 @@ def test_key_features(spark):
     assert [r.f for r in df.collect()] == pytest.approx([0, 1 / 3, 2 / 3, 1], abs=1e-4)
 
 
+def test_ranks_of_any_keys(spark):
+    rng = random.Random(5)
+    keys = [f"{'same-' * 9}{rng.randrange(4000):x}" for _ in range(3000)] + [f"{rng.getrandbits(64):016x}" for _ in range(500)] + ["", "é", "z", None, None] + ["hot"] * 2000
+    want = {k: i for i, k in enumerate(sorted(set(keys) - {None}, key=lambda k: k.encode()))}
+    rows = rmi.ranked(spark.createDataFrame([(k,) for k in keys], "k string")).collect()
+    assert {r["k"]: r["rank"] for r in rows} == want and len(rows) == len(want)
+    assert {r["n"] for r in rows} == {len(want)}
+    assert rmi.ranked(spark.createDataFrame([], "k string")).count() == 0
+    assert [r["rank"] for r in rmi.ranked(spark.createDataFrame([("a",), ("a",)], "k string")).collect()] == [0]
+
+
 def test_controller(spark):
     steps = spark.createDataFrame([(0, 0, 0, 100), (1, 0, 95, 5), (2, 0, 1, 1)], "bin int, step int, inside int, outside int")
     r = {x.bin: x for x in rmi.tune(steps).collect()}
