@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extract, minhash_dedup, packing, pii, quality, sentencepiece_viterbi, suffix_dedup, tiff, token_counts
+from . import bpe_matrix, collocations, embedding_dedup, html_extract, minhash_dedup, packing, pii, quality, sentencepiece_viterbi, suffix_dedup, tiff, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_matrix.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"), least=100, top=2_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_best_fit_packing, op3_media_tiff, op4_pii, op5_token_counts, op6_embedding_dedup, op7_minhash_dedup, op8_sentencepiece, op9_html_extraction, op10_suffix_dedup)
+    for f in (op1_quality_classifier, op2_best_fit_packing, op3_media_tiff, op4_pii, op5_token_counts, op6_embedding_dedup, op7_minhash_dedup, op8_sentencepiece, op9_html_extraction, op10_suffix_dedup, op11_byte_bpe, op12_collocations)
 }
 
 REACH = "r AS (SELECT id, id AS root FROM ids UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id), c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)"
@@ -84,4 +92,13 @@ b AS (SELECT doc_id, unnest(l) AS byte, unnest(range(len(l))) AS p FROM (SELECT
 k AS (SELECT doc_id, string_agg(byte, '' ORDER BY p) AS kept FROM b ANTI JOIN cov USING (doc_id, p) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS removed, count(*) FILTER (p IS DISTINCT FROM last + 1) AS spans FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS last FROM cov) GROUP BY doc_id)
 SELECT doc_id, strlen(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(from_hex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op12_collocations": r"""WITH w AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM w),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p), range(1, 6) t(m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM g WHERE m = 1 GROUP BY lang), q AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE f >= 100),
+c AS (SELECT lang, phrase, f, n, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM q JOIN n USING (lang), range(1, 5) t(k) WHERE m > 1 AND k < m),
+s AS (SELECT c.lang, c.phrase, c.f AS a, c.k, x.f AS l, y.f AS r, c.n, (1000::HUGEINT * c.f * c.n) // (x.f::HUGEINT * y.f) AS score FROM c JOIN q x ON x.lang = c.lang AND x.phrase = c.head JOIN q y ON y.lang = c.lang AND y.phrase = c.tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, array_to_string(w[i:j], ' ') AS phrase, max(f) AS f FROM q, range(1, 6) t(i), range(1, 6) u(j) WHERE i < j AND j <= m AND j - i + 1 < m GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank, b.phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.f IS NULL OR o.f < a QUALIFY rank <= 2000""",
 }
