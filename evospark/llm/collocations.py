@@ -1,18 +1,18 @@
 """Phrase collocations from vertical positional inverted lists.
 
 Texts are lower-cased (A to Z), cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and those into words
-``[^\\x20\\x09]+``. A block of texts is turned into lists: for each word of a language, the places
-where it stands. Places count up within a piece and skip one between pieces, so that neighbours in
-a piece are one apart and no others are. A frequent phrase of m words is extended by merge-joining
-its places with the postings of adjacent words: a word's own list for m = 1, later its list after
-a certain word, for frequent pairs alone (without the first place of each, that is what is left of
-a word's list). The length of the joined list is the exact frequency in the block; a sum over the
-blocks decides which phrases go on to the next round, at most four rounds in all.
-
-A phrase's id is that of its row in the stored table of frequent phrases, and a longer one is known
-by its first part's id and its last pair's, so nothing depends on hashes. A phrase inside a longer
-one that occurs as often is also inside one that is one word longer and occurs as often, because
-frequencies only fall with length: that one is looked for.
+``[^\\x20\\x09]+``. A block of texts is turned into lists: for each frequent word of a language, the
+places where it stands. Places count up within a piece and skip one between pieces, so that
+neighbours in a piece are one apart and no others are. A frequent phrase is extended by
+merge-joining its places with the postings of adjacent words, one place on: the words themselves
+at first, later those that end a frequent phrase of the same length there. The length of the
+joined list is the exact frequency in the block; a sum over the blocks decides which phrases go on
+to the next round, of which there are four.
+
+A phrase is known by its words' ids, rows of the stored table of frequent words, so no count
+depends on a hash. A phrase inside a longer one that occurs as often is also inside one that is
+one word longer and occurs as often, because frequencies only fall with length: that one is looked
+for.
 
 Defined cases: null, empty or separator-only text has no words; a null language is ``und``;
 repeated rows count each time; without candidates, or on an empty table, the result is empty; ties
@@ -20,11 +20,11 @@ in score and frequency go by the phrase's UTF-8 bytes; ids and extra columns, wh
 aren't read. A very long text is a block of its own, held whole by one task.
 
 Scale: words are counted before the lists are built. Lists are stored by block (``BLOCK_BYTES`` of
-text or one text), a row each, and all rounds but their small sums stay with the blocks. Sums are
-combined in each task first, so a word that fills a third of a text table is one row a block. A
-round counts first, and takes the places of those only whose bit is set in a filter of fixed size;
-a set bit without a frequent phrase costs time, and the join that follows drops it. Leaders of a
-language are picked in shards before they are ranked.
+text or one text), a row each, and never leave it: rounds shuffle only sums, which each task
+combines first, so a word that fills a third of the table is one row a block. Which phrases go on is
+told to the blocks by a bit filter of fixed size; a bit that is set without a frequent phrase costs
+time, and its lists' extensions can't reach the threshold. Leaders of a language are picked in
+shards before they are ranked.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ship
-from .common import _LOWER, lean, spread, stored, text_bytes
-from .filters import bits_of, is_set, with_bit
+from .common import _LOWER, RollingHash, lean, mix, spread, stored, text_bytes
+from .filters import FILTER_BITS, are_set, set_bits
 
 #: Bytes of texts that make a block; the longest phrase; shards of a language's leaders; languages
 #: whose totals may be broadcast.
@@ -49,10 +49,8 @@ _CUT = np.zeros(256, bool)
 _CUT[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
 _APART = _CUT.copy()
 _APART[[9, 32]] = True
-#: A block's lists: the codes of the lists, where each ends, and all places; SIDES has the adjacent
-#: lists too.
-LISTS = ["block", "codes", "ends", "places"]
-SIDES = [*LISTS, "r_codes", "r_ends", "r_places"]
+#: A block's lists: a phrase's word ids for each list, where each list ends, and all places.
+LISTS = "block long, words binary, ends binary, places binary"
 
 
 def words_and_places(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -64,8 +62,8 @@ def words_and_places(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray
     first = np.zeros(len(raw) + 1, bool)
     first[offsets[:-1]] = True
     start = np.flatnonzero(inside & (np.concatenate(([True], ~inside[:-1])) | first[:-1]))
-    sizes = np.diff(np.concatenate((np.cumsum(inside)[start] - 1, [inside.sum()])))
-    pieces = np.cumsum(_CUT[raw] | first[:-1])[start]
+    sizes = np.diff(np.append(np.cumsum(inside, dtype=np.int32)[start] - 1, inside.sum()))
+    pieces = np.cumsum(_CUT[raw] | first[:-1], dtype=np.int32)[start]
     places = np.arange(len(start)) + np.concatenate(([0], np.cumsum(np.diff(pieces) != 0))) if len(start) else start
     ends = np.concatenate(([0], np.cumsum(sizes)))
     words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw[inside].tobytes())])
@@ -104,97 +102,111 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([lang, word.cast(pa.string()), pa.array(np.diff(ends, prepend=0), pa.int64())], ["lang", "word", "n"])
 
 
+def _bit(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _word_bits(words: pa.Array) -> np.ndarray:
+    raw, offsets = text_bytes(words)
+    return _bit(RollingHash(raw).spans(offsets[:-1], offsets[1:]))
+
+
+def _phrase_bits(words: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(words), np.uint64)
+    for column in words.T:
+        h = mix(h + column.astype(np.uint64))
+    return _bit(h)
+
+
 @lean
-def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each word of a language in a block."""
-    block = TaskContext.get().partitionId() << 24
-    for table in _blocks(batches):
-        lang, word, ends, places = _postings(table)
-        raw, starts = places.tobytes(), np.concatenate(([0], ends[:-1]))
-        for at in range(0, len(ends), 20_000):
-            some = slice(at, at + 20_000)
-            lists = [raw[4 * a : 4 * b] for a, b in zip(starts[some].tolist(), ends[some].tolist())]
-            yield pa.record_batch([pa.array(np.full(len(lists), block), pa.int64()), lang[some], word[some].cast(pa.string()), pa.array(lists, pa.binary())], ["block", "lang", "word", "places"])
-        block += 1
+def _bits_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([pa.array(_word_bits(batch.column("word")))], ["bit"])
 
 
-def _packed(table: pa.Table) -> pa.Table:
-    """The lists ``code, places`` of a block as one row."""
-    order = np.argsort(table.column("code").to_numpy(), kind="stable")
-    places = [table.column("places")[i].as_py() for i in order.tolist()]
-    ends = np.cumsum([len(p) // 4 for p in places], dtype=np.int64)
-    row = [[table.column("block")[0].as_py()], [table.column("code").to_numpy()[order].tobytes()], [ends.tobytes()], [b"".join(places)]]
-    return pa.table(row, ["block", "codes", "ends", "places"])
+@lean
+def _bits_of_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([pa.array(_phrase_bits(np.stack([c.to_numpy() for c in batch.columns], 1)))], ["bit"])
 
 
-def _beside(lists: pa.Table, pairs: pa.Table) -> pa.Table:
-    """The lists of a block packed, with the pairs' lists of the same block."""
-    if not lists.num_rows or not pairs.num_rows:
-        return pa.table([pa.array([], pa.int64() if c == "block" else pa.binary()) for c in SIDES], SIDES)
-    packed = _packed(lists)
-    for name in LISTS[1:]:
-        packed = packed.append_column("r_" + name, pairs.column(name))
-    return packed
+def _listing(bits: np.ndarray):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each word of a language in a block, if its bit is set."""
+        block = TaskContext.get().partitionId() << 24
+        for table in _blocks(batches):
+            lang, word, ends, places = _postings(table)
+            raw, starts = places.tobytes(), np.append(0, ends[:-1])
+            wanted = np.flatnonzero(are_set(bits, _word_bits(word))) if len(word) else np.zeros(0, np.int64)
+            for at in range(0, len(wanted), 20_000):
+                some = wanted[at : at + 20_000]
+                lists = [raw[4 * a : 4 * b] for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+                yield pa.record_batch([pa.array(np.full(len(some), block), pa.int64()), lang.take(pa.array(some)), word.take(pa.array(some)).cast(pa.string()), pa.array(lists, pa.binary())], ["block", "lang", "word", "places"])
+            block += 1
+
+    return run
 
 
-def _lists_of(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
-    """Places in their order and the code of the list that each is from."""
-    codes, ends, places = (np.frombuffer(row[prefix + k], t) for k, t in zip(LISTS[1:], (np.int64, np.int64, np.int32)))
-    order = np.argsort(places, kind="stable")
-    return np.repeat(codes, np.diff(ends, prepend=0))[order], places[order]
+def _row(block: int, words: np.ndarray, ends: np.ndarray, places: bytes) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (words.astype(np.int64).tobytes(), ends.astype(np.int64).tobytes(), places))], ["block", "words", "ends", "places"])
 
 
-def _merge_join(row: dict, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code, adjacent code, place) where an adjacent list has a place ``shift`` beyond a list's."""
-    a, at = _lists_of(row)
-    b, there = _lists_of(row, "r_") if "r_codes" in row else (a, at)
-    i = np.minimum(np.searchsorted(there, at + shift), max(len(there) - 1, 0))
-    met = there[i] == at + shift if len(there) else np.zeros(len(at), bool)
-    return a[met], b[i[met]], at[met]
+def _packed(table: pa.Table) -> pa.Table:
+    """The words' lists of a block as one row."""
+    places = table.column("places").to_pylist()
+    return pa.Table.from_batches([_row(table.column("block")[0].as_py(), table.column("code").to_numpy(), np.cumsum([len(p) // 4 for p in places]), b"".join(places))])
 
 
-def _by_block(rows: DataFrame, pairs: DataFrame | None, name: str) -> DataFrame:
-    """Rows ``block, code, places`` as one stored row of each block, with the pairs' lists if given."""
-    schema = lambda names: ", ".join(f"{c} {'long' if c == 'block' else 'binary'}" for c in names)
-    groups = rows.groupBy("block")
-    return stored(groups.applyInArrow(_packed, schema(LISTS)) if pairs is None else groups.cogroup(pairs.groupBy("block")).applyInArrow(_beside, schema(SIDES)), name)
+def _extended(batch: pa.RecordBatch, row: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word ids, ends and places of the lists of m + 1 words: the lists of m words, merged into the
+    order of places where each place has one list, join with themselves one place on."""
+    words, ends, places = (np.frombuffer(batch.column(c)[row].as_py(), t) for c, t in (("words", np.int64), ("ends", np.int64), ("places", np.int32)))
+    words, order = words.reshape(-1, m), np.argsort(places, kind="stable")
+    lists, places = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))[order], places[order]
+    met = np.flatnonzero(np.diff(places) == 1)
+    pair = lists[met] * len(words) + lists[met + 1]
+    order = np.argsort(pair, kind="stable")
+    pair, places = pair[order], places[met[order]]
+    last = np.flatnonzero(np.append(pair[1:] != pair[:-1], True)) if len(pair) else np.zeros(0, np.int64)
+    first, second = np.divmod(pair[last], max(len(words), 1))
+    return np.hstack((words[first], words[second][:, -1:])), last + 1, places
 
 
-def _extending(shift: int, with_places: bool):
-    """Rows ``a, b, n`` or ``block, a, b, places`` of the extensions in each block."""
+def _counting(m: int):
+    """Rows ``w1 .., n`` of the lists of m + 1 words of each block."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                own = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
-                a, b, at = _merge_join(own, shift)
-                order = np.lexsort((at, b, a))
-                a, b, at = a[order], b[order], at[order]
-                last = np.flatnonzero(np.append((a[1:] != a[:-1]) | (b[1:] != b[:-1]), True)) if len(a) else np.zeros(0, np.int64)
-                n = np.diff(last, prepend=-1)
-                for k in range(0, len(last), 50_000):
-                    some = last[k : k + 50_000]
-                    columns, names = [pa.array(a[some]), pa.array(b[some])], ["a", "b"]
-                    if with_places:
-                        lists = [at[e + 1 - c : e + 1].tobytes() for e, c in zip(some.tolist(), n[k : k + 50_000].tolist())]
-                        columns, names = [pa.array(np.full(len(some), own["block"])), *columns, pa.array(lists, pa.binary())], ["block", *names, "places"]
-                    else:
-                        columns, names = [*columns, pa.array(n[k : k + 50_000], pa.int64())], [*names, "n"]
-                    yield pa.record_batch(columns, names)
+                words, ends, _ = _extended(batch, row, m)
+                n = np.diff(ends, prepend=0)
+                for at in range(0, len(n), 50_000):
+                    yield pa.record_batch([*(pa.array(np.ascontiguousarray(c)) for c in words[at : at + 50_000].T), pa.array(n[at : at + 50_000])], [*_ids(m + 1), "n"])
 
     return run
 
 
-def _kept(bits: np.ndarray, names: list[str]):
+def _extending(m: int, bits: np.ndarray):
+    """The lists of m + 1 words of each block whose bit is set, a row a block."""
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(is_set(bits, batch))).select(names)
+            for row in range(batch.num_rows):
+                words, ends, places = _extended(batch, row, m)
+                on, sizes = are_set(bits, _phrase_bits(words)), np.diff(ends, prepend=0)
+                if on.any():
+                    yield _row(batch.column("block")[row].as_py(), words[on], np.cumsum(sizes[on]), places[np.repeat(on, sizes)].tobytes())
 
     return run
 
 
+def _ids(m: int) -> list[str]:
+    return [f"w{i}" for i in range(1, m + 1)]
+
+
 def frequent_phrases(docs: DataFrame, least: int, lang_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """``lang, words, f`` of all phrases of one to LONGEST words that occur ``least`` times, and
     ``lang, n``: all words."""
@@ -202,32 +214,23 @@ def frequent_phrases(docs: DataFrame, least: int, lang_col: str, text_col: str)
     texts = spread(docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
     counts = stored(texts.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f")), "word-counts")
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    number = F.monotonically_increasing_id()
-    words = stored(counts.filter(F.col("f") >= least).select(number.alias("code"), "lang", "word", "f"), "frequent-words")
-    lists = texts.mapInArrow(_list, "block long, lang string, word string, places binary").join(words, ["lang", "word"])
-    held = _by_block(lists.select("block", "code", "places"), None, "word-lists")
-    last = words.select("code", "lang", F.array("word").alias("words"), "f")
-    found, pairs = [last], None
+    words = stored(counts.filter(F.col("f") >= least).select(F.monotonically_increasing_id().alias("code"), "lang", "word", "f"), "frequent-words")
+    bits = set_bits(words.select("word").mapInArrow(_bits_of_words, "bit long"))
+    postings = texts.mapInArrow(_listing(bits), "block long, lang string, word string, places binary").join(words, ["lang", "word"])
+    lists = stored(postings.select("block", "code", "places").groupBy("block").applyInArrow(_packed, LISTS), "word-lists")
+    last = words.select(F.col("code").alias("w1"), "lang", F.array("word").alias("words"), "f")
+    every = last.select("lang", "words", "f")
     for m in range(1, LONGEST):
-        shift = max(m - 1, 1)
-        sums = held.mapInArrow(_extending(shift, False), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("f"))
-        longer = stored(sums.filter(F.col("f") >= least).select(number.alias("code"), "a", "b", "f"), f"frequent-{m + 1}")
-        ends = found[min(m - 1, 1)].select(F.col("code").alias("b"), F.element_at("words", -1).alias("word"))
-        named = longer.join(last.select(F.col("code").alias("a"), "lang", "words"), "a").join(ends, "b")
-        last = stored(named.select("code", "lang", F.concat("words", F.array("word")).alias("words"), "f"), f"phrases-{m + 1}")
-        found.append(last)
+        ids = _ids(m + 1)
+        sums = lists.mapInArrow(_counting(m), ", ".join(f"{c} long" for c in ids) + ", n long").groupBy(*ids).agg(F.sum("n").alias("f"))
+        longer = stored(sums.filter(F.col("f") >= least), f"frequent-{m + 1}")
+        named = longer.join(last.drop("f"), ids[:-1]).join(words.select(F.col("code").alias(ids[-1]), "word"), ids[-1])
+        last = stored(named.select(*ids, "lang", F.concat("words", F.array("word")).alias("words"), "f"), f"phrases-{m + 1}")
+        every = every.union(last.select("lang", "words", "f"))
         if m + 1 < LONGEST:
-            key = F.xxhash64("a", "b")
-            bits = bits_of(longer.select(key.alias("id")))
-            schema = "block long, a long, b long, places binary"
-            places = held.mapInArrow(_extending(shift, True), schema).withColumn("id", key)
-            tested = with_bit(places).drop("id").mapInArrow(_kept(bits, ["block", "a", "b", "places"]), schema)
-            held = _by_block(tested.join(longer, ["a", "b"]).select("block", "code", "places"), pairs, f"lists-{m + 1}")
-            pairs = held if m == 1 else pairs
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
-    return every.select("lang", "words", "f"), totals
+            bits = set_bits(longer.select(*ids).mapInArrow(_bits_of_phrases, "bit long"))
+            lists = stored(lists.mapInArrow(_extending(m, bits), LISTS), f"lists-{m + 1}")
+    return every, totals
 
 
 def _some(words: Column | str, start: Column | int, n: Column) -> Column:

@@ -19,8 +19,12 @@ FILTER_BITS = 1 << 24
 
 
 def bits_of(ids: DataFrame) -> np.ndarray:
-    """The filter of a column ``id``: FILTER_BITS / 64 rows at most come to the driver."""
-    bits = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
+    """The filter of a column ``id``."""
+    return set_bits(ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit")))
+
+
+def set_bits(bits: DataFrame) -> np.ndarray:
+    """The filter of a column ``bit``: FILTER_BITS / 64 rows at most come to the driver."""
     words = bits.selectExpr("bit div 64 as word", "shiftleft(1L, cast(bit % 64 as int)) as mask").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[words.column("word").to_numpy()] = words.column("mask").to_numpy()
@@ -31,11 +35,14 @@ def with_bit(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)))
 
 
-def is_set(words: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-    bit = batch.column("bit").to_numpy()
+def are_set(words: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (words[bit >> 6] >> (bit & 63)) & 1 == 1
 
 
+def is_set(words: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    return are_set(words, batch.column("bit").to_numpy())
+
+
 def keep(rows: DataFrame, words: np.ndarray) -> DataFrame:
     """The rows ``id, text`` whose bit is set."""
 
