@@ -9,8 +9,7 @@ at first, later those that end a frequent phrase of the same length there. The l
 joined list is the exact frequency in the block; a sum over the blocks decides which phrases go on
 to the next round, of which there are four.
 
-A phrase is known by its words' ids, rows of the stored table of frequent words, so no count
-depends on a hash. A phrase inside a longer one that occurs as often is also inside one that is
+A phrase is known by its language and words themselves, so no count depends on a hash. A phrase inside a longer one that occurs as often is also inside one that is
 one word longer and occurs as often, because frequencies only fall with length: that one is looked
 for.
 
@@ -30,16 +29,17 @@ shards before they are ranked.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ship
-from .common import _LOWER, RollingHash, lean, mix, spread, stored, text_bytes
+from .common import _LOWER, RollingHash, lean, spread, stored, text_bytes
 from .filters import FILTER_BITS, are_set, set_bits
 
 #: Bytes of texts that make a block; the longest phrase; shards of a language's leaders; languages
@@ -49,8 +49,9 @@ _CUT = np.zeros(256, bool)
 _CUT[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
 _APART = _CUT.copy()
 _APART[[9, 32]] = True
-#: A block's lists: a phrase's word ids for each list, where each list ends, and all places.
-LISTS = "block long, words binary, ends binary, places binary"
+#: A block's lists: language and phrase of each list with a line feed between (no word holds one),
+#: the phrase's last word, where each list ends, and all places.
+LISTS = "phrases array<string>, words array<string>, ends binary, places binary"
 
 
 def words_and_places(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -84,153 +85,120 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _postings(table: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
-    """Languages, words, ends of the lists and places, one list after another."""
+    """Phrases of one word, the words, ends of their lists and places, one list after another."""
     words, rows, places = words_and_places(table.column("text").combine_chunks())
     langs, known = table.column("lang").combine_chunks().dictionary_encode(), words.dictionary_encode()
     keys = np.asarray(known.indices).astype(np.int64) * max(len(langs.dictionary), 1) + np.asarray(langs.indices)[rows]
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) if len(keys) else np.zeros(0, np.int64)
+    last = _lasts(keys)
     word, lang = np.divmod(keys[last], max(len(langs.dictionary), 1))
-    return langs.dictionary.take(pa.array(lang)), known.dictionary.take(pa.array(word)), last + 1, places[order].astype(np.int32)
+    word = known.dictionary.take(pa.array(word)).cast(pa.string())
+    return _joined(langs.dictionary.take(pa.array(lang)), word, "\n"), word, last + 1, places[order].astype(np.int32)
 
 
-@lean
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _blocks(batches):
-        lang, word, ends, _ = _postings(table)
-        yield pa.record_batch([lang, word.cast(pa.string()), pa.array(np.diff(ends, prepend=0), pa.int64())], ["lang", "word", "n"])
-
+def _joined(a: pa.Array, b: pa.Array, mark: str) -> pa.Array:
+    return pc.binary_join_element_wise(a.cast(pa.string()), b, mark)
 
-def _bit(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
+def _lasts(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal keys end."""
+    return np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) if len(keys) else np.zeros(0, np.int64)
 
-def _word_bits(words: pa.Array) -> np.ndarray:
-    raw, offsets = text_bytes(words)
-    return _bit(RollingHash(raw).spans(offsets[:-1], offsets[1:]))
 
-
-def _phrase_bits(words: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(words), np.uint64)
-    for column in words.T:
-        h = mix(h + column.astype(np.uint64))
-    return _bit(h)
+def _bits(phrases: pa.Array) -> np.ndarray:
+    raw, offsets = text_bytes(phrases)
+    return (RollingHash(raw).spans(offsets[:-1], offsets[1:]) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
 @lean
-def _bits_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch([pa.array(_word_bits(batch.column("word")))], ["bit"])
+        yield pa.record_batch([pa.array(_bits(batch.column("phrase")))], ["bit"])
 
 
 @lean
-def _bits_of_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.record_batch([pa.array(_phrase_bits(np.stack([c.to_numpy() for c in batch.columns], 1)))], ["bit"])
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in _blocks(batches):
+        phrases, _, ends, _ = _postings(table)
+        yield pa.record_batch([phrases, pa.array(np.diff(ends, prepend=0), pa.int64())], ["phrase", "n"])
+
+
+def _block(phrases: pa.Array, words: pa.Array, ends: np.ndarray, places: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The lists whose bit is set, as one row."""
+    on, sizes = are_set(bits, _bits(phrases)) if len(phrases) else np.zeros(0, bool), np.diff(ends, prepend=0)
+    if on.any():
+        mask, listed = pa.array(on), lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        raw = [np.cumsum(sizes[on]).astype(np.int64).tobytes(), places[np.repeat(on, sizes)].tobytes()]
+        yield pa.record_batch([listed(phrases.filter(mask)), listed(words.filter(mask)), *(pa.array([x], pa.binary()) for x in raw)], ["phrases", "words", "ends", "places"])
 
 
 def _listing(bits: np.ndarray):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each word of a language in a block, if its bit is set."""
-        block = TaskContext.get().partitionId() << 24
         for table in _blocks(batches):
-            lang, word, ends, places = _postings(table)
-            raw, starts = places.tobytes(), np.append(0, ends[:-1])
-            wanted = np.flatnonzero(are_set(bits, _word_bits(word))) if len(word) else np.zeros(0, np.int64)
-            for at in range(0, len(wanted), 20_000):
-                some = wanted[at : at + 20_000]
-                lists = [raw[4 * a : 4 * b] for a, b in zip(starts[some].tolist(), ends[some].tolist())]
-                yield pa.record_batch([pa.array(np.full(len(some), block), pa.int64()), lang.take(pa.array(some)), word.take(pa.array(some)).cast(pa.string()), pa.array(lists, pa.binary())], ["block", "lang", "word", "places"])
-            block += 1
+            yield from _block(*_postings(table), bits)
 
     return run
 
 
-def _row(block: int, words: np.ndarray, ends: np.ndarray, places: bytes) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (words.astype(np.int64).tobytes(), ends.astype(np.int64).tobytes(), places))], ["block", "words", "ends", "places"])
-
-
-def _packed(table: pa.Table) -> pa.Table:
-    """The words' lists of a block as one row."""
-    places = table.column("places").to_pylist()
-    return pa.Table.from_batches([_row(table.column("block")[0].as_py(), table.column("code").to_numpy(), np.cumsum([len(p) // 4 for p in places]), b"".join(places))])
-
-
-def _extended(batch: pa.RecordBatch, row: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids, ends and places of the lists of m + 1 words: the lists of m words, merged into the
-    order of places where each place has one list, join with themselves one place on."""
-    words, ends, places = (np.frombuffer(batch.column(c)[row].as_py(), t) for c, t in (("words", np.int64), ("ends", np.int64), ("places", np.int32)))
-    words, order = words.reshape(-1, m), np.argsort(places, kind="stable")
-    lists, places = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))[order], places[order]
+def _extended(batch: pa.RecordBatch, row: int) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases and last words of a block's lists; of the lists that are one word longer, which list
+    and which adjacent one make them, ends and places. The lists, merged into the order of places
+    where each place has one list, join with themselves one place on."""
+    phrases, words = (batch.column(c)[row].values for c in ("phrases", "words"))
+    ends, places = (np.frombuffer(batch.column(c)[row].as_py(), t) for c, t in (("ends", np.int64), ("places", np.int32)))
+    order = np.argsort(places, kind="stable")
+    lists, places = np.repeat(np.arange(len(phrases)), np.diff(ends, prepend=0))[order], places[order]
     met = np.flatnonzero(np.diff(places) == 1)
-    pair = lists[met] * len(words) + lists[met + 1]
+    pair = lists[met] * len(phrases) + lists[met + 1]
     order = np.argsort(pair, kind="stable")
-    pair, places = pair[order], places[met[order]]
-    last = np.flatnonzero(np.append(pair[1:] != pair[:-1], True)) if len(pair) else np.zeros(0, np.int64)
-    first, second = np.divmod(pair[last], max(len(words), 1))
-    return np.hstack((words[first], words[second][:, -1:])), last + 1, places
+    pair = pair[order]
+    last = _lasts(pair)
+    first, second = np.divmod(pair[last], max(len(phrases), 1))
+    return phrases, words, first, second, last + 1, places[met[order]]
 
 
-def _counting(m: int):
-    """Rows ``w1 .., n`` of the lists of m + 1 words of each block."""
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                words, ends, _ = _extended(batch, row, m)
-                n = np.diff(ends, prepend=0)
-                for at in range(0, len(n), 50_000):
-                    yield pa.record_batch([*(pa.array(np.ascontiguousarray(c)) for c in words[at : at + 50_000].T), pa.array(n[at : at + 50_000])], [*_ids(m + 1), "n"])
-
-    return run
-
+@lean
+def _count_longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            phrases, words, first, second, ends, _ = _extended(batch, row)
+            n = np.diff(ends, prepend=0)
+            for at in range(0, len(n), 50_000):
+                a, b = (pa.array(x[at : at + 50_000]) for x in (first, second))
+                yield pa.record_batch([_joined(phrases.take(a), words.take(b), " "), pa.array(n[at : at + 50_000], pa.int64())], ["phrase", "n"])
 
-def _extending(m: int, bits: np.ndarray):
-    """The lists of m + 1 words of each block whose bit is set, a row a block."""
 
+def _extending(bits: np.ndarray):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                words, ends, places = _extended(batch, row, m)
-                on, sizes = are_set(bits, _phrase_bits(words)), np.diff(ends, prepend=0)
-                if on.any():
-                    yield _row(batch.column("block")[row].as_py(), words[on], np.cumsum(sizes[on]), places[np.repeat(on, sizes)].tobytes())
+                phrases, words, first, second, ends, places = _extended(batch, row)
+                adjacent = words.take(pa.array(second))
+                yield from _block(_joined(phrases.take(pa.array(first)), adjacent, " "), adjacent, ends, places, bits)
 
     return run
 
 
-def _ids(m: int) -> list[str]:
-    return [f"w{i}" for i in range(1, m + 1)]
-
-
 def frequent_phrases(docs: DataFrame, least: int, lang_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``lang, words, f`` of all phrases of one to LONGEST words that occur ``least`` times, and
-    ``lang, n``: all words."""
+    """``lang, phrase, size, f`` of all phrases of one to LONGEST words that occur ``least`` times,
+    and ``lang, n``: all words."""
     ship(docs.sparkSession)
     texts = spread(docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
-    counts = stored(texts.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f")), "word-counts")
-    totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = stored(counts.filter(F.col("f") >= least).select(F.monotonically_increasing_id().alias("code"), "lang", "word", "f"), "frequent-words")
-    bits = set_bits(words.select("word").mapInArrow(_bits_of_words, "bit long"))
-    postings = texts.mapInArrow(_listing(bits), "block long, lang string, word string, places binary").join(words, ["lang", "word"])
-    lists = stored(postings.select("block", "code", "places").groupBy("block").applyInArrow(_packed, LISTS), "word-lists")
-    last = words.select(F.col("code").alias("w1"), "lang", F.array("word").alias("words"), "f")
-    every = last.select("lang", "words", "f")
-    for m in range(1, LONGEST):
-        ids = _ids(m + 1)
-        sums = lists.mapInArrow(_counting(m), ", ".join(f"{c} long" for c in ids) + ", n long").groupBy(*ids).agg(F.sum("n").alias("f"))
-        longer = stored(sums.filter(F.col("f") >= least), f"frequent-{m + 1}")
-        named = longer.join(last.drop("f"), ids[:-1]).join(words.select(F.col("code").alias(ids[-1]), "word"), ids[-1])
-        last = stored(named.select(*ids, "lang", F.concat("words", F.array("word")).alias("words"), "f"), f"phrases-{m + 1}")
-        every = every.union(last.select("lang", "words", "f"))
-        if m + 1 < LONGEST:
-            bits = set_bits(longer.select(*ids).mapInArrow(_bits_of_phrases, "bit long"))
-            lists = stored(lists.mapInArrow(_extending(m, bits), LISTS), f"lists-{m + 1}")
-    return every, totals
+    phrase = F.substring_index("phrase", "\n", -1)
+    lang = F.left("phrase", F.length("phrase") - F.length(phrase) - 1).alias("lang")
+    words = stored(texts.mapInArrow(_count_words, "phrase string, n long").groupBy("phrase").agg(F.sum("n").alias("f")), "word-counts")
+    totals = words.groupBy(lang).agg(F.sum("f").alias("n"))
+    sums, found = words, []
+    for m in range(1, LONGEST + 1):
+        found.append(stored(sums.filter(F.col("f") >= least), f"frequent-{m}").withColumn("size", F.lit(m)))
+        if m < LONGEST:
+            bits = set_bits(found[-1].select("phrase").mapInArrow(_bits_of, "bit long"))
+            lists = stored(texts.mapInArrow(_listing(bits), LISTS) if m == 1 else lists.mapInArrow(_extending(bits), LISTS), f"lists-{m}")
+            sums = lists.mapInArrow(_count_longer, "phrase string, n long").groupBy("phrase").agg(F.sum("n").alias("f"))
+    return reduce(DataFrame.union, found).select(lang, phrase.alias("phrase"), "size", "f"), totals
 
 
 def _some(words: Column | str, start: Column | int, n: Column) -> Column:
@@ -246,7 +214,7 @@ def _ranked(rows: DataFrame, top: int, *by: str) -> DataFrame:
 def mine(docs: DataFrame, least: int = 100, top: int = 2_000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the first ``top`` phrases of each language."""
     every, totals = frequent_phrases(docs, least, lang_col, text_col)
-    phrases = every.withColumn("phrase", F.concat_ws(" ", "words")).withColumn("size", F.size("words"))
+    phrases = every.withColumn("words", F.split("phrase", " "))
     candidates = phrases.filter("size > 1").withColumnRenamed("f", "a")
     few = totals.limit(LANGS + 1).count() <= LANGS
     parts = candidates.join(F.broadcast(totals) if few else totals, "lang").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
