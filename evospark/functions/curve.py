@@ -71,18 +71,19 @@ def encode(unit: np.ndarray, order: list[int], bits: int = BITS) -> list[str]:
 
 
 def probe_keys(df: DataFrame, id_col: str, vector_col: str, curves: int, bits: int = BITS) -> DataFrame:
-    """``curve, hkey, <id>``: a row for each point and curve; null vectors have none."""
+    """``curve, hkey, <id>``: a row for each point and curve; null and empty vectors have none, nor
+    have those with a component that is null or not finite."""
+    from ..operators.neighbors import by_length, usable
+
     ship(df.sparkSession)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            for c, order in enumerate(permutations(unit.shape[1], curves)):
-                yield pa.record_batch([pa.array([c] * batch.num_rows, pa.int32()), pa.array(encode(unit, order, bits)), batch.column("id")], ["curve", "hkey", id_col])
+            for ids, unit in by_length(batch):
+                for c, order in enumerate(permutations(unit.shape[1], curves)):
+                    yield pa.record_batch([pa.array([c] * len(ids), pa.int32()), pa.array(encode(unit, order, bits)), pa.array(ids)], ["curve", "hkey", id_col])
 
-    rows = df.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = df.filter(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     return rows.mapInArrow(keys, f"curve int, hkey string, {id_col} long")
 
 

@@ -58,6 +58,7 @@ class GaussianProcess:
     noise: float = 1e-3
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> GaussianProcess:
+        self.width = x.shape[1]
         self.x_scaler, self.y_scaler = Scaler().fit(x), Scaler().fit(y)
         self.x, z = self.x_scaler.transform(x), self.y_scaler.transform(y)
         if self.scales is None:
@@ -81,7 +82,7 @@ class Neighbours:
     k: int = 5
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Neighbours:
-        self.scaler = Scaler().fit(x)
+        self.scaler, self.width = Scaler().fit(x), x.shape[1]
         self.x, self.y = self.scaler.transform(x), y
         return self
 
@@ -129,7 +130,7 @@ class RandomForest:
         return (int(f), float(cut), self._grow(x[low], y[low], rng, depth - 1), self._grow(x[~low], y[~low], rng, depth - 1))
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> RandomForest:
-        rng = np.random.default_rng(self.seed)
+        rng, self.width = np.random.default_rng(self.seed), x.shape[1]
         self.roots = []
         for _ in range(self.trees):
             own = rng.integers(0, len(y), len(y))
@@ -162,7 +163,7 @@ class Perceptron:
     seed: int = 42
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Perceptron:
-        rng = np.random.default_rng(self.seed)
+        rng, self.width = np.random.default_rng(self.seed), x.shape[1]
         self.x_scaler, self.y_scaler = Scaler().fit(x), Scaler().fit(y)
         x, y = self.x_scaler.transform(x), self.y_scaler.transform(y)
         sizes = [x.shape[1], *self.hidden, 1]
@@ -270,22 +271,38 @@ def optimize_gp(spark: SparkSession, x: np.ndarray, y: np.ndarray, starts: int =
 
 
 def predict(df: DataFrame, model, vector: str = "g", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``df``'s ``keep`` columns with ``mean`` and ``variance`` for every vector."""
+    """``df``'s ``keep`` columns with ``mean`` and ``variance`` for every vector; both are null where
+    the vector is null, of another length than the model's or holds what isn't finite."""
     spark = ship(df.sparkSession)
     shared = spark.sparkContext.broadcast(model)  # a window of a thousand rows, or its weights
     fields = df.select(*keep).schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    width = getattr(model, "width", None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                x = part.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                mean, var = shared.value.predict(x)
-                yield pa.record_batch([*(part.column(c) for c in keep), pa.array(mean), pa.array(var)], [*keep, "mean", "variance"])
+                known, x = matrix(part.column(vector), width)
+                mean, var = np.zeros(part.num_rows), np.zeros(part.num_rows)
+                if len(x):
+                    mean[known], var[known] = shared.value.predict(x)
+                yield pa.record_batch([*(part.column(c) for c in keep), pa.array(mean, mask=~known), pa.array(var, mask=~known)], [*keep, "mean", "variance"])
 
     return df.select(*dict.fromkeys([*keep, vector])).mapInArrow(run, f"{fields}, mean double, variance double")
 
 
+def matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows hold a finite vector of ``width`` (of the first row that has one, if None), and these."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null component is NaN
+    finite = np.add.reduceat(np.append(~np.isfinite(flat), False), np.minimum(np.cumsum(lengths) - lengths, len(flat))) == 0
+    known = (lengths > 0) & finite
+    width = width or (int(lengths[known][0]) if known.any() else 0)
+    known &= lengths == width
+    starts = (np.cumsum(lengths) - lengths)[known]
+    return known, flat[starts[:, None] + np.arange(width)] if known.any() else np.zeros((0, width))
+
+
 #: Copies of equal rows that a task numbers at once.
 COPIES = 4_096
 

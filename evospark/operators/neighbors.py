@@ -3,89 +3,197 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
-from ..session import ship
+from ..session import ship, stored
 
 #: Queries that may go to every task, and the stored points that a block of them meets beyond that.
 QUERY_BLOCK, STORE_BLOCK = 4_096, 16_384
+#: Stored points that give the centres of cells, cells and a cell's rings at most, rows of a slice.
+SAMPLED, CELLS, RINGS, ROWS = 4_096, 256, 64, 8_192
+#: Dimensions of the grid of a radius join; a point is copied to 3 ** GRID cells.
+GRID = 3
 #: Leading hex digits of a curve key that make a slice of it.
 SLICE = 4
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def usable(vector: str) -> Column:
+    """Vectors that can have a neighbour: not null, not empty, every component finite."""
+    x = F.col(vector)
+    return F.coalesce((F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
 
 
 Stored = Iterator[tuple[np.ndarray, np.ndarray]]
-Work = Callable[[np.ndarray, np.ndarray, Stored], pa.RecordBatch]
+
+
+def by_length(batch: pa.RecordBatch | pa.Table, size: int = ROWS) -> Stored:
+    """Ids and vectors of a batch in matrices of one width each, of at most ``size`` rows."""
+    for at in range(0, batch.num_rows, size):
+        part = batch.slice(at, size)
+        ids, column = part.column("id").to_numpy(), part.column("v")
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        sizes, flat = column.value_lengths().to_numpy(), column.flatten().to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        for n in np.unique(sizes):
+            own = np.flatnonzero(sizes == n)
+            yield ids[own], flat[starts[own, None] + np.arange(n)]
 
 
 def _distances(points: np.ndarray, stored: np.ndarray) -> np.ndarray:
+    """Over the shorter width of both."""
     d = np.zeros((len(points), len(stored)))
-    for dim in range(points.shape[1]):  # in order, so that sums are those of a plain loop
+    for dim in range(min(points.shape[1], stored.shape[1])):  # in order, so that sums are those of a plain loop
         d += (points[:, dim, None] - stored[None, :, dim]) ** 2
     return np.sqrt(d)
 
 
-def _nearest(k: int) -> Work:
-    """The best k of the stored rows for each query, k rows a query held at a time."""
+class Cells:
+    """Voronoi cells around the centres of a bounded sample, and what the triangle inequality says of
+    them: a stored point at r from its centre is at least ``|d - r|`` from a query at d from that
+    centre, and at least as far as the plane between the cell's centre and the query's own."""
+
+    def __init__(self, sample: np.ndarray, most: int = CELLS):
+        self.sample = sample
+        n = max(1, min(most, len(sample) // 16))
+        self.centres = sample[:: max(1, len(sample) // n)][:n].copy()
+        for _ in range(4):
+            own = self.distances(sample).argmin(1)
+            for c in range(len(self.centres)):
+                if (own == c).any():
+                    self.centres[c] = sample[own == c].mean(0)
+        self.between = _distances(self.centres, self.centres)
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return _distances(x, self.centres)
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = self.distances(x)
+        cell = d.argmin(1)
+        return cell, d[np.arange(len(x)), cell]
 
-    def work(ids: np.ndarray, points: np.ndarray, rows: Stored) -> pa.RecordBatch:
-        best_d = np.full((len(ids), k), np.inf)
-        best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
-        for sid, stored in rows:
-            d = _distances(points, stored)
-            all_d = np.hstack((best_d, d))
-            all_i = np.hstack((best_i, np.broadcast_to(sid, d.shape)))
-            order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-        q, r = np.nonzero(np.isfinite(best_d))
-        return pa.record_batch([pa.array(ids[q]), pa.array(best_i[q, r]), pa.array(best_d[q, r])], ["query_id", "store_id", "d"])
+    def planes(self, d: np.ndarray) -> np.ndarray:
+        """The least distance of queries at ``d`` from the centres to the points of every cell."""
+        own = d.argmin(1)
+        to_own = d[np.arange(len(d)), own][:, None]
+        width = self.between[own]
+        return np.where(width > 0, (d * d - to_own * to_own) / np.maximum(2 * width, 1e-300), 0.0)
 
-    return work
+    def kth(self, points: np.ndarray, k: int) -> np.ndarray:
+        """An upper bound of the distance to the k-th neighbour: that in the sample, a part of the store."""
+        if len(self.sample) < k:
+            return np.full(len(points), np.inf)
+        return np.concatenate([np.partition(_distances(points[at : at + 512], self.sample), k - 1, 1)[:, k - 1] for at in range(0, len(points), 512)] or [np.zeros(0)])
 
 
-def _sums(ids: np.ndarray, points: np.ndarray, rows: Stored) -> pa.RecordBatch:
+def _slack(x: np.ndarray) -> np.ndarray:
+    """Room for rounding in the bounds: a pair too many costs time only."""
+    return 1e-9 * (1.0 + np.where(np.isfinite(x), x, 0.0))
+
+
+class Nearest:
+    """The best k of the stored rows for queries of one width, k rows a query held at a time.
+
+    With ``cells``, a slice's stored rows are told apart by cell, and a query meets those of a cell
+    only if its bounds leave room for a neighbour nearer than the k-th it knows of. ``compared``
+    counts the pairs whose distance was taken.
+    """
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray, k: int, cells: Cells | None = None, limit: np.ndarray | None = None):
+        self.ids, self.points, self.k, self.compared = ids, points, k, 0
+        self.best_d = np.full((len(ids), k), np.inf)
+        self.best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.limit = np.full(len(ids), np.inf) if limit is None else limit.copy()
+        self.cells = cells if cells is not None and cells.centres.shape[1] == points.shape[1] else None
+        if self.cells is not None:
+            self.to_centres = cells.distances(points)
+            self.to_planes = cells.planes(self.to_centres)
+            self.limit = np.minimum(self.limit, cells.kth(points, k))
+
+    def _take(self, q: np.ndarray, sid: np.ndarray, stored: np.ndarray) -> None:
+        d = _distances(self.points[q], stored)
+        self.compared += d.size
+        d[d > (self.limit[q] + _slack(self.limit[q]))[:, None]] = np.inf
+        near = np.isfinite(d).any(1)
+        q, d = q[near], d[near]
+        if len(q):
+            all_d = np.hstack((self.best_d[q], d))
+            all_i = np.hstack((self.best_i[q], np.broadcast_to(sid, d.shape)))
+            order = np.lexsort((all_i, all_d), axis=1)[:, : self.k]
+            self.best_d[q], self.best_i[q] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+            self.limit[q] = np.minimum(self.limit[q], self.best_d[q, -1])
+
+    def see(self, sid: np.ndarray, stored: np.ndarray) -> None:
+        if self.cells is None or stored.shape[1] != self.points.shape[1]:
+            return self._take(np.arange(len(self.ids)), sid, stored)
+        cell, r = self.cells.assign(stored)
+        order = np.lexsort((r, cell))
+        bounds = np.flatnonzero(np.append(np.diff(cell[order]) != 0, True)) + 1
+        at = 0
+        for end in bounds.tolist():
+            own, c = order[at:end], cell[order[at]]
+            d = self.to_centres[:, c]
+            least = np.maximum(np.maximum(d - r[own[-1]], r[own[0]] - d), self.to_planes[:, c])
+            q = np.flatnonzero(least <= self.limit + _slack(d))
+            if len(q):
+                self._take(q, sid[own], stored[own])
+            at = end
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, r = np.nonzero(np.isfinite(self.best_d))
+        return self.ids[q], self.best_i[q, r], self.best_d[q, r]
+
+
+class Sums:
     """The sum of each query's distances and their number."""
-    total, n = np.zeros(len(ids)), 0
-    for sid, stored in rows:
-        total += _distances(points, stored).sum(1)
-        n += len(sid)
-    return pa.record_batch([pa.array(ids), pa.array(total), pa.array(np.full(len(ids), n))], ["query_id", "total", "n"])
 
+    def __init__(self, ids: np.ndarray, points: np.ndarray):
+        self.ids, self.points, self.total, self.n = ids, points, np.zeros(len(ids)), 0
+
+    def see(self, sid: np.ndarray, stored: np.ndarray) -> None:
+        self.total += _distances(self.points, stored).sum(1)
+        self.n += len(sid)
+
+    def found(self) -> tuple[np.ndarray, ...]:
+        return self.ids, self.total, np.full(len(self.ids), self.n)
+
+
+FOUND, SUMMED = "query_id long, store_id long, d double", "query_id long, total double, n long"
 
-def _sliced(batch: pa.RecordBatch | pa.Table, size: int = 512) -> Stored:
-    for at in range(0, batch.num_rows, size):
-        part = batch.slice(at, size)
-        column = part.column("v")
-        yield part.column("id").to_numpy(), _matrix(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
 
+def _record(parts: list[tuple[np.ndarray, ...]], schema: str) -> pa.RecordBatch:
+    names = [f.split()[0] for f in schema.split(", ")]
+    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64 if "long" in f else np.float64) for f in schema.split(", ")]
+    return pa.record_batch([pa.array(c) for c in columns], names)
 
-def _meet(queries: DataFrame, store: DataFrame, work: Work, schema: str, block: int, stored_block: int) -> DataFrame:
-    """``work`` on all queries and stored points, a row for each query and part of the store.
 
-    Up to ``block`` queries (no more than that ever come to the driver) go to the tasks that scan the
-    store, which stays in place. Beyond that, queries and stored points are dealt into blocks by
-    their ids, and each pair of blocks is a group of its own: a task holds two blocks.
+def _seen(works: list, rows: Stored, schema: str) -> pa.RecordBatch:
+    for sid, stored in rows:
+        for work in works:
+            work.see(sid, stored)
+    return _record([w.found() for w in works], schema)
+
+
+def _meet(asked: DataFrame, rows: DataFrame, works: Callable[[Stored], list], schema: str, block: int, stored_block: int, taken: pa.Table) -> DataFrame:
+    """All queries and stored points (``id, v``), a row for each query and part of the store.
+
+    Up to ``block`` queries, which are then all of ``taken``, go to the tasks that scan the store,
+    which stays in place. Beyond that, queries and stored points are dealt into blocks by their ids,
+    and each pair of blocks is a group of its own: a task holds two blocks.
     """
-    ship(queries.sparkSession)
-    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("g").alias("v"))
-    rows = store.select(F.col("store_id").cast("long").alias("id"), F.col("sg").alias("v"))
-    taken = asked.limit(block + 1).toArrow()
     if taken.num_rows <= block:
-        ids, points = taken.column("id").to_numpy(), _matrix(taken.column("v").combine_chunks()) if taken.num_rows else None
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if len(ids):
-                yield work(ids, points, (part for batch in batches for part in _sliced(batch)))
+            if taken.num_rows:
+                yield _seen(works(by_length(taken, block)), (part for batch in batches for part in by_length(batch)), schema)
 
         return rows.mapInArrow(scan, schema)
     parts = lambda df, size: df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias("n")).scalar()
@@ -94,32 +202,163 @@ def _meet(queries: DataFrame, store: DataFrame, work: Work, schema: str, block:
     both = dealt(with_parts(asked), "qb", "sb", True).select("id", "v", "asked", "qb", "sb").union(dealt(with_parts(rows), "sb", "qb", False).select("id", "v", "asked", "qb", "sb"))
 
     def compare(table: pa.Table) -> pa.Table:
-        own = table.filter(table.column("asked"))
-        other = table.filter(pc.invert(table.column("asked")))
-        points = _matrix(own.column("v").combine_chunks()) if own.num_rows else np.zeros((0, 0))
-        return pa.Table.from_batches([work(own.column("id").to_numpy(), points, _sliced(other) if own.num_rows else iter(()))])
+        own, other = table.filter(table.column("asked")), table.filter(pc.invert(table.column("asked")))
+        return pa.Table.from_batches([_seen(works(by_length(own, max(1, own.num_rows))), by_length(other), schema)])
 
     return both.groupBy("qb", "sb").applyInArrow(compare, schema)
 
 
-def knn(queries: DataFrame, store: DataFrame, k: int, block: int = QUERY_BLOCK, stored_block: int = STORE_BLOCK) -> DataFrame:
-    """``query_id, store_id, d, rank``: the k nearest of ``store`` (store_id, sg) by distance, then
-    id, for each of ``queries`` (query_id, g). A part of the store gives k candidates a query, and
-    only those are shuffled to be ranked."""
-    found = _meet(queries, store, _nearest(k), "query_id long, store_id long, d double", block, stored_block)
+def _cells(rows: DataFrame) -> Cells | None:
+    """Cells of the commonest width, from SAMPLED stored points at most, the least by hash."""
+    sample = list(by_length(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLED).toArrow(), SAMPLED))
+    return Cells(max((m for _, m in sample), key=len)) if sample else None
+
+
+@dataclass(frozen=True)
+class Rings:
+    """Blocks of the store: each cell cut into rings by the quantiles of the distance to its centre,
+    and a crowded ring by its points' hash."""
+
+    edges: list[np.ndarray]
+    ends: np.ndarray
+    parts: np.ndarray
+
+    @staticmethod
+    def of(placed: DataFrame, cells: Cells, size: int) -> Rings:
+        stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high"), F.percentile_approx("r", [i / RINGS for i in range(1, RINGS)], 1000).alias("e")).collect()  # a row for each of CELLS at most
+        edges, ends, parts = [np.zeros(0)] * len(cells.centres), np.zeros((len(cells.centres), 2)), np.zeros(len(cells.centres), np.int64)
+        for row in stats:
+            rings = min(RINGS, -(-row["n"] // size))
+            edges[row["cell"]] = np.unique([row["e"][i * RINGS // rings - 1] for i in range(1, rings)])
+            ends[row["cell"]], parts[row["cell"]] = (row["low"], row["high"]), -(-row["n"] // (size * rings))
+        return Rings(edges, ends, parts)
+
+    def ring(self, cell: np.ndarray, r: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(cell), np.int64)
+        for c in np.unique(cell):
+            own = cell == c
+            out[own] = np.searchsorted(self.edges[c], r[own], side="left")
+        return out
+
+
+def _by_cells(asked: DataFrame, rows: DataFrame, cells: Cells, k: int, block: int, size: int) -> DataFrame:
+    """Candidates of many queries, all vectors of one width: first of each query's own block, whose
+    k-th neighbour bounds the distance to others, then of the blocks that may hold a nearer one."""
+    found, key = FOUND, ["cell", "ring", "part"]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, m in by_length(batch):
+                cell, r = cells.assign(m)
+                yield pa.record_batch([pa.array(cell, pa.int32()), pa.array(r)], ["cell", "r"])
+
+    rings = Rings.of(rows.mapInArrow(assign, "cell int, r double"), cells, size)
+
+    def listed(m: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
+
+    def blocks(ids, m, cell, ring, part, limit) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(ids), listed(m), *(pa.array(x, pa.int32()) for x in (cell, ring, part)), pa.array(limit)], ["id", "v", *key, "bound"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, m in by_length(batch):
+                cell, r = cells.assign(m)
+                yield blocks(ids, m, cell, rings.ring(cell, r), (ids * 0x9E3779B1 >> 7) % np.maximum(rings.parts[cell], 1), np.zeros(len(ids)))
+
+    def spread(ids, m, q, cell, ring, limit) -> pa.RecordBatch:
+        n = rings.parts[cell]  # a row for each part of a crowded ring
+        at = np.repeat(np.arange(len(q)), n)
+        return blocks(ids[q[at]], m[q[at]], cell[at], ring[at], np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n), limit[q[at]])
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, m in by_length(batch):
+                cell, r = cells.assign(m)
+                yield spread(ids, m, np.arange(len(ids)), cell, rings.ring(cell, r), cells.kth(m, k))
+
+    def away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            limits = dict(zip(batch.column("id").to_numpy().tolist(), batch.column("bound").to_numpy().tolist()))
+            for ids, m in by_length(batch, 256):
+                d, limit = cells.distances(m), np.minimum(cells.kth(m, k), [limits[i] for i in ids.tolist()])
+                planes, own = cells.planes(d), d.argmin(1)
+                at_home = rings.ring(own, d[np.arange(len(ids)), own])
+                room = limit + _slack(d.max(1))
+                for c in np.flatnonzero(rings.parts):
+                    low, high = np.append(rings.ends[c, 0], rings.edges[c]), np.append(rings.edges[c], rings.ends[c, 1])
+                    least = np.maximum(np.maximum(d[:, c, None] - high, low - d[:, c, None]), planes[:, c, None])
+                    q, ring = np.nonzero((least <= room[:, None]) & ~((own[:, None] == c) & (at_home[:, None] == np.arange(len(low)))))
+                    if len(q):
+                        yield spread(ids, m, q, np.full(len(q), c), ring, limit)
+
+    def compare(table: pa.Table) -> pa.Table:
+        own, other = table.filter(table.column("asked")), table.filter(pc.invert(table.column("asked")))
+        works = [Nearest(i, m, k, cells, own.column("bound").to_numpy()) for i, m in by_length(own, max(1, own.num_rows))]
+        return pa.Table.from_batches([_seen(works, by_length(other), found)])
+
+    schema = "id long, v array<double>, cell int, ring int, part int, bound double"
+    store = rows.mapInArrow(place, schema)
+
+    def met(copies: DataFrame) -> DataFrame:
+        """A block's queries are dealt into parts of ``block``, each with a copy of its stored rows."""
+        load = copies.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("load"))
+        q = copies.join(load, key).select(*copies.columns, F.pmod(F.xxhash64("id"), F.col("load")).cast("int").alias("deal"), F.lit(True).alias("asked"))
+        s = store.join(load, key).select(*copies.columns, F.explode(F.sequence(F.lit(0), F.col("load") - 1)).alias("deal"), F.lit(False).alias("asked"))
+        return q.union(s).groupBy(*key, "deal").applyInArrow(compare, found)
+
+    first = stored(_ranked(met(asked.mapInArrow(home, schema)), k), "near")
+    known = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("d")).alias("bound"))
+    bounded = asked.join(known.withColumnRenamed("query_id", "id"), "id", "left").select("id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    return first.select("query_id", "store_id", "d").union(met(bounded.mapInArrow(away, schema)))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "store_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _sides(queries: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ship(queries.sparkSession)
+    side = lambda df, i, v: df.filter(F.col(i).isNotNull() & usable(v)).select(F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v"))
+    return side(queries, "query_id", "g"), side(store, "store_id", "sg")
+
+
+def knn(queries: DataFrame, store: DataFrame, k: int, block: int = QUERY_BLOCK, stored_block: int = STORE_BLOCK) -> DataFrame:
+    """``query_id, store_id, d, rank``: the k nearest of ``store`` (store_id, sg) by distance, then
+    id, for each of ``queries`` (query_id, g). Vectors of different lengths are compared over the
+    shorter one; null and empty vectors and such with a component that is null or not finite have no
+    neighbours and are nobody's.
+
+    The store is cut into Voronoi cells around centres of a bounded sample. Up to ``block`` queries
+    go to the tasks that scan the store in place, and skip cells that can't hold a nearer point.
+    More queries are sent to the blocks of cells that can, in two rounds. If lengths differ,
+    triangles say nothing, and all blocks of queries meet all of the store. A part of the store
+    gives k candidates a query, and only those are ranked.
+    """
+    asked, rows = _sides(queries, store)
+    cells = _cells(rows)
+    taken = asked.limit(block + 1).toArrow()  # no more ever come to the driver
+    if taken.num_rows > block and cells is not None:
+        width = asked.select("v").union(rows.select("v")).agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+        if width[0] == width[1]:
+            return _ranked(_by_cells(asked, rows, cells, k, block, stored_block), k)
+    works = lambda parts: [Nearest(i, m, k, cells) for i, m in parts]
+    return _ranked(_meet(asked, rows, works, FOUND, block, stored_block, taken), k)
+
+
 def mean_distance(queries: DataFrame, store: DataFrame, block: int = QUERY_BLOCK, stored_block: int = STORE_BLOCK) -> DataFrame:
     """``query_id, mean_distance`` over the whole store: sums of each part, never pairs."""
-    found = _meet(queries, store, _sums, "query_id long, total double, n long", block, stored_block)
+    asked, rows = _sides(queries, store)
+    taken = asked.limit(block + 1).toArrow()
+    found = _meet(asked, rows, lambda parts: [Sums(i, m) for i, m in parts], SUMMED, block, stored_block, taken)
     return found.groupBy("query_id").agg((F.sum("total") / F.sum("n")).alias("mean_distance"))
 
 
 def lookup_exact(queries: DataFrame, store: DataFrame) -> DataFrame:
-    """``query_id, exact_id``: the first stored point that equals the query, or null."""
-    first = store.groupBy("sg").agg(F.min("store_id").alias("exact_id"))
+    """``query_id, exact_id``: the first stored point that equals the query, or null; points that can
+    have no neighbour equal nothing."""
+    first = store.filter(usable("sg")).groupBy("sg").agg(F.min("store_id").alias("exact_id"))
     return queries.join(first, queries["g"] == first["sg"], "left").select("query_id", "exact_id")
 
 
@@ -142,6 +381,32 @@ def pairwise(points: DataFrame, block: int = 256) -> DataFrame:
     return left.join(right, ["i", "j"]).filter("a < b").select("a", "b", V.l2(F.col("va"), F.col("vb")).alias("d"))
 
 
+def _every(lists: Column, ends: Column) -> Column:
+    """Each of ``lists`` with each of ``ends`` after it."""
+    return F.flatten(F.transform(lists, lambda head: F.transform(ends, lambda end: F.concat(head, F.array(end)))))
+
+
+def radius_pairs(points: DataFrame, radius: float, grid: int = GRID) -> DataFrame:
+    """``a, b, d`` for the pairs a < b of ``points`` (id, v) nearer than ``radius``, by an epsilon grid.
+
+    The ``grid`` dimensions of the largest variance cut the space into cells of the radius' width. A
+    point has one home cell, and is copied to that and its neighbours; a pair meets in the home cell of ``a`` alone, so none comes twice. Cells meet by an
+    equi-join, which Spark splits where one holds too many points. Points that can have no
+    neighbour have no pairs; lengths that differ are compared over the shorter vector, whose cells
+    then go by the dimensions that all vectors have.
+    """
+    own = points.filter(F.col("id").isNotNull() & usable("v")).select("id", F.col("v").cast("array<double>").alias("v"))
+    shortest = own.agg(F.min(F.size("v"))).scalar()
+    spread = own.select(F.posexplode(F.slice("v", F.lit(1), shortest)).alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("s"))
+    dims = [r["dim"] for r in spread.orderBy(F.desc("s"), "dim").limit(grid).collect()]
+    at = [F.get("v", F.lit(i)) / radius for i in dims]
+    home = F.array(*(F.floor(x).cast("long") for x in at)).cast("array<bigint>")
+    around = reduce(_every, (F.array(*(F.floor(x).cast("long") + i for i in (-1, 0, 1))) for x in at), F.array(F.array().cast("array<bigint>")))
+    left = own.select(F.col("id").alias("a"), F.col("v").alias("va"), home.alias("cell"))
+    right = own.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.explode(around).alias("cell"))
+    return left.join(right, "cell").filter("a < b").select("a", "b", V.l2(F.col("va"), F.col("vb")).alias("d")).filter(F.col("d") < radius)
+
+
 def probe(keys: DataFrame, queries: DataFrame, window: int, both_ways: bool = False) -> DataFrame:
     """Candidates ``query_id, store_id``: entries that follow (or surround) a query along each curve.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stored
 from .ring import sha1_id
 
 RADIX = 1024
@@ -61,10 +62,12 @@ def ranked(keys: DataFrame) -> DataFrame:
     """``k, f, rank, n, p``: distinct keys, nulls aside, with their 0-based rank and empirical CDF.
 
     Ranks are counted within slices of the keys and shifted by the slices' sums, so that no single
-    task sorts all keys.
+    task sorts all keys. The distinct keys are stored, and a slice is never null: else the join on
+    slices would filter by ``slice is not null`` below ``distinct``, where ``k`` can be a digest, and
+    compute that digest for each bound.
     """
-    own = keys.select("k").filter("k is not null").distinct()
-    own = own.withColumn("slice", _slice_of(own))
+    own = stored(keys.select("k").filter("k is not null").distinct(), "distinct-keys")
+    own = own.withColumn("slice", F.coalesce(_slice_of(own), F.lit(0)))
     sizes = own.groupBy("slice").agg(F.count("*").alias("c"))
     w = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = sizes.select("slice", (F.sum("c").over(w) - F.col("c")).alias("base"), F.sum("c").over(Window.partitionBy()).alias("n"))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .neighbors import knn, lookup_exact
+from ..session import ship
+from .neighbors import knn, lookup_exact, usable
 
 #: Distances up to which a neighbour stands for a point, or a prediction does.
 EPSILON, RADIUS = 0.005, 0.15
@@ -20,6 +27,69 @@ def partition(queries: DataFrame, store: DataFrame, epsilon: float = EPSILON, ra
     return exact.join(near, "query_id", "left").select("query_id", tier.alias("tier"), "nn_id", "d")
 
 
+class SeenPoints:
+    """The stored points of one run in a hash grid: cells as wide as the radius over the first
+    ``dims`` components, so that a point within the radius is in a cell's neighbourhood. Points of
+    generations that have aged out are dropped in the order they came."""
+
+    def __init__(self, epsilon: float, radius: float, max_age: int, dims: int = 3):
+        self.epsilon, self.radius, self.max_age, self.dims = epsilon, radius, max_age, dims
+        self.width = radius * (1 + 1e-9)
+        self.cells: dict[tuple, list[np.ndarray]] = {}
+        self.order: deque = deque()
+
+    def tier(self, point: np.ndarray, generation: int) -> str:
+        """The tier of a point, which is stored if it is the third."""
+        while self.order and generation - self.order[0][0] > self.max_age:
+            held = self.cells[self.order[0][1]]
+            held.pop(0)
+            if not held:
+                del self.cells[self.order[0][1]]
+            self.order.popleft()
+        own = tuple(np.floor(point[: self.dims] / self.width).astype(np.int64).tolist())
+        near = [p for step in product((-1, 0, 1), repeat=len(own)) for p in self.cells.get(tuple(map(sum, zip(own, step))), ())]
+        if near:
+            stored, d = np.array(near), np.zeros(len(near))
+            for dim in range(stored.shape[1]):  # in order, as a plain loop sums
+                d += (stored[:, dim] - point[dim]) ** 2
+            least = d.min()
+            if least <= self.radius**2:
+                return "T1" if least < self.epsilon**2 else "T2"
+        self.cells.setdefault(own, []).append(point)
+        self.order.append((generation, own))
+        return "T3"
+
+
+def replay(points: DataFrame, run: str, generation: str, tie: str, vector: str, dims: int, max_age: int, epsilon: float = EPSILON, radius: float = RADIUS) -> DataFrame:
+    """``run, tie, tier`` when every point of a run sees the stored ones before it, in the order of
+    generation and ``tie``, of which those more than ``max_age`` generations old are gone.
+
+    Runs are dealt out by hash and sorted, and a task reads them batch by batch: what it holds are
+    the stored points of one run's last generations. A vector that is null, not finite or not of
+    ``dims`` components is of the third tier and isn't stored.
+    """
+    ship(points.sparkSession)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seen = object(), None
+        for batch in batches:
+            ok = batch.column("ok").to_numpy(zero_copy_only=False)
+            vectors = np.full((batch.num_rows, dims), np.nan)
+            vectors[ok] = batch.column("v").filter(batch.column("ok")).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            tiers = []
+            for key, gen, good, point in zip(batch.column("run").to_pylist(), batch.column("gen").to_pylist(), ok.tolist(), vectors):
+                if key != current:
+                    current, seen = key, SeenPoints(epsilon, radius, max_age)
+                tiers.append(seen.tier(point, gen) if good else "T3")
+            yield pa.record_batch([batch.column("run"), batch.column("tie"), pa.array(tiers, pa.string())], [run, tie, "tier"])
+
+    ok = (usable(vector) & (F.size(vector) == dims)).alias("ok")
+    rows = points.select(F.col(run).alias("run"), F.coalesce(F.col(generation), F.lit(0)).cast("long").alias("gen"), F.col(tie).alias("tie"), F.col(vector).cast("array<double>").alias("v"), ok)
+    ordered = rows.repartition("run").sortWithinPartitions("run", "gen", "tie")
+    types = dict(points.dtypes)
+    return ordered.mapInArrow(fold, f"{run} {types[run]}, {tie} {types[tie]}, tier string")
+
+
 def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 0.0).otherwise(part / whole)
 

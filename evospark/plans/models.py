@@ -14,7 +14,7 @@ from ..operators import evolution as E
 from ..operators import tiering as T
 from ..operators.stats import regression_metrics
 from ..registry import query
-from .base import cache, evaluated, genomes, population, r6
+from .base import DIMS, EVAL_SQL, cache, evaluated, genomes, population, r6
 
 #: Generations that a stored point serves in a replay.
 MAX_AGE = 5
@@ -29,9 +29,11 @@ def window(spark, d):
 
 
 def arrays(df):
-    """``g`` and ``fitness`` of a table, in the order of ``vec_id``; 88 bytes a row on the driver."""
-    t = df.select("vec_id", "g", "fitness").orderBy("vec_id").toArrow()
-    return t.column("g").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1), t.column("fitness").to_numpy()
+    """``g`` and ``fitness`` of a table, in the order of ``vec_id``, without vectors of another length
+    than the first or that aren't finite; 88 bytes a row on the driver."""
+    t = df.select("vec_id", "g", "fitness").filter("fitness is not null").orderBy("vec_id").toArrow()
+    known, x = M.matrix(t.column("g").combine_chunks()) if t.num_rows else (np.zeros(0, bool), np.zeros((0, 1)))
+    return x, t.column("fitness").to_numpy()[known]
 
 
 def parts(spark, d, *shares):
@@ -155,24 +157,18 @@ def tier_evaluate(spark, d):
     return E.landscape(rows).select("query_id", r6("fitness").alias("fitness")).filter("fitness > -1e8")
 
 
-@query("tier_replay")
+REPLAY_SQL = f"""WITH RECURSIVE {EVAL_SQL}, o AS (SELECT island AS run, generation, vec_id, g, row_number() OVER (PARTITION BY island ORDER BY generation, vec_id) AS rn FROM ev),
+f AS (SELECT run, rn, vec_id, 'T3' AS tier, [{{'g': g, 'gen': generation}}] AS seen FROM o WHERE rn = 1 UNION ALL
+SELECT run, rn, vec_id, tier, CASE WHEN tier = 'T3' THEN list_append(held, {{'g': g, 'gen': generation}}) ELSE held END FROM (SELECT *, CASE WHEN d < 0.005 THEN 'T1' WHEN d <= 0.15 THEN 'T2' ELSE 'T3' END AS tier FROM
+(SELECT *, list_min([list_distance(p.g, g) FOR p IN held]) AS d FROM (SELECT o.*, [p FOR p IN f.seen IF o.generation - p.gen <= {MAX_AGE}] AS held FROM f JOIN o ON o.run = f.run AND o.rn = f.rn + 1)))) SELECT run, vec_id, tier FROM f"""
+
+
+@query("tier_replay", REPLAY_SQL)
 def tier_replay(spark, d):
     """Tiers of each run's points when every point sees the stored ones before it, of which those
-    more than MAX_AGE generations old are gone: one fold per run."""
+    more than MAX_AGE generations old are gone."""
     e = evaluated(spark, d).select(F.col("island").alias("run"), "generation", "vec_id", "g")
-    series = e.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("generation", "vec_id", "g"))).alias("s"))
-    empty = F.array().cast("array<struct<g:array<double>,generation:bigint>>")
-    out = F.array().cast("array<struct<vec_id:bigint,tier:string>>")
-
-    def step(acc, x):
-        held = F.filter(acc["seen"], lambda p: x["generation"] - p["generation"] <= MAX_AGE)
-        dist = F.array_min(F.transform(held, lambda p: F.aggregate(F.zip_with(p["g"], x["g"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)))
-        tier = F.when(dist < 0.005**2, "T1").when(dist <= 0.15**2, "T2").otherwise("T3")
-        seen = F.when(F.coalesce(tier == "T3", F.lit(True)), F.array_append(held, F.struct(x["g"].alias("g"), x["generation"].alias("generation")))).otherwise(held)
-        return F.struct(seen.alias("seen"), F.array_append(acc["out"], F.struct(x["vec_id"].alias("vec_id"), F.coalesce(tier, F.lit("T3")).alias("tier"))).alias("out"))
-
-    folded = F.aggregate("s", F.struct(empty.alias("seen"), out.alias("out")), step, lambda a: a["out"])
-    return series.select("run", F.inline(folded))
+    return T.replay(e, "run", "generation", "vec_id", "g", DIMS, MAX_AGE)
 
 
 def designs(spark, d):

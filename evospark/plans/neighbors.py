@@ -62,6 +62,33 @@ def knn_exact(spark, d):
     return N.knn(population(spark, d), cache(spark, d), 10).select("query_id", "store_id", r6("d").alias("d"), F.col("rank").cast("long").alias("rank"))
 
 
+# Vectors that are null, shorter, or hold a null or a NaN, on both sides.
+ODD_SQL = f"""{POP_SQL}, oq AS (SELECT query_id, CASE query_id % 7 WHEN 0 THEN NULL WHEN 1 THEN g[1:6] WHEN 2 THEN list_concat(g[1:9], [NULL]) WHEN 3 THEN list_concat(g[1:9], ['nan'::DOUBLE]) ELSE g END AS g FROM pop),
+oc AS (SELECT store_id, CASE store_id % 10 WHEN 0 THEN NULL WHEN 2 THEN sg[1:8] WHEN 4 THEN [] ELSE sg END AS sg FROM cache),
+uq AS (SELECT * FROM oq WHERE len(g) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN g])), uc AS (SELECT * FROM oc WHERE len(sg) > 0),
+near AS (SELECT query_id, store_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, store_id) AS rank FROM (SELECT query_id, store_id, list_distance(g[1:least(len(g), len(sg))], sg[1:least(len(g), len(sg))]) AS d FROM uq, uc))"""
+
+
+def _odd(spark, d):
+    by = lambda i, n: F.col(i) % n
+    q, tail = by("query_id", 7), lambda x: F.concat(F.slice("g", 1, 9), F.array(F.lit(x).cast("double")))
+    pop = population(spark, d).withColumn("g", F.when(q == 0, None).when(q == 1, F.slice("g", 1, 6)).when(q == 2, tail(None)).when(q == 3, tail(float("nan"))).otherwise(F.col("g")))
+    c, none = by("store_id", 10), F.array().cast("array<double>")
+    return pop, cache(spark, d).withColumn("sg", F.when(c == 0, None).when(c == 2, F.slice("sg", 1, 8)).when(c == 4, none).otherwise(F.col("sg")))
+
+
+@query("knn_odd_vectors", f"WITH {ODD_SQL} SELECT query_id, store_id, round(d, 6) AS d, rank FROM near WHERE rank <= 5")
+def knn_odd_vectors(spark, d):
+    """Neighbours where vectors are missing, shorter or not finite."""
+    return N.knn(*_odd(spark, d), 5).select("query_id", "store_id", r6("d").alias("d"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("tier_odd_vectors", f"WITH {ODD_SQL}, ex AS (SELECT oq.query_id, min(store_id) AS exact_id FROM oq LEFT JOIN uc ON oq.g = uc.sg GROUP BY 1) SELECT ex.query_id, CASE WHEN exact_id IS NOT NULL OR d < 0.005 THEN 'T1' WHEN d <= 0.15 THEN 'T2' ELSE 'T3' END AS tier, store_id AS nn_id, round(d, 6) AS d FROM ex LEFT JOIN near ON near.query_id = ex.query_id AND rank = 1")
+def tier_odd_vectors(spark, d):
+    """Tiers where vectors are missing, shorter or not finite: without a neighbour, the third."""
+    return T.partition(*_odd(spark, d)).select("query_id", "tier", "nn_id", r6("d").alias("d"))
+
+
 @query("lookup_exact", f"WITH {POP_SQL}, {EXACT_SQL} SELECT query_id, exact_id FROM exact")
 def lookup_exact(spark, d):
     return N.lookup_exact(population(spark, d), cache(spark, d))
@@ -82,6 +109,13 @@ def pairwise_dist(spark, d):
     return N.pairwise(points).select("a", "b", r6("d").alias("d"), F.abs(F.col("a") - F.col("b")).alias("line"))
 
 
+@query("radius_pairs", f"WITH {G_SQL} SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.g, b.g), 6) AS d FROM gen a, gen b WHERE a.vec_id < b.vec_id AND list_distance(a.g, b.g) < 0.40")
+def radius_pairs(spark, d):
+    """All pairs of near neighbours, by an epsilon grid."""
+    points = genomes(spark, d).select(F.col("vec_id").alias("id"), F.col("g").alias("v"))
+    return N.radius_pairs(points, 0.40).select("a", "b", r6("d").alias("d"))
+
+
 @query("knn_regress", f"WITH {POP_SQL}, {NN_SQL} WHERE rank <= 5) SELECT query_id, round(sum(label / (d + 1e-12)) / sum(1.0 / (d + 1e-12)), 6) AS prediction, round(avg(d), 6) AS mean_distance FROM nn JOIN cache USING (store_id) GROUP BY query_id")
 def knn_regress(spark, d):
     store = cache(spark, d)

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch on its way to Python, where the session says nothing else: a
 #: worker holds a few batches at a time, whatever the length of the texts.
@@ -64,6 +64,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage and repeated work end there."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("evospark")

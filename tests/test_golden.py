@@ -343,3 +343,45 @@ def test_settings_from_mapping():
 def test_short_vectors(spark):
     d = spark.range(1).select(V.l2(V.vec(1.0, 2.0), V.vec(1.0, 5.0, 9.0)).alias("d")).first().d
     assert d == 3
+
+
+def test_ranks_digest_a_key_once(spark):
+    """No digest stands inside a lambda, nor is computed again for the slices."""
+    keys = spark.range(300).select(F.sha1(F.col("id").cast("string")).alias("k"))
+    from evospark.operators import rmi
+
+    got = rmi.ranked(keys)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    sliced = [line for line in plan.splitlines() if "lambdafunction" in line]
+    assert sliced and not any("sha1" in line.lower() for line in sliced)
+    want = {k: i for i, k in enumerate(sorted(r.k for r in keys.collect()))}
+    assert {r.k: r["rank"] for r in got.collect()} == want
+
+
+def test_replay_by_brute_force(spark, monkeypatch):
+    """Several runs, batches smaller than a run, points on the borders of cells, odd vectors, ties."""
+    from evospark.operators import tiering
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(700):
+        g = [round(rng.choice([0.0, 0.15, 0.3, 0.45]) + rng.choice([0, 0, 0.001, 0.07, -0.15]), 4) for _ in range(4)]
+        rows.append((rng.choice(["a", "b", "c"]), i // 40, i, rng.choice([g] * 12 + [None, g[:2], [float("nan")] * 4])))
+    want, held = {}, {}
+    for run, gen, i, g in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        seen = [p for p in held.get(run, []) if gen - p[0] <= 3]
+        good = g is not None and len(g) == 4 and g[0] == g[0]
+        d = min((sum((x - y) ** 2 for x, y in zip(g, p[1])) for p in seen), default=9.0) if good else 9.0
+        want[i] = "T1" if d < 0.005**2 else "T2" if d <= 0.15**2 else "T3"
+        held[run] = seen + [(gen, g)] * (good and want[i] == "T3")
+    df = spark.createDataFrame(rows, "run string, gen int, i long, g array<double>").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {r.i: r.tier for r in tiering.replay(df, "run", "gen", "i", "g", 4, 3).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    assert got == want and set(want.values()) == {"T1", "T2", "T3"}
+    seen = tiering.SeenPoints(0.005, 0.15, 2)
+    for gen in range(50):
+        assert seen.tier(np.array([gen, 0.0, 0.0]), gen) == "T3"
+    assert len(seen.order) == 3 and sum(map(len, seen.cells.values())) == 3  # old ones are dropped
