@@ -151,6 +151,21 @@ class RandomForest:
         return each.mean(0), each.var(0)
 
 
+class Adam:
+    """Steps of the parameters, in place, from their gradients."""
+
+    def __init__(self, params: list[np.ndarray], rate: float):
+        self.params, self.rate, self.t = params, rate, 0
+        self.m, self.v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+
+    def __call__(self, gradients: list[np.ndarray]) -> None:
+        self.t += 1
+        for k, (p, g) in enumerate(zip(self.params, gradients)):
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g
+            self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
+            p -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
+
+
 @dataclass
 class Perceptron:
     """Two hidden layers with SiLU, trained by Adam with an L2 term in the gradient."""
@@ -166,31 +181,38 @@ class Perceptron:
         rng, self.width = np.random.default_rng(self.seed), x.shape[1]
         self.x_scaler, self.y_scaler = Scaler().fit(x), Scaler().fit(y)
         x, y = self.x_scaler.transform(x), self.y_scaler.transform(y)
-        sizes = [x.shape[1], *self.hidden, 1]
-        self.w = [rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:])]
-        self.b = [np.zeros(n) for n in sizes[1:]]
-        params = [*self.w, *self.b]
-        m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+        self.begin(x.shape[1], rng)
+        step = Adam([*self.w, *self.b], self.rate)
         for _ in range(self.epochs):
             order = rng.permutation(len(y))
             for at in range(0, len(y), self.batch):
                 own = order[at : at + self.batch]
-                hs, zs = self._forward(x[own])
-                delta = 2 * (hs[-1][:, 0] - y[own])[:, None] / len(own)
-                gw, gb = [], []
-                for k in range(len(self.w) - 1, -1, -1):
-                    gw.append(hs[k].T @ delta + self.decay * self.w[k])
-                    gb.append(delta.sum(0))
-                    if k:
-                        s = 1 / (1 + np.exp(-zs[k - 1]))
-                        delta = (delta @ self.w[k].T) * (s * (1 + zs[k - 1] * (1 - s)))
-                t += 1
-                for k, (p, g) in enumerate(zip(params, [*gw[::-1], *gb[::-1]])):
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    p -= self.rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+                step([g / len(own) + d for g, d in zip(self.gradients(x[own], y[own]), self.shrinkage())])
         return self
 
+    def begin(self, width: int, rng: np.random.Generator) -> None:
+        sizes = [width, *self.hidden, 1]
+        self.width = width
+        self.w = [rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:])]
+        self.b = [np.zeros(n) for n in sizes[1:]]
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Sums over rows of the squared error's gradient, weights first."""
+        hs, zs = self._forward(x)
+        delta = 2 * (hs[-1][:, 0] - y)[:, None]
+        gw, gb = [], []
+        for k in range(len(self.w) - 1, -1, -1):
+            gw.append(hs[k].T @ delta)
+            gb.append(delta.sum(0))
+            if k:
+                s = 1 / (1 + np.exp(-zs[k - 1]))
+                delta = (delta @ self.w[k].T) * (s * (1 + zs[k - 1] * (1 - s)))
+        return [*gw[::-1], *gb[::-1]]
+
+    def shrinkage(self) -> list[np.ndarray | float]:
+        """What the L2 term adds to each gradient: biases aren't shrunk."""
+        return [*(self.decay * w for w in self.w), *(0.0 for _ in self.b)]
+
     def _forward(self, x):
         hs, zs = [x], []
         for k, (w, b) in enumerate(zip(self.w, self.b)):

@@ -8,11 +8,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import airframe as A
+from ..functions import vectors as V
+from ..models import distributed as D
 from ..models import mission as X
 from ..models import surrogates as M
 from ..operators import evolution as E
+from ..operators import neighbors as N
 from ..operators import tiering as T
-from ..operators.stats import regression_metrics
+from ..operators.stats import regression_metrics, scaler
 from ..registry import query
 from .base import DIMS, EVAL_SQL, cache, evaluated, genomes, population, r6
 
@@ -91,13 +94,23 @@ def mlp_predict(spark, d):
 @query("model_compare")
 def model_compare(spark, d):
     """Metrics of the four surrogates on the held-out fifth of the whole table. All train on three
-    fifths, the Gaussian process on the newest WINDOW rows of these."""
+    fifths, where the rows are; the Gaussian process on the newest WINDOW rows of these."""
     rows = parts(spark, d, 6, 2, 2)
     training, held = rows.filter("part = 0"), rows.filter("part = 2")
-    x, y = arrays(training)
-    models = {"gp": M.GaussianProcess(), "knn": M.Neighbours(), "rf": M.RandomForest(), "mlp": M.Perceptron()}
-    out = [scored(held, m.fit(*((x[-WINDOW:], y[-WINDOW:]) if n == "gp" else (x, y)))).select(F.lit(n).alias("model"), *(r6(c).alias(c) for c in ("r2", "rmse", "mae", "max_residual"))) for n, m in models.items()]
-    return reduce(lambda a, b: a.union(b), out)
+    tables = {"rf": D.TableForest(), "mlp": D.TablePerceptron()}
+    tested = {"gp": scored(held, M.GaussianProcess().fit(*arrays(latest(training)))), "knn": regression_metrics(nearest_mean(training, held), "fitness", "mean")}
+    tested |= {n: scored(held, m.fit(training, "g", "fitness", "vec_id")) for n, m in tables.items()}
+    return reduce(lambda a, b: a.union(b), (t.select(F.lit(n).alias("model"), *(r6(c).alias(c) for c in ("r2", "rmse", "mae", "max_residual"))) for n, t in tested.items()))
+
+
+def nearest_mean(training, held, k: int = 5):
+    """``fitness, mean``: the weighted mean of the k nearest training rows, in scaled dimensions."""
+    stats = sorted(scaler(training, "g").collect(), key=lambda r: r["dim"])  # a row a dimension
+    mean, std = V.vec(*(r["mean"] for r in stats)), V.vec(*(r["std"] for r in stats))
+    scaled = F.zip_with(F.zip_with("g", mean, lambda x, m: x - m), std, lambda x, s: x / s)
+    near = N.knn(held.select(F.col("vec_id").alias("query_id"), scaled.alias("g")), training.select(F.col("vec_id").alias("store_id"), scaled.alias("sg")), k)
+    found = N.knn_regress(near, training.select(F.col("vec_id").alias("store_id"), F.col("fitness").alias("y")))
+    return held.select(F.col("vec_id").alias("query_id"), "fitness").join(found.select("query_id", F.col("prediction").alias("mean")), "query_id")
 
 
 @query("learning_curve")

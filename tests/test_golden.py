@@ -2,6 +2,7 @@
 
 import math
 import random
+import types
 
 import numpy as np
 import pytest
@@ -221,6 +222,7 @@ def test_bootstrap_draws_single_latencies(spark, tmp_path):
 
 
 def test_models_use_the_whole_table(spark, tmp_path, monkeypatch):
+    from evospark.models import distributed as D
     from evospark.plans import models as P
 
     rng = np.random.default_rng(3)
@@ -239,10 +241,13 @@ def test_models_use_the_whole_table(spark, tmp_path, monkeypatch):
     trained.clear(), tested.clear()
     assert P.learning_curve(spark, d).count() == 5 and max(trained) > 800 and min(tested) > 200
     tested.clear()
-    fits = {}
-    for m in (M.Neighbours, M.RandomForest, M.Perceptron):
-        monkeypatch.setattr(m, "fit", lambda self, x, y, m=m, fit=m.fit: fits.update({m: len(y)}) or fit(self, x[:50], y[:50]))
-    assert P.model_compare(spark, d).count() == 4 and min(fits.values()) > 800 and min(tested) > 200
+    fits = []
+    training = D._training
+    monkeypatch.setattr(D, "_training", lambda df, *a: fits.append(df.count()) or training(df, *a))
+    monkeypatch.setattr(P.N, "knn", lambda q, s, k, knn=P.N.knn: fits.append(s.count()) or tested.append(q.count()) or knn(q, s, k))
+    monkeypatch.setattr(P, "D", types.SimpleNamespace(TablePerceptron=lambda: D.TablePerceptron(epochs=3), TableForest=lambda: D.TableForest(trees=4, depth=3)))
+    got = {r.model: r.r2 for r in P.model_compare(spark, d).collect()}
+    assert set(got) == {"gp", "knn", "rf", "mlp"} and len(fits) == 3 and min(fits) > 800 and min(tested) > 200
 
 
 def test_queries_have_the_operators_settings(spark, tmp_path, monkeypatch):
