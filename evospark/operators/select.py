@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .slices import PER_SLICE, ranked
+
 
 def top_per(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: Column | int) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
@@ -21,12 +23,11 @@ def survivors(df: DataFrame, value: str, tie: str, by: Sequence[str], elite: flo
     return top_per(sized, by, [F.desc(value), F.asc(tie)], F.col("_k")).drop("_k")
 
 
-def evenly_spaced(df: DataFrame, order: str, by: Sequence[str], k: int) -> DataFrame:
+def evenly_spaced(df: DataFrame, order: str, by: Sequence[str], k: int, per_slice: int = PER_SLICE) -> DataFrame:
     """k rows of each group at even steps of its order, first and last included."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * (F.col("_n") - 1) / F.lit(max(k - 1, 1))))
-    return ranked.filter((F.col("_n") <= k) | F.array_contains(wanted, F.col("_i").cast("bigint"))).drop("_i", "_n")
+    steps = F.sequence(F.lit(0), F.lit(k - 1))
+    wanted = lambda n: F.transform(steps, lambda j: F.when(n <= k, j.cast("bigint")).otherwise(F.floor(j * (n - 1) / F.lit(max(k - 1, 1)))))
+    return ranked(df, order, order, by, wanted, per_slice).select(*df.columns)
 
 
 #: Slices that a sort of a whole table is dealt into.
@@ -96,13 +97,13 @@ def sliding_window(df: DataFrame, order: str, cap: int, by: Sequence[str] = ())
     return df.orderBy(F.desc(order)).limit(cap)
 
 
-def bulk_trim(df: DataFrame, order: str, by: Sequence[str], cap: int) -> DataFrame:
+def bulk_trim(df: DataFrame, order: str, by: Sequence[str], cap: int, per_slice: int = PER_SLICE) -> DataFrame:
     """A ring that is cut to 80 % of its capacity whenever it passes 125 % of it: what is left of
     n arrivals follows from n alone."""
     trigger, keep = int(cap * 1.25), int(cap * 0.8)
-    n = F.count("*").over(Window.partitionBy(*by))
+    n = F.col("_n")
     left = F.when(n <= trigger, n).otherwise(keep + (n - trigger - 1) % (trigger - keep + 1))
-    return top_per(df.withColumn("_keep", left), by, [F.desc(order)], F.col("_keep")).drop("_keep")
+    return ranked(df, order, order, by, per_slice=per_slice).filter(F.col("_rank") >= n - left).select(*df.columns)
 
 
 def ttl(df: DataFrame, last: str, now: Column | int, max_age: int) -> DataFrame:

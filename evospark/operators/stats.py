@@ -9,21 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def running(df: DataFrame, order: str, sums: dict[str, str], slices: int = 256) -> DataFrame:
-    """Running sums over a whole table without a single-task sort.
-
-    The order column is cut into slices of its range; sums run within slices and are shifted by
-    the totals of the slices before, of which there are ``slices`` at most.
-    """
-    bounds = F.broadcast(df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi")))
-    share = (F.col(order) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1))
-    own = df.join(bounds).withColumn("_slice", F.least(F.floor(share * slices), F.lit(slices - 1))).drop("_lo", "_hi")
-    totals = own.groupBy("_slice").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.broadcast(totals.select("_slice", *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums)))
-    w = Window.partitionBy("_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    run = own.withColumns({f"_r_{n}": F.sum(c).over(w) for n, c in sums.items()}).join(base, "_slice")
+from .slices import PER_SLICE, ranked, sliced
+
+
+def running(df: DataFrame, order: str, sums: dict[str, str], per_slice: int = PER_SLICE) -> DataFrame:
+    """Running sums over a whole table without a single-task sort: sums run within slices of the
+    order column that hold about as many rows each, and are shifted by the totals of those before."""
+    own = sliced(df, order, order, per_slice=per_slice)
+    totals = own.groupBy("_s").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
+    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+    base = totals.select(F.col("_s").alias("_z"), *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums))
+    w = Window.partitionBy("_s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    run = own.withColumns({f"_r_{n}": F.sum(c).over(w) for n, c in sums.items()}).join(base, F.col("_s") == F.col("_z"))
     return run.select(*df.columns, *((F.col(f"_r_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums))
 
 
@@ -68,15 +65,23 @@ def ribbon(df: DataFrame, run: str, step: str, value: str, shortest: bool) -> Da
     return rows.groupBy(step).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("runs"))
 
 
-def percentiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Linear interpolation, as exact percentiles have it."""
-    return df.groupBy(*by).agg(*(F.percentile(value, p).alias(n) for n, p in shares.items()))
+def percentiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = (), per_slice: int = PER_SLICE) -> DataFrame:
+    """Linear interpolation between the two values around each share, exact: only the slices that
+    hold them are sorted. Nulls don't count; a group of nulls has no row."""
+    at = lambda n, p: F.lit(p) * (n - 1)
+    wanted = lambda n: F.flatten(F.array(*(F.array(F.floor(at(n, p)), F.ceil(at(n, p))) for p in shares.values())))
+    rows = ranked(df.filter(F.col(value).isNotNull()).select(*by, value), value, value, by, wanted, per_slice)
+    pick = lambda r: F.max(F.when(F.col("_rank") == r, F.col(value)))
+    n = F.col("_n")
+    out = rows.groupBy(*by, "_n").agg(*(pick(f(at(n, p))).alias(f"_{side}_{name}") for name, p in shares.items() for side, f in (("lo", F.floor), ("hi", F.ceil))))
+    share = lambda p: at(n, p) - F.floor(at(n, p))
+    return out.select(*by, *((F.col(f"_lo_{name}") + share(p) * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name) for name, p in shares.items()))
 
 
-def ecdf(df: DataFrame, value: str, tie: str, by: Sequence[str]) -> DataFrame:
+def ecdf(df: DataFrame, value: str, tie: str, by: Sequence[str], per_slice: int = PER_SLICE) -> DataFrame:
     """i / n of every row in sorted order."""
-    w = Window.partitionBy(*by)
-    return df.select(*by, tie, value, (F.row_number().over(w.orderBy(value, tie)) / F.count("*").over(w)).alias("cdf"))
+    rows = ranked(df.select(*by, tie, value), value, tie, by, per_slice=per_slice)
+    return rows.select(*by, tie, value, ((F.col("_rank") + 1) / F.col("_n")).alias("cdf"))
 
 
 def jain(df: DataFrame, value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import stats as S
+from ..operators.slices import ranked
 from ..registry import query
 from .base import EVAL_SQL, G_SQL, evaluated, genomes, r6, table
 
@@ -15,7 +16,7 @@ RUN_SQL = "runs AS (SELECT user_id % 8 AS run, row_number() OVER (PARTITION BY u
 
 def runs(spark, d):
     e = table(spark, d, "events").select((F.col("user_id") % 8).alias("run"), "event_id", "value")
-    return e.withColumn("step", (F.row_number().over(Window.partitionBy("run").orderBy("event_id")) - 1).cast("bigint"))
+    return ranked(e, "event_id", "event_id", ["run"]).select("run", "event_id", "value", F.col("_rank").cast("bigint").alias("step"))
 
 
 @query("fitness_stats", f"WITH {EVAL_SQL} SELECT generation, round(max(fitness), 6) AS best, round(avg(fitness), 6) AS avg, round(min(fitness), 6) AS worst, round(stddev_pop(fitness), 6) AS std FROM ev GROUP BY generation")
@@ -112,7 +113,10 @@ def locality_stats(spark, d):
     from ..functions import vectors as V
 
     q = evaluated(spark, d).select("fitness", V.l2(F.col("g"), V.vec(*[0.5] * 10)).alias("r"))
-    return q.agg(r6(F.corr("r", "fitness")).alias("corr"), r6(F.percentile("r", 0.5)).alias("median_r"), r6(F.percentile(F.when(F.col("fitness") > 7, F.col("r")), 0.9)).alias("p90_near"), r6(F.avg("r") / F.greatest(F.min("r"), F.lit(1e-5))).alias("ratio"))
+    whole = q.agg(r6(F.corr("r", "fitness")).alias("corr"), r6(F.avg("r") / F.greatest(F.min("r"), F.lit(1e-5))).alias("ratio"))
+    median, near = S.percentiles(q, "r", {"median_r": 0.5}), S.percentiles(q.filter("fitness > 7"), "r", {"p90_near": 0.9})
+    one = lambda df, name: F.broadcast(df.agg(r6(F.max(name)).alias(name)))
+    return whole.join(one(median, "median_r")).join(one(near, "p90_near"))
 
 
 @query("ols_fit", "SELECT p_brand, round(regr_slope(p_retailprice, p_size), 6) AS slope, round(regr_intercept(p_retailprice, p_size), 6) AS intercept FROM part GROUP BY p_brand HAVING count(DISTINCT p_size) > 1")
@@ -197,8 +201,8 @@ def gradient(spark, d):
 
 @query("rr_counts", "WITH x AS (SELECT event_type, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 4 AS worker FROM events) SELECT event_type, worker, count(*) AS n FROM x GROUP BY 1, 2")
 def rr_counts(spark, d):
-    seq = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
-    return table(spark, d, "events").select("event_type", (seq % 4).cast("bigint").alias("worker")).groupBy("event_type", "worker").agg(F.count("*").alias("n"))
+    rows = ranked(table(spark, d, "events").select("event_type", "event_id"), "event_id", "event_id", ["event_type"])
+    return rows.select("event_type", (F.col("_rank") % 4).cast("bigint").alias("worker")).groupBy("event_type", "worker").agg(F.count("*").alias("n"))
 
 
 @query("queue_backlog")
