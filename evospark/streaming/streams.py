@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import logs as L
 from ..session import ship
+from .tail import TailSource
 
 TOPICS = ("logs.orchestrator", "logs.worker", "logs.lead", "logs.surrogate")
 LOG_LINE = "event_id bigint, raw string, topic string, broker_ts bigint"
@@ -29,14 +30,10 @@ def file_logs(spark: SparkSession, path: str, files_per_trigger: int = 1) -> Dat
 
 
 def tail_files(spark: SparkSession, globs: dict[str, str]) -> DataFrame:
-    """Lines of text files, tagged by the pattern they match, in the columns that ``normalized``
-    takes. An id is the time that its file was changed, in microseconds, so that later lines are
-    newer; lines of one change share it."""
-    rows = None
-    for topic, glob in globs.items():
-        part = spark.readStream.format("text").load(glob).select(F.unix_micros("_metadata.file_modification_time").alias("event_id"), F.col("value").alias("raw"), F.lit(topic).alias("topic"), F.lit(None).cast("bigint").alias("broker_ts"))
-        rows = part if rows is None else rows.union(part)
-    return rows
+    """Lines that are appended to text files, tagged by the pattern they match, in the columns that
+    ``normalized`` takes. Ids are unique and rise with the lines of a file and with the batches."""
+    spark.dataSource.register(TailSource)
+    return spark.readStream.format(TailSource.name()).option("globs", json.dumps(globs)).load()
 
 
 def normalized(stream: DataFrame) -> DataFrame:
