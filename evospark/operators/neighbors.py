@@ -20,6 +20,8 @@ from ..session import ship, stored
 QUERY_BLOCK, STORE_BLOCK = 4_096, 16_384
 #: Stored points that give the centres of cells, cells and a cell's rings at most, rows of a slice.
 SAMPLED, CELLS, RINGS, ROWS = 4_096, 256, 64, 8_192
+#: Queries that are tried on the sample, and the share of it up to which cells are worth their work.
+TRIED, WORTH = 256, 0.4
 #: Dimensions of the grid of a radius join; a point is copied to 3 ** GRID cells.
 GRID = 3
 #: Leading hex digits of a curve key that make a slice of it.
@@ -63,7 +65,7 @@ class Cells:
 
     def __init__(self, sample: np.ndarray, most: int = CELLS):
         self.sample = sample
-        n = max(1, min(most, len(sample) // 16))
+        n = max(1, min(most, len(sample) // 32))
         self.centres = sample[:: max(1, len(sample) // n)][:n].copy()
         for _ in range(4):
             own = self.distances(sample).argmin(1)
@@ -94,6 +96,14 @@ class Cells:
         return np.concatenate([np.partition(_distances(points[at : at + 512], self.sample), k - 1, 1)[:, k - 1] for at in range(0, len(points), 512)] or [np.zeros(0)])
 
 
+    def share(self, points: np.ndarray, k: int) -> float:
+        """The share of the sample that some queries have to meet."""
+        d, limit = self.distances(points), self.kth(points, k)
+        cell, r = self.assign(self.sample)
+        least = np.maximum(np.abs(d[:, cell] - r), self.planes(d)[:, cell])
+        return float((least <= limit[:, None]).mean())
+
+
 def _slack(x: np.ndarray) -> np.ndarray:
     """Room for rounding in the bounds: a pair too many costs time only."""
     return 1e-9 * (1.0 + np.where(np.isfinite(x), x, 0.0))
@@ -281,7 +291,9 @@ def _by_cells(asked: DataFrame, rows: DataFrame, cells: Cells, k: int, block: in
         for batch in batches:
             limits = dict(zip(batch.column("id").to_numpy().tolist(), batch.column("bound").to_numpy().tolist()))
             for ids, m in by_length(batch, 256):
-                d, limit = cells.distances(m), np.minimum(cells.kth(m, k), [limits[i] for i in ids.tolist()])
+                d, limit = cells.distances(m), np.array([limits[i] for i in ids.tolist()])
+                unknown = np.isinf(limit)  # its own block holds fewer than k points
+                limit[unknown] = cells.kth(m[unknown], k)
                 planes, own = cells.planes(d), d.argmin(1)
                 at_home = rings.ring(own, d[np.arange(len(ids)), own])
                 room = limit + _slack(d.max(1))
@@ -294,7 +306,7 @@ def _by_cells(asked: DataFrame, rows: DataFrame, cells: Cells, k: int, block: in
 
     def compare(table: pa.Table) -> pa.Table:
         own, other = table.filter(table.column("asked")), table.filter(pc.invert(table.column("asked")))
-        works = [Nearest(i, m, k, cells, own.column("bound").to_numpy()) for i, m in by_length(own, max(1, own.num_rows))]
+        works = [Nearest(i, m, k, None, own.column("bound").to_numpy()) for i, m in by_length(own, max(1, own.num_rows))]  # of one cell
         return pa.Table.from_batches([_seen(works, by_length(other), found)])
 
     schema = "id long, v array<double>, cell int, ring int, part int, bound double"
@@ -333,12 +345,16 @@ def knn(queries: DataFrame, store: DataFrame, k: int, block: int = QUERY_BLOCK,
     The store is cut into Voronoi cells around centres of a bounded sample. Up to ``block`` queries
     go to the tasks that scan the store in place, and skip cells that can't hold a nearer point.
     More queries are sent to the blocks of cells that can, in two rounds. If lengths differ,
-    triangles say nothing, and all blocks of queries meet all of the store. A part of the store
+    triangles say nothing, and all blocks of queries meet all of the store; so they do where queries
+    that are tried on the sample have to meet more than WORTH of it. The rows are the same. A part of the store
     gives k candidates a query, and only those are ranked.
     """
     asked, rows = _sides(queries, store)
     cells = _cells(rows)
     taken = asked.limit(block + 1).toArrow()  # no more ever come to the driver
+    tried = next((m for _, m in by_length(taken, TRIED)), None)
+    if cells is not None and (tried is None or tried.shape[1] != cells.centres.shape[1] or cells.share(tried, k) > WORTH):
+        cells = None
     if taken.num_rows > block and cells is not None:
         width = asked.select("v").union(rows.select("v")).agg(F.min(F.size("v")), F.max(F.size("v"))).first()
         if width[0] == width[1]:

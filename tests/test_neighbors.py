@@ -43,9 +43,10 @@ def answer(df):
 
 
 @pytest.mark.parametrize("k", [1, 7])
-@pytest.mark.parametrize("block,stored_block", [(4_096, 16_384), (16, 32)])
-def test_by_brute_force(spark, k, block, stored_block):
+@pytest.mark.parametrize("block,stored_block,worth", [(4_096, 16_384, 1.0), (16, 32, 1.0), (16, 32, -1.0)])
+def test_by_brute_force(spark, k, block, stored_block, worth, monkeypatch):
     rng = np.random.default_rng(2)
+    monkeypatch.setattr(N, "WORTH", worth)
     store = [(i, v.tolist()) for i, v in enumerate(clustered(900, rng))]
     store += [(5_000 + i, store[i % 3][1]) for i in range(200)]  # copies of three points: ties by id
     queries = [(i, v.tolist()) for i, v in enumerate(clustered(90, rng))] + [(700, store[0][1]), (701, [1e6] * 6), (702, [-3.0] * 6)]
