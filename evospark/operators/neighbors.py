@@ -109,6 +109,18 @@ def _slack(x: np.ndarray) -> np.ndarray:
     return 1e-9 * (1.0 + np.where(np.isfinite(x), x, 0.0))
 
 
+def _least(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distances up to its k-th least, ties included, and their ids; the rest is infinite."""
+    if d.shape[1] <= 4 * k:
+        return d, np.broadcast_to(ids, d.shape)
+    row, column = np.nonzero((d <= np.partition(d, k - 1, 1)[:, k - 1 : k]) & np.isfinite(d))
+    n = np.bincount(row, minlength=len(d))
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    out, own = np.full((len(d), n.max()), np.inf), np.full((len(d), n.max()), np.iinfo(np.int64).max)
+    out[row, at], own[row, at] = d[row, column], ids[column]
+    return out, own
+
+
 class Nearest:
     """The best k of the stored rows for queries of one width, k rows a query held at a time.
 
@@ -135,8 +147,8 @@ class Nearest:
         near = np.isfinite(d).any(1)
         q, d = q[near], d[near]
         if len(q):
-            all_d = np.hstack((self.best_d[q], d))
-            all_i = np.hstack((self.best_i[q], np.broadcast_to(sid, d.shape)))
+            d, i = _least(d, sid, self.k)
+            all_d, all_i = np.hstack((self.best_d[q], d)), np.hstack((self.best_i[q], i))
             order = np.lexsort((all_i, all_d), axis=1)[:, : self.k]
             self.best_d[q], self.best_i[q] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
             self.limit[q] = np.minimum(self.limit[q], self.best_d[q, -1])
