@@ -35,8 +35,9 @@ class Scaler:
 
 
 def matern52(a: np.ndarray, b: np.ndarray, scales: np.ndarray, variance: float) -> np.ndarray:
-    d = (a[:, None, :] - b[None, :, :]) / scales
-    s = np.sqrt(5.0 * (d * d).sum(-1))
+    a, b = a / scales, b / scales
+    squares = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2.0 * a @ b.T  # no table of differences
+    s = np.sqrt(5.0 * np.maximum(squares, 0.0))
     return variance * (1.0 + s + s * s / 3.0) * np.exp(-s)
 
 
@@ -255,41 +256,71 @@ def train(model, x: np.ndarray, y: np.ndarray):
     return model, metrics(y[b], model.predict(x[b])[0])
 
 
-#: What a sweep multiplies a length scale by, and the gain in likelihood that counts.
-FACTORS, LEAST_GAIN = (0.5, 0.72, 0.88, 0.96, 1.04, 1.14, 1.38, 2.0), 1e-4
+# Fixed values of the search: isotropic starts, factors of a step for scales and signal and for the
+# noise, bounds of each, and the gain in likelihood that counts.
+STARTS = (0.5, 1.0, 2.0, 3.5, 5.0)
+FACTORS = (0.5, 0.72, 0.88, 0.96, 1.04, 1.14, 1.38, 2.0)
+NOISE_FACTORS = (0.3, 0.6, 0.85, 1.15, 1.6, 3.0)
+SCALE_BOUNDS, SIGNAL_BOUNDS, NOISE_BOUNDS = (0.05, 50.0), (0.05, 30.0), (1e-6, 0.5)
+LEAST_GAIN = 1e-4
 
 
-def optimize_gp(spark: SparkSession, x: np.ndarray, y: np.ndarray, starts: int = 5, sweeps: int = 15, factors: tuple[float, ...] = FACTORS) -> GaussianProcess:
-    """Scales by likelihood: isotropic starts are scored as rows of a table, then each of the best
-    one's dimensions in turn is scaled by the best factor, in sweeps that stop when nothing improves."""
+def likelihoods(spark: SparkSession, points: list[list[float]], x: np.ndarray, y: np.ndarray) -> list[tuple[list[float], float]]:
+    """Points (a scale a dimension, signal variance, noise variance) with their log likelihood, best
+    first; minus infinity where the matrix isn't positive definite. One job, two points a task."""
     ship(spark)
 
-    def score(scales: np.ndarray) -> float:
+    def score(point: list[float]) -> float:
         try:
-            return GaussianProcess(scales=np.array(scales)).fit(x, y).log_likelihood
+            return GaussianProcess(np.array(point[:-2]), point[-2], point[-1]).fit(x, y).log_likelihood
         except ValueError:
             return -np.inf
 
-    def scores(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("scales").to_pylist()
-            yield pa.record_batch([pa.array(rows, pa.list_(pa.float64())), pa.array([score(np.array(r)) for r in rows])], ["scales", "ll"])
+            scored = [score(p) for p in batch.column("point").to_pylist()]
+            yield pa.record_batch([batch.column("at"), pa.array(scored, pa.float64())], ["at", "ll"])
+
+    table = spark.createDataFrame(list(enumerate(points)), "at int, point array<double>").repartition(max(1, len(points) // 2))
+    rows = table.mapInArrow(run, "at int, ll double").orderBy(F.desc("ll"), "at").collect()
+    return [(points[r["at"]], r["ll"]) for r in rows]
+
+
+def moves(point: list[float], tuned: tuple[str, ...]) -> list[tuple[int, list[float]]]:
+    """Each tuned parameter times each of its factors, within its bounds, with the parameter's number."""
+    d = len(point) - 2
+    kinds = [("scales", FACTORS, SCALE_BOUNDS)] * d + [("signal", FACTORS, SIGNAL_BOUNDS), ("noise", NOISE_FACTORS, NOISE_BOUNDS)]
+    out = []
+    for k, (kind, factors, (low, high)) in enumerate(kinds):
+        if kind in tuned:
+            out += [(k, [*point[:k], min(max(point[k] * f, low), high), *point[k + 1 :]]) for f in factors]
+    return out
+
 
-    def best(rows: list[list[float]]):
-        table = spark.createDataFrame([(r,) for r in rows], "scales array<double>").repartition(max(1, len(rows) // 2))
-        return table.mapInArrow(scores, "scales array<double>, ll double").orderBy(F.desc("ll"), "scales").first()
+def optimize_gp(spark: SparkSession, x: np.ndarray, y: np.ndarray, starts: tuple[float, ...] = STARTS, sweeps: int = 15, tuned: tuple[str, ...] = ("scales", "signal", "noise")) -> GaussianProcess:
+    """Length scales, signal variance and noise variance by likelihood, as one space.
 
-    base = np.sqrt(x.shape[1])
-    top = best([[float(base * f)] * x.shape[1] for f in np.geomspace(0.3, 3.0, starts)])
+    Isotropic starts are a table of points. A sweep is two: every factor of every parameter from the
+    best point so far; then the best moves of the parameters that gain, taken together, from the
+    best one alone to all of them. The search ends when no single move gains, or after ``sweeps``."""
+    width = x.shape[1]
+    point, top = likelihoods(spark, [[s] * width + [1.0, 1e-3] for s in starts], x, y)[0]
     for _ in range(sweeps):
-        before = top["ll"]
-        for dim in range(x.shape[1]):
-            found = best([[min(max(v * f, 0.05), 50.0) if k == dim else v for k, v in enumerate(top["scales"])] for f in factors])
-            if found["ll"] > top["ll"] + LEAST_GAIN:
-                top = found
-        if top["ll"] == before:
+        tried = moves(point, tuned)
+        owner = {tuple(p): k for k, p in tried}
+        gains: dict[int, float] = {}  # parameter to its best value, best parameter first
+        single = likelihoods(spark, [p for _, p in tried], x, y)
+        for p, ll in single:
+            if ll > top + LEAST_GAIN:
+                gains.setdefault(owner[tuple(p)], p[owner[tuple(p)]])
+        if not gains:
             break
-    return GaussianProcess(scales=np.array(top["scales"])).fit(x, y)
+        joint, together = list(point), []
+        for k, value in gains.items():
+            joint[k] = value
+            together.append(list(joint))
+        point, top = max([single[0], *likelihoods(spark, together[1:], x, y)] if together[1:] else [single[0]], key=lambda r: r[1])
+    return GaussianProcess(np.array(point[:-2]), point[-2], point[-1]).fit(x, y)
 
 
 def predict(df: DataFrame, model, vector: str = "g", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -73,10 +73,11 @@ def gp_predict(spark, d):
 
 @query("gp_optimize")
 def gp_optimize(spark, d):
-    """Length scales by likelihood, and the relevance that follows from them."""
+    """Length scales, signal and noise variance by likelihood."""
     x, y = window(spark, d)
     gp = M.optimize_gp(spark, x, y)
-    return spark.createDataFrame([(i, float(v), gp.log_likelihood) for i, v in enumerate(gp.scales)], "dim int, scale double, log_likelihood double")
+    rows = [(i, float(v), float(gp.variance), float(gp.noise), gp.log_likelihood) for i, v in enumerate(gp.scales)]
+    return spark.createDataFrame(rows, "dim int, scale double, signal_variance double, noise_variance double, log_likelihood double")
 
 
 @query("rf_predict")

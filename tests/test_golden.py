@@ -260,8 +260,31 @@ def test_queries_have_the_operators_settings(spark, tmp_path, monkeypatch):
     x = np.random.default_rng(2).random((60, 3))
     gp = M.optimize_gp(spark, x, np.sin(6 * x[:, 0]))
     assert gp.scales[0] < 0.5 * min(gp.scales[1:])  # a sweep visits every dimension
-    fixed = lambda k, f: M.GaussianProcess(scales=np.where(np.arange(3) == k, gp.scales * f, gp.scales)).fit(x, np.sin(6 * x[:, 0])).log_likelihood
-    assert all(fixed(k, f) < gp.log_likelihood + 0.01 for k in range(3) for f in M.FACTORS if 0.05 <= gp.scales[k] * f <= 50)
+    point = [*map(float, gp.scales), gp.variance, gp.noise]
+    ends = [M.GaussianProcess(np.array(p[:-2]), p[-2], p[-1]).fit(x, np.sin(6 * x[:, 0])).log_likelihood for _, p in M.moves(point, ("scales", "signal", "noise"))]
+    assert max(ends) < gp.log_likelihood + 0.01  # no single move of any parameter gains
+
+
+def test_search_tunes_signal_and_noise(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((80, 2))
+    noisy = np.sin(5 * x[:, 0]) + 0.3 * rng.standard_normal(80)
+    full, scales = M.optimize_gp(spark, x, noisy), M.optimize_gp(spark, x, noisy, tuned=("scales",))
+    assert full.log_likelihood > scales.log_likelihood + 1 and (scales.variance, scales.noise) == (1.0, 1e-3)
+    share = 0.09 / noisy.var()  # of the noise in the scaled target
+    assert 0.4 * share < full.noise < 2.5 * share
+    bounded = M.moves([50.0, 0.05, 30.0, 0.5], ("scales", "signal", "noise"))
+    assert len(bounded) == 3 * 8 + 6 and all(0.05 <= p[k] <= 50 for k, p in bounded if k < 2) and all(p[2] <= 30 and p[3] <= 0.5 for _, p in bounded)
+    jobs = []
+    real = M.likelihoods
+    try:
+        M.likelihoods = lambda *a: jobs.append(len(a[1])) or real(*a)
+        M.optimize_gp(spark, x, noisy, sweeps=2)
+    finally:
+        M.likelihoods = real
+    assert jobs[:2] == [5, 30] and len(jobs) <= 5  # the starts, then two tables a sweep
+    flat = M.likelihoods(spark, [[1.0, 1.0, 1.0, 1e-6], [1.0, 1.0, -1.0, 1e-6]], x, noisy)
+    assert flat[-1][1] == -np.inf and flat[0][0][2] == 1.0
 
 
 def test_neighbours_in_parts():
