@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import airframe as A
 from ..functions import vectors as V
+from ..operators import mesh as MESH
 from ..operators import select as S
 from ..registry import query
 from .base import G_SQL, genomes, r6, table
@@ -164,3 +165,39 @@ def backoff(spark, d):
     from ..streaming.retry import delay_ms
 
     return spark.createDataFrame([(a, delay_ms(a, jitter=0.0)) for a in range(1, 11)], "attempt int, ms double")
+
+
+# The meshes' volumes by other ways: slices of the fuselage as prismatoids, tails as cones' ends, the
+# wing's skin and ends by determinants.
+FOIL_SQL = "5.0::DOUBLE * {t} * (0.2969 * sqrt(x) - 0.126 * x - 0.3516 * x * x + 0.2843 * x * x * x - 0.1015 * x * x * x * x)"
+MESH_SQL = f"""{PARAMS_SQL},
+ring AS (SELECT i, CASE WHEN i <= 10 THEN 0.25 * i / 10 WHEN i <= 16 THEN 0.25 + 0.4 * (i - 10) / 6 WHEN i <= 28 THEN 0.65 + 0.35 * (i - 16) / 12 ELSE 1.0 END::DOUBLE AS x,
+ CASE WHEN i <= 10 THEN sqrt(greatest(1 - power(1 - i / 10.0::DOUBLE, 2), 0)) WHEN i <= 16 THEN 1.0 WHEN i <= 28 THEN 1.0 - 0.85::DOUBLE * (i - 16) / 12 ELSE 0.0 END::DOUBLE AS w FROM generate_series(0, 29) r(i)),
+tube AS (SELECT sum(10 * sin(pi() / 10) * (b.x - a.x) / 3 * (a.w * a.w + a.w * b.w + b.w * b.w)) AS v FROM ring a JOIN ring b ON b.i = a.i + 1),
+tailp AS (SELECT k, x, CASE WHEN k <= 16 THEN 1 ELSE -1 END * {FOIL_SQL.format(t="0.1")} AS y FROM (SELECT k, 0.5::DOUBLE * (1 - cos(abs(k - 16) * pi() / 16)) AS x FROM generate_series(0, 32) r(k))),
+tailf AS (SELECT abs(sum(a.x * b.y - b.x * a.y)) / 2 AS area FROM tailp a JOIN tailp b ON b.k = (a.k + 1) % 33),
+wk AS (SELECT k, 0.5::DOUBLE * (1 - cos(abs(k - 20) * pi() / 20)) AS x FROM generate_series(0, 40) r(k)),
+wf AS (SELECT *, CASE WHEN k <= 20 THEN 1 ELSE -1 END * {FOIL_SQL.format(t="0.12")} AS up,
+ naca_m / 100 / CASE WHEN x < 0.4 THEN 0.16::DOUBLE ELSE 0.36::DOUBLE END AS sc FROM pr, wk),
+wl AS (SELECT *, sc * CASE WHEN x < 0.4 THEN 0.8 * x - x * x ELSE 0.2::DOUBLE + 0.8 * x - x * x END AS camber, atan(2 * sc * (0.4::DOUBLE - x)) AS lean FROM wf),
+ws AS (SELECT *, x - up * sin(lean) AS u, camber + up * cos(lean) AS w, radians(wing_twist) * i / 12 AS turn, wing_root_chord + (wing_tip_chord - wing_root_chord) * i / 12 AS chord FROM wl, generate_series(0, 12) r(i)),
+wp AS (SELECT vec_id, i, k, wing_x_pos + wing_span * tan(radians(wing_sweep)) * i / 12 + chord * (u * cos(turn) - w * sin(turn)) AS x, wing_span * i / 12 AS y,
+ -2.0::DOUBLE + wing_span * tan(radians(wing_dihedral)) * i / 12 + chord * (u * sin(turn) + w * cos(turn)) AS z FROM ws),
+tri AS (SELECT i AS ai, k AS ak, i AS bi, (k + 1) % 41 AS bk, i + 1 AS ci, (k + 1) % 41 AS ck FROM generate_series(0, 11) r(i), generate_series(0, 40) q(k)
+ UNION ALL SELECT i, k, i + 1, (k + 1) % 41, i + 1, k FROM generate_series(0, 11) r(i), generate_series(0, 40) q(k)
+ UNION ALL SELECT 0, 0, 0, k + 1, 0, k FROM generate_series(1, 39) q(k) UNION ALL SELECT 12, 0, 12, k, 12, k + 1 FROM generate_series(1, 39) q(k)),
+wv AS (SELECT a.vec_id, abs(sum(a.x * (b.y * c.z - b.z * c.y) + a.y * (b.z * c.x - b.x * c.z) + a.z * (b.x * c.y - b.y * c.x))) / 6 AS v
+ FROM tri JOIN wp a ON a.i = ai AND a.k = ak JOIN wp b ON b.vec_id = a.vec_id AND b.i = bi AND b.k = bk JOIN wp c ON c.vec_id = a.vec_id AND c.i = ci AND c.k = ck GROUP BY 1)"""
+
+
+@query("airframe_mesh", f"WITH {MESH_SQL} SELECT vec_id, (20 + 27 * 40 + 20 + 2 * (12 * 41 * 2 + 78) + 3 * (6 * 33 * 2 + 62))::BIGINT AS facets, true AS closed, round(fuse_length * r * r * tube.v, 2) AS fuselage, round(2 * wv.v, 2) AS wing, round(area * (2 * 45.0::DOUBLE * (28 * 28 + 28 * 15 + 15 * 15) + 45.0::DOUBLE * (35 * 35 + 35 * 18 + 18 * 18)) / 3, 2) AS tail, round(fuse_length * r * r * tube.v / {VOLUME_SQL}, 6) AS of_formula FROM pr JOIN wv USING (vec_id), tube, tailf")
+def airframe_mesh(spark, d):
+    """Facets, closedness and volumes of every design's mesh, and the fuselage's share of its formula."""
+    p = A.parameters(F.col("g"))
+    designs = genomes(spark, d).select("vec_id", *(p[n].alias(n) for n in MESH.NEEDED))
+    parts = MESH.solids(MESH.facets(designs, "vec_id"), "vec_id")
+    volume = lambda like: F.sum(F.when(F.col("surface").rlike(like), F.col("volume")).otherwise(0.0))
+    whole = parts.groupBy("vec_id").agg(F.sum("facets").alias("facets"), F.every("closed").alias("closed"), volume("fuselage").alias("fuselage"), volume("wing").alias("wing"), volume("stabilizer|fin").alias("tail"))
+    formula = designs.select("vec_id", A.fuselage_volume({n: F.col(n) for n in MESH.NEEDED}).alias("formula"))
+    rows = whole.join(formula, "vec_id").withColumn("of_formula", F.round(F.col("fuselage") / F.col("formula"), 6))
+    return rows.select("vec_id", "facets", "closed", *(F.round(c, 2).alias(c) for c in ("fuselage", "wing", "tail")), "of_formula")
