@@ -12,7 +12,7 @@ task's group. A pair that meets in two cells counts in the smaller one. Blocks g
 number of links and a forest that spans the links, never all pairs.
 
 Defined cases: null or zero vectors and vectors with null or non-finite components link with
-nothing; only vectors of one length are compared; equal vectors of different ids link, rows of one
+nothing; finite vectors of any size do (each is scaled by a power of two first); only vectors of one length are compared; equal vectors of different ids link, rows of one
 id don't link with each other; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -49,6 +49,7 @@ def fit_cells(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.
 def _unit(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])  # exact; squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 

@@ -651,3 +651,11 @@ def test_quality_without_ratings(spark, odd):
     assert quality.train(odd, none) is None
     out = quality.classify(odd, None).collect()
     assert all(r.expected_grade is None for r in out) and sum(not r.kept for r in out) == 3
+
+
+def test_vectors_of_extreme_size_link(spark):
+    from evospark.llm.embedding_dedup import link_vectors
+
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1e200, 0.0, 0.0]), (3, [1e-200, 1e-202, 0.0]), (4, [0.0, 5e-324, 0.0]), (5, [0.0, 1.7e308, 1.7e308]), (6, [0.0, 1.0, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5)}
