@@ -9,7 +9,7 @@ from ..functions import vectors as V
 from ..operators import neighbors as N
 from ..operators import tiering as T
 from ..registry import query
-from .base import CACHE_SQL, EVAL_SQL, G_SQL, POP_SQL, cache, evaluated, genomes, population, r6
+from .base import CACHE_SQL, DIMS, EVAL_SQL, G_SQL, POP_SQL, cache, evaluated, genomes, population, r6
 
 DIST = "list_distance(p.g, c.sg)"
 NN_SQL = f"nn AS (SELECT * FROM (SELECT query_id, store_id, {DIST} AS d, row_number() OVER (PARTITION BY query_id ORDER BY {DIST}, store_id) AS rank FROM pop p, cache c)"
@@ -130,20 +130,44 @@ def _keys(spark, d, curves):
     return store, pop, keys, asked
 
 
-@query("probe_keys")
+# Hilbert keys in SQL: the points of a table ``src`` (id, stored, v), quantized in each curve's order,
+# turned step by step (level from the top, dimension by dimension) and written as hex.
+CURVES = 3
+_ORDERS = ", ".join(f"({c}, {[i + 1 for i in order]})" for c, order in enumerate(curve.permutations(DIMS, CURVES)))
+KEYS_SQL = f"""orders_of AS (SELECT * FROM (VALUES {_ORDERS}) o(curve, places)),
+turned AS (SELECT id, stored, curve, 0 AS step, [round_even(greatest(least(v[i], 1.0), 0.0) * 65535.0, 0)::BIGINT FOR i IN places] AS x FROM src, orders_of
+ UNION ALL SELECT id, stored, curve, step + 1, [CASE WHEN k = 1 THEN xor(x[1], CASE WHEN high THEN low ELSE swap END) WHEN k = dim THEN xor(x[k], swap) ELSE x[k] END FOR k IN range(1, {DIMS + 1})]
+ FROM (SELECT *, CASE WHEN high THEN 0 ELSE xor(x[1], x[dim]) & low END AS swap FROM (SELECT *, ((x[dim] >> lv) & 1) = 1 AS high, (1::BIGINT << lv) - 1 AS low FROM (SELECT *, 15 - step // {DIMS} AS lv, step % {DIMS} + 1 AS dim FROM turned WHERE step < {15 * DIMS})))),
+gray AS (SELECT id, stored, curve, [list_aggregate(x[1:k], 'bit_xor') FOR k IN range(1, {DIMS + 1})] AS x FROM turned WHERE step = {15 * DIMS}),
+flipped AS (SELECT *, list_aggregate([CASE WHEN ((x[{DIMS}] >> l) & 1) = 1 THEN (1::BIGINT << l) - 1 ELSE 0 END FOR l IN range(1, 16)], 'bit_xor') AS flips FROM gray),
+index_of AS (SELECT id, stored, curve, [xor(t, flips) FOR t IN x] AS x FROM flipped),
+keyed AS (SELECT id, stored, curve, array_to_string([substr('0123456789abcdef', (8 * b[4 * h + 1] + 4 * b[4 * h + 2] + 2 * b[4 * h + 3] + b[4 * h + 4] + 1)::BIGINT, 1) FOR h IN range(0, {4 * DIMS})], '') AS hkey
+ FROM (SELECT id, stored, curve, [(x[n % {DIMS} + 1] >> (15 - n // {DIMS})) & 1 FOR n IN range(0, {16 * DIMS})] AS b FROM index_of))"""
+PROBE_SQL = f"""{POP_SQL}, src AS (SELECT query_id AS id, 0 AS stored, g AS v FROM pop UNION ALL SELECT store_id, 1, sg FROM cache), {KEYS_SQL},
+placed AS (SELECT *, sum(stored) OVER (PARTITION BY curve ORDER BY hkey, stored, id ROWS UNBOUNDED PRECEDING) AS place FROM keyed)"""
+
+
+def _probed(name: str, window: int, curves: int = CURVES, both_ways: bool = False) -> str:
+    """The ten nearest of what a probe of a window finds, as a table of SQL."""
+    low = 1 - window if both_ways else 1
+    return f"""{name} AS (SELECT * FROM (SELECT query_id, store_id, {DIST} AS d, row_number() OVER (PARTITION BY query_id ORDER BY {DIST}, store_id) AS rank FROM
+ (SELECT DISTINCT q.id AS query_id, e.id AS store_id FROM placed q JOIN placed e ON e.curve = q.curve AND e.place - q.place BETWEEN {low} AND {window} WHERE q.stored = 0 AND e.stored = 1 AND q.curve < {curves}) f JOIN pop p USING (query_id) JOIN cache c USING (store_id)) WHERE rank <= 10)"""
+
+
+@query("probe_keys", f"WITH RECURSIVE {G_SQL}, src AS (SELECT vec_id AS id, 0 AS stored, g AS v FROM gen), {KEYS_SQL} SELECT curve, hkey, id AS vec_id FROM keyed")
 def probe_keys(spark, d):
     """Keys of every genome along three curves."""
     return curve.probe_keys(genomes(spark, d), "vec_id", "g", 3)
 
 
-@query("knn_multiprobe")
+@query("knn_multiprobe", f"WITH RECURSIVE {PROBE_SQL}, {_probed('f', 10)} SELECT query_id, store_id, round(d, 6) AS d, rank FROM f")
 def knn_multiprobe(spark, d):
     """Ten nearest by forward scans of three curves."""
     store, pop, keys, asked = _keys(spark, d, 3)
     return N.rerank(N.probe(keys, asked, 10), pop, store, 10).select("query_id", "store_id", r6("d").alias("d"), "rank")
 
 
-@query("knn_bidirectional")
+@query("knn_bidirectional", f"WITH RECURSIVE {PROBE_SQL}, {_probed('f', 20, both_ways=True)} SELECT query_id, store_id, round(d, 6) AS d, rank FROM f")
 def knn_bidirectional(spark, d):
     """Ten nearest by scans of twenty entries either way along three curves."""
     store, pop, keys, asked = _keys(spark, d, 3)
@@ -166,7 +190,12 @@ def _modes(spark, d):
     return pop, store, out
 
 
-@query("knn_modes")
+MODES_SQL = f"""WITH RECURSIVE {PROBE_SQL}, {_probed('a', 10, 1)}, {_probed('b', 40, 1)}, {_probed('e', 10)}, {_probed('h', 10, both_ways=True)}, {NN_SQL} WHERE rank <= 10),
+found AS (SELECT 'single' AS mode, * FROM a UNION ALL SELECT 'single_wide', * FROM b UNION ALL SELECT 'multi_forward', * FROM e UNION ALL SELECT 'multi_bidirectional', * FROM h)
+SELECT mode, round(count(n.store_id) / (SELECT count(*) FROM nn)::DOUBLE, 6) AS recall, round(avg(f.d), 6) AS mean_distance FROM found f LEFT JOIN nn n ON n.query_id = f.query_id AND n.store_id = f.store_id GROUP BY mode"""
+
+
+@query("knn_modes", MODES_SQL)
 def knn_modes(spark, d):
     """Recall at ten of four retrieval modes against the exact answer."""
     pop, store, found = _modes(spark, d)
@@ -176,6 +205,22 @@ def knn_modes(spark, d):
     return hits.join(F.broadcast(total)).select("mode", r6(F.col("hits") / F.col("total")).alias("recall"), "mean_distance")
 
 
+@query("probe_quality", f"""WITH RECURSIVE {PROBE_SQL}, {_probed('f', 20, both_ways=True)}, {NN_SQL} WHERE rank <= 10), near AS (SELECT nn.query_id, avg(nn.d) AS gt, count(f.store_id) AS hits, max(CASE WHEN nn.rank = 1 AND f.store_id IS NOT NULL THEN 1 ELSE 0 END)::INT AS top1 FROM nn LEFT JOIN f ON f.query_id = nn.query_id AND f.store_id = nn.store_id GROUP BY 1),
+got AS (SELECT query_id, avg(d) AS got FROM f GROUP BY 1), rnd AS (SELECT query_id, avg({DIST}) AS rnd FROM pop p, cache c GROUP BY 1)
+SELECT query_id, round(hits / 10.0::DOUBLE, 6) AS recall, top1, round(greatest(0.0, least(1.0, 1.0 - (got - gt) / greatest(rnd - gt, 1e-12))), 6) AS quality FROM near JOIN got USING (query_id) JOIN rnd USING (query_id)""")
+def probe_quality(spark, d):
+    """Recall at ten, first hit and quality of the search along three curves, for each query."""
+    store, pop, keys, asked = _keys(spark, d, CURVES)
+    found = N.rerank(N.probe(keys, asked, 20, both_ways=True), pop, store, 10)
+    hits = found.select("query_id", "store_id", F.lit(1).alias("hit"))
+    first = F.max(F.when((F.col("rank") == 1) & F.col("hit").isNotNull(), 1).otherwise(0))
+    near = N.knn(pop, store, 10).join(hits, ["query_id", "store_id"], "left").groupBy("query_id").agg(F.avg("d").alias("gt"), r6(F.count("hit") / F.lit(10.0)).alias("recall"), first.alias("top1"))
+    got = found.groupBy("query_id").agg(F.avg("d").alias("got"))
+    rows = near.join(got, "query_id").join(N.mean_distance(pop, store).withColumnRenamed("mean_distance", "rnd"), "query_id")
+    score = 1.0 - (F.col("got") - F.col("gt")) / F.greatest(F.col("rnd") - F.col("gt"), F.lit(1e-12))
+    return rows.select("query_id", "recall", "top1", r6(V.clip01(score)).alias("quality"))
+
+
 # An approximate search: the nearest by the first four dimensions, then the distance by all.
 ROUGH_SQL = "ro AS (SELECT query_id, store_id, d FROM (SELECT query_id, store_id, list_distance(p.g, c.sg) AS d, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(p.g[1:4], c.sg[1:4]), store_id) AS r4 FROM pop p, cache c) WHERE r4 <= 10)"
 
