@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 from ..session import ship, stored
+from .slices import PER_SLICE, sliced
 
 #: Queries that may go to every task, and the stored points that a block of them meets beyond that.
 QUERY_BLOCK, STORE_BLOCK = 4_096, 16_384
@@ -24,8 +25,6 @@ SAMPLED, CELLS, RINGS, ROWS = 4_096, 256, 64, 8_192
 TRIED, WORTH = 256, 0.4
 #: Dimensions of the grid of a radius join; a point is copied to 3 ** GRID cells.
 GRID = 3
-#: Leading hex digits of a curve key that make a slice of it.
-SLICE = 4
 
 
 def usable(vector: str) -> Column:
@@ -435,22 +434,24 @@ def radius_pairs(points: DataFrame, radius: float, grid: int = GRID) -> DataFram
     return left.join(right, "cell").filter("a < b").select("a", "b", V.l2(F.col("va"), F.col("vb")).alias("d")).filter(F.col("d") < radius)
 
 
-def probe(keys: DataFrame, queries: DataFrame, window: int, both_ways: bool = False) -> DataFrame:
+def probe(keys: DataFrame, queries: DataFrame, window: int, both_ways: bool = False, per_slice: int = PER_SLICE) -> DataFrame:
     """Candidates ``query_id, store_id``: entries that follow (or surround) a query along each curve.
 
     ``keys`` holds (curve, hkey, store_id) and ``queries`` (curve, hkey, query_id). Both are put in
     one order per curve, so that every query knows its rank among the stored entries, and a query
     meets entries by rank: an equi-join on (curve, rank), not a range join. Ranks are counted within
-    slices of keys that share their first digits and shifted by the slices' sums.
+    slices, cut where sketches of the first 13 and the next 13 digits say, so a cluster of near keys
+    is many slices too, and shifted by the slices' sums.
     """
     rows = keys.select("curve", "hkey", F.col("store_id").alias("id"), F.lit(1).alias("stored"))
     asked = queries.select("curve", "hkey", F.col("query_id").alias("id"), F.lit(0).alias("stored"))
-    both = rows.union(asked).withColumn("slice", F.substring("hkey", 1, SLICE))
-    before = Window.partitionBy("curve").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = both.groupBy("curve", "slice").agg(F.sum("stored").alias("n"))
-    base = sums.select("curve", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("curve", "slice").orderBy("hkey", "stored", "id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("rank", F.sum("stored").over(within)).join(base, ["curve", "slice"]).withColumn("rank", F.col("rank") + F.col("base"))
+    digits = lambda start: F.conv(F.substring(F.rpad("hkey", 26, "0"), start, 13), 16, 10).cast("double")
+    both = sliced(stored(rows.union(asked), "probed-keys").select("*", digits(1).alias("_v"), digits(14).alias("_w")), "_v", "_w", ["curve"], per_slice)
+    before = Window.partitionBy("curve").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sums = both.groupBy("curve", "_s").agg(F.sum("stored").alias("n"))
+    base = sums.select("curve", "_s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("curve", "_s").orderBy("hkey", "stored", "id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("rank", F.sum("stored").over(within)).join(base, ["curve", "_s"]).withColumn("rank", F.col("rank") + F.col("base"))
     entries = placed.filter("stored = 1").select("curve", F.col("rank"), F.col("id").alias("store_id"))
     low = -window + 1 if both_ways else 1
     wanted = placed.filter("stored = 0").select("curve", F.col("id").alias("query_id"), F.explode(F.sequence(F.col("rank") + low, F.col("rank") + window)).alias("rank"))

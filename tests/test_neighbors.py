@@ -144,3 +144,31 @@ def test_radius_join_of_nothing_and_its_plan(spark):
     rows = spark.range(500).select("id", F.array(*(F.rand(i) for i in range(4))).alias("v"))
     plan = N.radius_pairs(rows, 0.1)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"(SortMerge|BroadcastHash|ShuffledHash)Join \[cell", plan) and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_probes_of_a_cluster_in_slices(spark, monkeypatch):
+    from evospark.functions import curve
+    from evospark.operators import neighbors as N
+    from evospark.operators import slices
+
+    rng = np.random.default_rng(11)
+    points = 0.4 + rng.random((600, 10)) * 1e-3  # all within one cell of the first digits
+    points[::9] = points[0]  # exact copies
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
+    keys = curve.probe_keys(df, "id", "v", 2).cache()
+    store, asked = (keys.filter(f"id % 2 = {r}").withColumnRenamed("id", n) for r, n in ((0, "store_id"), (1, "query_id")))
+    largest = []
+    monkeypatch.setattr(N, "sliced", lambda *a: largest.append(slices.sliced(*a).groupBy("curve", "_s").count().agg(F.max("count")).first()[0]) or slices.sliced(*a))
+    got = {tuple(r) for r in N.probe(store, asked, 5, both_ways=True, per_slice=40).collect()}
+    assert got == {tuple(r) for r in N.probe(store, asked, 5, both_ways=True).collect()}
+    assert largest[1] == 600 and largest[0] <= 120  # copies share a slice, the cluster doesn't
+    want = set()
+    for c in (0, 1):
+        rows = sorted((r.hkey, 1 - r.id % 2, r.id) for r in keys.filter(f"curve = {c}").collect())
+        held = [i for _, is_stored, i in rows if is_stored]
+        rank = 0
+        for _, is_stored, i in rows:
+            rank += is_stored
+            if not is_stored:
+                want |= {(i, j) for j in held[max(0, rank - 5) : rank + 5]}
+    assert got == want
