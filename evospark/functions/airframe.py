@@ -28,6 +28,15 @@ BOUNDS = (
 REJECT, LEAST_VOLUME = -1e9, 20_000.0
 RHO, MU, G = 1.225, 1.81e-5, 9.81
 AVIONICS_KG, FUSE_KG_M2, WING_KG_M2 = 0.080, 1.20, 1.00
+# Fixed values of the formulas. Wetted area: fineness, its exponent, ends, most; least fineness of an end.
+SHAPE_FINENESS, SHAPE_POWER, SHAPE_END, SHAPE_MOST, END_FINENESS = 3.0, 1.9, 0.03443, 1.5, 0.5
+# Friction: laminar and turbulent coefficient, the latter's exponent; form factor of a body.
+LAMINAR, TURBULENT, TURBULENT_POWER, LAMINAR_BELOW = 1.328, 0.455, 2.58, 1e3
+FORM_CUBE, FORM_LINEAR = 60.0, 400.0
+# Lifting surfaces: wetted to plan area, thickness terms, interference, the tail's form and chord, span efficiency.
+WETTED, THICK, THICK_FOURTH, INTERFERENCE, TAIL_FORM, TAIL_CHORD_M, EFFICIENCY_LOSS = 2.05, 2.0, 60.0, 1.25, 1.20, 0.025, 0.38
+# Masses and their places: the tail's share of the wing's weight an area, avionics and fuselage along the length, a chord's quarter.
+TAIL_WEIGHT, AVIONICS_AT, FUSE_AT, QUARTER = 0.8, 0.18, 0.45, 0.25
 
 
 def parameters(genes: Column) -> dict[str, Column]:
@@ -54,19 +63,19 @@ def fuselage_wetted_area(p: dict[str, Column]) -> Column:
     length, d = p["fuse_length"] * 1e-3, p["fuse_max_diam"] * 1e-3
     width = F.nullif(d, F.lit(0.0))
     fineness = at_least(length / width, 1.0)
-    nose, tail = at_least(length * p["nose_ratio"] / width, 0.5), at_least(length * p["tail_ratio"] / width, 0.5)
+    nose, tail = at_least(length * p["nose_ratio"] / width, END_FINENESS), at_least(length * p["tail_ratio"] / width, END_FINENESS)
     body = F.lit(math.pi) * d * length * (1.0 - 0.5 * (p["nose_ratio"] + p["tail_ratio"]))
-    shape = 1.0 + 3.0 / F.pow(fineness, F.lit(1.9)) + 0.03443 / nose + 0.03443 / tail
-    return F.when((length <= 0) | (d <= 0), 0.0).otherwise(body * F.least(shape, F.lit(1.5)))
+    shape = 1.0 + SHAPE_FINENESS / F.pow(fineness, F.lit(SHAPE_POWER)) + SHAPE_END / nose + SHAPE_END / tail
+    return F.when((length <= 0) | (d <= 0), 0.0).otherwise(body * F.least(shape, F.lit(SHAPE_MOST)))
 
 
 def fuselage_drag(p: dict[str, Column], s_ref: Column, speed: float = 15.0) -> Column:
     """Skin friction with a form factor, referred to ``s_ref``; 0 without length, width, area or speed."""
     length, d = p["fuse_length"] * 1e-3, p["fuse_max_diam"] * 1e-3
     re = RHO * speed * length / MU
-    cf = F.when(re < 1e3, 1.328 / F.sqrt(at_least(re, 1.0))).otherwise(0.455 / F.pow(F.log10(re), F.lit(2.58)))
+    cf = F.when(re < LAMINAR_BELOW, LAMINAR / F.sqrt(at_least(re, 1.0))).otherwise(TURBULENT / F.pow(F.log10(re), F.lit(TURBULENT_POWER)))
     fineness = at_least(length / F.nullif(d, F.lit(0.0)), 1.0)
-    form = 1.0 + 60.0 / (fineness * fineness * fineness) + fineness / 400.0
+    form = 1.0 + FORM_CUBE / (fineness * fineness * fineness) + fineness / FORM_LINEAR
     empty = (length <= 0) | (d <= 0) | (s_ref <= 0) | (F.lit(speed) <= 0)
     return F.when(empty, 0.0).otherwise(cf * form * fuselage_wetted_area(p) / F.nullif(s_ref, F.lit(0.0)))
 
@@ -99,16 +108,16 @@ def tail_scales(p: dict[str, Column], vh: float = 0.5, vv: float = 0.04) -> tupl
 
 def masses(p: dict[str, Column]) -> dict[str, Column]:
     fuse = fuselage_wetted_area(p) * FUSE_KG_M2
-    wing = 2.05 * wing_area(p) * 1e-6 * WING_KG_M2
+    wing = WETTED * wing_area(p) * 1e-6 * WING_KG_M2
     h = p["h_stab_span"] * (p["h_stab_root"] + p["h_stab_tip"]) * 1e-6
     v = p["v_stab_height"] * (p["v_stab_root"] + p["v_stab_tip"]) / 2.0 * 1e-6
-    tail = 2.05 * (h + v) * (WING_KG_M2 * 0.8)
+    tail = WETTED * (h + v) * (WING_KG_M2 * TAIL_WEIGHT)
     return {"m_fuse": fuse, "m_wing": wing, "m_tail": tail, "m_avionics": F.lit(AVIONICS_KG), "m_total": fuse + wing + tail + AVIONICS_KG}
 
 
 def centre_of_gravity(p: dict[str, Column]) -> Column:
     m = masses(p)
-    moments = m["m_avionics"] * (p["fuse_length"] * 0.18) + m["m_fuse"] * (p["fuse_length"] * 0.45) + m["m_wing"] * (p["wing_x_pos"] + 0.25 * p["wing_root_chord"]) + m["m_tail"] * (p["tail_x_pos"] + 0.25 * p["h_stab_root"])
+    moments = m["m_avionics"] * (p["fuse_length"] * AVIONICS_AT) + m["m_fuse"] * (p["fuse_length"] * FUSE_AT) + m["m_wing"] * (p["wing_x_pos"] + QUARTER * p["wing_root_chord"]) + m["m_tail"] * (p["tail_x_pos"] + QUARTER * p["h_stab_root"])
     return moments * 1e-3 / at_least(m["m_total"], 1e-6)
 
 
@@ -116,15 +125,15 @@ def drag_buildup(p: dict[str, Column], speed: float = 15.0) -> dict[str, Column]
     """Parasitic drag, aspect ratio, span efficiency and the least induced drag per CL squared."""
     s = wing_area(p) * 1e-6
     chord = (p["wing_root_chord"] + p["wing_tip_chord"]) / 2.0 * 1e-3
-    flat = lambda re: 1.328 / F.sqrt(at_least(re, 1.0))
+    flat = lambda re: LAMINAR / F.sqrt(at_least(re, 1.0))
     t = p["naca_t"] / 100.0
-    wing = 2.05 * flat(RHO * speed * chord / MU) * (1.0 + 2.0 * t + 60.0 * t * t * t * t) * 1.25
+    wing = WETTED * flat(RHO * speed * chord / MU) * (1.0 + THICK * t + THICK_FOURTH * t * t * t * t) * INTERFERENCE
     s_tail = (p["h_stab_span"] * (p["h_stab_root"] + p["h_stab_tip"]) + p["v_stab_height"] * (p["v_stab_root"] + p["v_stab_tip"]) / 2.0) * 1e-6
-    tail = 2.05 * s_tail / s * flat(F.lit(RHO * speed * 0.025 / MU)) * 1.20 * 1.25
+    tail = WETTED * s_tail / s * flat(F.lit(RHO * speed * TAIL_CHORD_M / MU)) * TAIL_FORM * INTERFERENCE
     cd0 = fuselage_drag(p, s, speed) + wing + tail
     span = 2.0 * p["wing_span"] * 1e-3
     ar = at_least(span * span / at_least(s, 1e-6), 1.0)
-    e = 1.0 / (1.0 + 0.38 * cd0 * math.pi * ar)
+    e = 1.0 / (1.0 + EFFICIENCY_LOSS * cd0 * math.pi * ar)
     return {"cd0": cd0, "aspect_ratio": ar, "oswald": e, "induced": 1.0 / (math.pi * ar * at_least(e, 0.1))}
 
 

@@ -22,6 +22,13 @@ NESTED = "level string, levelStr string, message string, msg string, target stri
 ERRORS = ["ERROR", "CRIT", "ALERT", "EMERG"]
 WARNINGS = ["WARN", "WARNING", *ERRORS]
 SYSLOG = ["EMERG", "ALERT", "CRIT", "ERROR", "WARN", "NOTICE", "INFO", "DEBUG"]
+# The formats that must be read out of names and messages.
+TAG_OF_FILE = r"([^/]+)\.log$"
+LEVEL_SAID = r"(?i)^\[?(ERROR|CRIT|FATAL|WARNING|WARN|INFO|DEBUG|TRACE)\]?[:\s]"
+ISLAND_NUMBER = r"(?:orchestrator|worker|surrogate|island|pool)[-_]?(\d+)"
+GENOME_SAID = r"(?i)best[\s_]*(?:candidate[\s_]*)?genome\s*[:=]\s*(\[[^\]]+\])"
+GENERATION_SAID = r"(?i)Gen\s+(\d+)"
+BEST_EVER_SAID, BEST_SAID = r"(?i)best_ever\s*[:=]\s*([-0-9.eE+]+)", r"(?i)best\s*[:=]\s*([-0-9.eE+]+)"
 #: Most rows that a page of each kind may ask for.
 LIMITS = {"logs": 1000, "tail": 500, "history": 200}
 
@@ -59,16 +66,16 @@ def normalize(df: DataFrame, raw: str = "raw", topic: str = "topic", broker_ts:
     ok = F.trim(text).startswith("{") & F.get_json_object(text, "$").isNotNull()
     rows = df.withColumn("r", F.when(ok, parsed)).withColumn("n", F.when(F.trim("r.log").startswith("{"), F.from_json(F.trim("r.log"), NESTED)))
     c = lambda *names: F.coalesce(*(_text(F.col(x)) for x in names))
-    tag = F.coalesce(F.regexp_replace(_text(F.col("r.container_name")), "^/", ""), _match(F.col("r.file_path"), r"([^/]+)\.log$"))
+    tag = F.coalesce(F.regexp_replace(_text(F.col("r.container_name")), "^/", ""), _match(F.col("r.file_path"), TAG_OF_FILE))
     message = F.when(F.col("r").isNull(), text).otherwise(F.coalesce(c("r.message", "n.message", "n.msg", "r.msg", "r.fields.message", "r.fields.msg"), F.trim("r.log"), F.lit("")))
     rows = rows.withColumn("source", F.coalesce(_text(F.col(topic)), c("r.source"), F.lit("unknown"))).withColumn("source_tag", tag).withColumn("message", F.regexp_replace(message, r"\r?\n$", ""))
-    said = F.upper(_match(F.col("message"), r"(?i)^\[?(ERROR|CRIT|FATAL|WARNING|WARN|INFO|DEBUG|TRACE)\]?[:\s]"))
+    said = F.upper(_match(F.col("message"), LEVEL_SAID))
     from_text = F.when(said == "WARNING", "WARN").when(said.isin("CRIT", "FATAL"), "ERROR").otherwise(said)
     stderr = F.when(F.col("r.stream") == "stderr", "WARN")
     level = F.upper(F.coalesce(c("r.level", "n.level", "n.levelStr", "r.levelStr", "r.fields.level", "r.fields.levelStr", "r.severity"), stderr, from_text, F.lit("INFO")))
     rows = rows.withColumn("level", level).withColumn("target", F.coalesce(c("r.target", "n.target", "n.logger", "n.name", "r.fields.target", "r.name", "r.logger"), F.col("source_tag"), F.col("source")))
     ident = F.lower(F.coalesce(F.col("source_tag"), c("r.container_name"), _text(F.col("target")), c("r.file_path"), F.lit("")))
-    number = _match(ident, r"(?:orchestrator|worker|surrogate|island|pool)[-_]?(\d+)")
+    number = _match(ident, ISLAND_NUMBER)
     ours = ident.rlike("orchestrator|worker|surrogate") | F.col("source").isin("logs.orchestrator", "logs.worker", "logs.surrogate")
     guessed = F.when(number.isNotNull(), F.concat(F.lit("island-"), number)).when((F.col("source") == "logs.lead") | ident.contains("lead"), "lead").when(ours, "island-1").otherwise("default")
     rows = rows.withColumn("island", F.coalesce(c("r.island_id", "n.island_id", "r.island", "n.island", "r.fields.island_id", "r.fields.island"), guessed))
@@ -77,10 +84,10 @@ def normalize(df: DataFrame, raw: str = "raw", topic: str = "topic", broker_ts:
     rows = rows.withColumn("role", F.coalesce(c("r.role", "n.role", "r.fields.role"), role)).withColumn("worker_id", c("r.worker_id", "n.worker_id"))
     when = timestamp_ms(F.coalesce("r.ts", "n.ts"), c("r.timestamp", "n.timestamp"), c("r.@timestamp"), F.col(broker_ts).try_cast("bigint"), now)
     rows = rows.withColumn("ts", when)
-    said_genome = _match(F.col("message"), r"(?i)best[\s_]*(?:candidate[\s_]*)?genome\s*[:=]\s*(\[[^\]]+\])")
+    said_genome = _match(F.col("message"), GENOME_SAID)
     genome = F.from_json(F.coalesce(c("r.best_genome", "n.best_genome", "r.fields.best_genome"), said_genome), "array<double>")
-    gen = F.coalesce("r.gen", "r.fields.gen", _match(F.col("message"), r"(?i)Gen\s+(\d+)").try_cast("int"), F.lit(0))
-    ever, best = (_match(F.col("message"), rf"(?i){w}\s*[:=]\s*([-0-9.eE+]+)").try_cast("double") for w in ("best_ever", "best"))
+    gen = F.coalesce("r.gen", "r.fields.gen", _match(F.col("message"), GENERATION_SAID).try_cast("int"), F.lit(0))
+    ever, best = (_match(F.col("message"), said).try_cast("double") for said in (BEST_EVER_SAID, BEST_SAID))
     rows = rows.withColumn("genome", genome).withColumn("gen", F.when(F.col("genome").isNotNull(), gen)).withColumn("fitness", F.when(F.col("genome").isNotNull(), F.coalesce("r.best_ever", "r.fields.best_ever", "r.best", "r.fields.best", ever, best)))
     return rows.drop("r", "n")
 
