@@ -25,7 +25,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiff.text_media(_table(spark, sf_dir, "documents"))
+    return tiff.text_media(_table(spark, sf_dir, "documents"), tail_bytes=32)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -350,10 +350,11 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return pick(docs, id_col, text_col).mapInArrow(_writer, "doc_id long, n_bytes long, media binary")
 
 
-def text_media(docs: DataFrame) -> DataFrame:
-    """The digests of every text stored as TIFF and read back through ``decode_pages``."""
+def text_media(docs: DataFrame, tail_bytes: int = BLOCK) -> DataFrame:
+    """The digests of every text stored as TIFF and read back through ``decode_pages``; the checksum
+    is that of the payload's last ``tail_bytes``."""
     stored = store_texts(docs).select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
     rows = decode_pages(stored, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
     size = F.octet_length("pixels").cast("long")
-    tail = F.substring(F.col("pixels"), -BLOCK, BLOCK)
+    tail = F.substring(F.col("pixels"), -tail_bytes, tail_bytes)
     return rows.select("doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")

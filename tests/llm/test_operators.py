@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evospark.llm import embedding_dedup, graph, html_extract, html_scan, minhash_dedup, packing, pii, quality, sentencepiece_viterbi, suffix_dedup, tiff, token_counts
+from evospark.llm import embedding_dedup, graph, html_extract, html_scan, minhash_dedup, packing, pii, quality, queries, sentencepiece_viterbi, suffix_dedup, tiff, token_counts
 from evospark.llm.byte_bpe import ByteBpe, default_path
 
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "two words"), (5, "two words"), (None, "no id é 😀"), (6, "x" * 60_000), (7, "a b c d e f " * 3_000)]
@@ -162,6 +162,13 @@ def test_media_query(spark, odd):
     assert sorted(r.doc_id for r in out) == [2, 3, 4] and all(r.error and r.pixels is None for r in out)
 
 
+def test_media_query_digests_the_last_32_bytes(spark, odd, monkeypatch):
+    monkeypatch.setattr(queries, "_table", lambda *_: odd)
+    for r in queries.op3_media_tiff(spark, "").collect():
+        raw = {i: (t or "").encode() for i, t in ODD}[r.doc_id]
+        assert r.tail_crc32 == zlib.crc32((raw + b"\xff" * (-len(raw) % 576 if raw else 576))[-32:])
+
+
 # Personal data
 
 
