@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stored
+
 #: Rows of a slice, slices of a group at most, and groups whose edges may be broadcast.
 PER_SLICE, MOST, FEW_GROUPS = 65_536, 4_096, 64
 
@@ -36,7 +38,8 @@ def sliced(df: DataFrame, value: str, tie: str, by: Sequence[str] = (), per_slic
     shares = [i / slices for i in range(1, slices)]
     edges = lambda c: F.coalesce(F.array_distinct(F.percentile_approx(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)), shares, 10 * slices)), F.array())
     names = [f"_k{i}" for i in range(len(by))]
-    found = df.groupBy(*(F.col(c).alias(n) for c, n in zip(by, names))).agg(edges(value).alias("_e"), edges(tie).alias("_t"))
+    # Stored: sketches that are merged in another order give other edges, and all that use the slices need the same.
+    found = stored(df.groupBy(*(F.col(c).alias(n) for c, n in zip(by, names))).agg(edges(value).alias("_e"), edges(tie).alias("_t")), "edges")
     few = not by or found.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
     same = F.lit(True)
     for c, n in zip(by, names):
