@@ -1,5 +1,6 @@
 """Nearest neighbours by cells against brute force, odd vectors, and the pairs that cells spare."""
 
+import math
 import re
 
 import numpy as np
@@ -172,3 +173,23 @@ def test_probes_of_a_cluster_in_slices(spark, monkeypatch):
             if not is_stored:
                 want |= {(i, j) for j in held[max(0, rank - 5) : rank + 5]}
     assert got == want
+
+
+def test_all_pairs_in_blocks(spark, monkeypatch):
+    """Odd vectors and several blocks; a point goes once to each block, not to one for every 256 points."""
+    monkeypatch.setattr(N, "LEAST_BLOCK", 20)
+    monkeypatch.setattr(N, "PAIRS", 64)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.random(3).tolist()) for i in range(120)] + [(200, None), (201, []), (202, [None, 0.5, 0.1]), (203, [0.5]), (204, [0.2, None]), (205, [float("nan"), 0.0, 0.0]), (None, [0.1])]
+
+    def d(a, b):
+        if a is None or b is None:
+            return None
+        pairs = list(zip(a, b))
+        return None if any(x is None or y is None for x, y in pairs) else round(math.sqrt(sum((x - y) ** 2 for x, y in pairs)), 9)
+
+    want = {(i, j): d(v, w) for i, v in rows for j, w in rows if i is not None and j is not None and i < j}
+    out = N.pairwise(spark.createDataFrame(rows, "id long, v array<double>"))
+    got = {(r.a, r.b): None if r.d is None else round(r.d, 9) for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k] == want[k] or got[k] != got[k] and want[k] != want[k] for k in want)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
