@@ -193,3 +193,15 @@ def test_all_pairs_in_blocks(spark, monkeypatch):
     got = {(r.a, r.b): None if r.d is None else round(r.d, 9) for r in out.collect()}
     assert got.keys() == want.keys() and all(got[k] == want[k] or got[k] != got[k] and want[k] != want[k] for k in want)
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_distances_are_held_in_pieces(monkeypatch):
+    """No more pairs at once than PAIRS, and the same neighbours and sums."""
+    rng = np.random.default_rng(6)
+    points, store = rng.random((300, 4)), rng.random((2_000, 4))
+    want, held, plain = N._distances(points, store), [], N._distances
+    monkeypatch.setattr(N, "_distances", lambda a, b: held.append(len(a) * len(b)) or plain(a, b))
+    near, sums = N.Nearest(np.arange(300), points, 5), N.Sums(np.arange(300), points)
+    for work in (near, sums):
+        work.see(np.arange(2_000), store)
+    assert max(held) <= N.PAIRS and np.allclose(near.best_d, np.sort(want, 1)[:, :5]) and np.allclose(sums.total, want.sum(1))
