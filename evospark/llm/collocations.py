@@ -45,6 +45,8 @@ from .filters import FILTER_BITS, are_set, set_bits
 #: Bytes of texts that make a block; the longest phrase; shards of a language's leaders; languages
 #: whose totals may be broadcast.
 BLOCK_BYTES, LONGEST, SHARDS, LANGS = 8 << 20, 5, 64, 10_000
+#: Phrases of a block that are hashed at once.
+PIECE = 10_000
 _CUT = np.zeros(256, bool)
 _CUT[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
 _APART = _CUT.copy()
@@ -107,8 +109,12 @@ def _lasts(keys: np.ndarray) -> np.ndarray:
 
 
 def _bits(phrases: pa.Array) -> np.ndarray:
-    raw, offsets = text_bytes(phrases)
-    return (RollingHash(raw).spans(offsets[:-1], offsets[1:]) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    """Hashes of PIECE phrases at a time: their prefix sums take many times the phrases' bytes."""
+    out = np.zeros(len(phrases), np.int64)
+    for at in range(0, len(phrases), PIECE):
+        raw, offsets = text_bytes(phrases.slice(at, PIECE))
+        out[at : at + PIECE] = RollingHash(raw).spans(offsets[:-1], offsets[1:]) & np.uint64(FILTER_BITS - 1)
+    return out
 
 
 @lean
@@ -176,8 +182,14 @@ def _extending(bits: np.ndarray):
         for batch in batches:
             for row in range(batch.num_rows):
                 phrases, words, first, second, ends, places = _extended(batch, row)
-                adjacent = words.take(pa.array(second))
-                yield from _block(_joined(phrases.take(pa.array(first)), adjacent, " "), adjacent, ends, places, bits)
+                on = np.zeros(len(first), bool)
+                for at in range(0, len(first), PIECE):
+                    a, b = (pa.array(x[at : at + PIECE]) for x in (first, second))
+                    on[at : at + PIECE] = are_set(bits, _bits(_joined(phrases.take(a), words.take(b), " ")))
+                sizes = np.diff(ends, prepend=0)
+                adjacent = words.take(pa.array(second[on]))
+                longer = _joined(phrases.take(pa.array(first[on])), adjacent, " ")
+                yield from _block(longer, adjacent, np.cumsum(sizes[on]), places[np.repeat(on, sizes)], bits)
 
     return run
 

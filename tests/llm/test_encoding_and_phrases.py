@@ -137,3 +137,14 @@ def test_exact_beyond_64_bits(spark):
     """The score's products are decimals: 1000 * a * n and l * r of 10^12 words."""
     row = spark.range(1).select(F.expr("cast(1000 as decimal(4,0)) * cast(999999999999 as decimal(18,0)) * cast(1000000000000 as decimal(18,0)) div (cast(999999999999 as decimal(18,0)) * cast(2 as decimal(18,0)))").alias("s")).first()
     assert row["s"] == 1000 * 999_999_999_999 * 10**12 // (999_999_999_999 * 2)
+
+
+def test_phrases_are_hashed_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from evospark.llm import collocations as C
+
+    phrases, seen, plain = pa.array([f"en\nword {i}" for i in range(25_000)]), [], C.RollingHash
+    monkeypatch.setattr(C, "RollingHash", lambda raw: seen.append(len(raw)) or plain(raw))
+    got = C._bits(phrases)
+    assert max(seen) < 250_000 and len(got) == 25_000 and got[24_999] == C._bits(phrases.slice(24_999))[0]
