@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ def tail_files(spark: SparkSession, globs: dict[str, str]) -> DataFrame:
 
 
 def normalized(stream: DataFrame) -> DataFrame:
-    return L.normalize(stream, now=F.unix_millis(F.current_timestamp()))
+    """A batch is dealt out over all cores first: a file may be one split, and parsing is the work."""
+    return L.normalize(stream.repartition(stream.sparkSession.sparkContext.defaultParallelism), now=F.unix_millis(F.current_timestamp()))
 
 
 def live_counts(stream: DataFrame) -> DataFrame:
@@ -96,18 +98,21 @@ def sliding_windows(stream: DataFrame, cap: int = 1000, least: int = 100, fresh:
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             held = json.loads(self.state.get()[0]) if self.state.exists() else {"dim": None, "ids": [], "dropped": 0, "new": 0}
-            last = -1
-            for pdf in rows:
-                for event, genes in sorted(zip(pdf["event_id"], pdf["genome"])):
-                    last = max(last, int(event))
-                    held["dim"] = held["dim"] or len(genes)
-                    if len(genes) != held["dim"]:
-                        continue
-                    held["ids"].append(int(event))
-                    held["new"] += 1
-                    if len(held["ids"]) > cap:
-                        held["ids"].pop(0)
-                        held["dropped"] += 1
+            event, dim = np.concatenate([pdf[["event_id", "dim"]].to_numpy(np.int64) for pdf in rows]).T
+            order = np.lexsort((dim, event))
+            event, dim = event[order], dim[order]
+            fits = np.ones(len(dim), bool)
+            if not held["dim"]:  # the first sample that isn't empty says it
+                begin = int(np.argmax(dim > 0)) if (dim > 0).any() else len(dim)
+                held["dim"] = int(dim[begin]) if begin < len(dim) else 0
+                fits[begin:] = dim[begin:] == held["dim"]
+            else:
+                fits = dim == held["dim"]
+            last, fit = int(event[-1]), event[fits].tolist()
+            ids = held["ids"] + fit
+            held["new"] += len(fit)
+            held["dropped"] += max(0, len(ids) - cap)
+            held["ids"] = ids[-cap:]
             due = len(held["ids"]) >= least and held["new"] >= fresh
             if due:
                 held["new"] = 0
@@ -117,7 +122,7 @@ def sliding_windows(stream: DataFrame, cap: int = 1000, least: int = 100, fresh:
         def close(self) -> None:
             pass
 
-    rows = stream.filter(F.col("genome").isNotNull()).select("island", "event_id", "genome")
+    rows = stream.filter(F.col("genome").isNotNull()).select("island", "event_id", F.size("genome").alias("dim"))
     return rows.groupBy("island").transformWithStateInPandas(Windows(), WINDOW_OUT, "Update", "None")
 
 

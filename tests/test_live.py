@@ -134,3 +134,13 @@ def test_halves_share_one_middle(spark, tmp_path, monkeypatch):
     got = live.with_restart(rows, "event_id", lambda s: live.drift(s, activate=False), f"{tmp_path}/x")
     kept = [r.event_id for r in spark.read.parquet(f"{tmp_path}/x/in").select("event_id").collect()]
     assert sorted(kept) == list(range(1_000)) and got.agg(F.max("total")).first()[0] == 1_000
+
+
+def test_windows_take_sizes_alone(spark, tmp_path):
+    """The first sample that isn't empty says the dimension; genomes themselves never reach the state."""
+    schema = "island string, event_id long, genome array<double>"
+    batches = [[("a", 2, [1.0]), ("a", 1, []), ("a", 3, [1.0, 2.0]), ("a", 4, None)], [("a", i, [0.5]) for i in range(5, 11)]]
+    got = run(spark, tmp_path, batches, schema, lambda s: streams.sliding_windows(s, cap=4, least=4, fresh=2))
+    assert got == [[("a", 3, 2, 0, False)], [("a", 10, 4, 4, True)]]
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    assert "size(genome" in streams.sliding_windows(stream)._jdf.queryExecution().analyzed().toString()
