@@ -46,6 +46,20 @@ def test_forest_of_few_and_equal_rows(spark):
         D.TableForest(trees=2).fit(rows.limit(0), "g", "y", "id")
 
 
+def test_tasks_get_packed_trees_alone(spark):
+    """Memory of a worker by nodes: 15 bytes each, padded to the longest tree, and no lists."""
+    import pickle
+
+    x, y = sample(2_000, 5)
+    forest = D.TableForest(trees=8, depth=9).fit(table(spark, x, y), "g", "y", "id")
+    nodes = len(forest.feature) * max(map(len, forest.feature))
+    sent = pickle.dumps(forest)
+    assert nodes > 1_000 and len(sent) < 15 * nodes + 10_000
+    held = pickle.loads(sent)
+    assert not any(isinstance(v, list) and isinstance(v[0], list) for v in vars(held).values())
+    assert all((a == b).all() for a, b in zip(held.predict(x), forest.predict(x)))
+
+
 def test_a_tree_by_brute_force(spark):
     """Without a choice of features, the first cut is the best of all bins with the tree's weights."""
     x, y = sample(300, 4, dims=6)
