@@ -184,6 +184,38 @@ def test_permutation_of_all_rows(spark):
     assert M.permuted(df.limit(1), "y", "g", 2).count() == 2
 
 
+def test_importance_scores_a_row_once_a_repeat(spark, monkeypatch):
+    """Means alone, exchanged in the task; odd rows as if each mixed row were predicted by itself."""
+    rng = np.random.default_rng(5)
+    x = rng.random((60, 3))
+    y = x[:, 0] * 2 + np.sin(4 * x[:, 1])
+    gp = M.GaussianProcess().fit(x[:12], y[:12])
+    monkeypatch.setattr(M, "MEANS", 16)
+    assert np.allclose(gp.mean(x), gp.predict(x)[0], rtol=0, atol=1e-10) and gp.mean(x[:0]).shape == (0,)
+    nan = float("nan")
+    odd = [(None, 1.0), ([0.5], 1.0), ([0.5, None, 0.1], 1.0), ([0.5, nan, 0.1], 2.0), ([0.1, 0.2, 0.3, 0.4], 1.5), ([0.2, 0.2, 0.2], None)]
+    df = spark.createDataFrame([(v.tolist(), float(t)) for v, t in zip(x, y)] + odd, "g array<double>, y double").repartition(3)
+    scored, predict = [], M.predict
+    monkeypatch.setattr(M, "predict", lambda df, *a: scored.append(df.count()) or predict(df, *a))
+    got = {r.dim: r.importance for r in M.permutation_importance(df, gp, "y", repeats=2).collect()}
+    assert scored == [66]  # the rows as they are, not rows times features times repeats
+    rows = M.permuted(df, "y", "g", 2).collect()
+    total = np.var([r.y for r in rows if r.y is not None]) * (len(rows) / 2 - 1)
+
+    def r2(rows, dim):
+        mixed, of = [], []
+        for r in rows:
+            v = None if r.g is None else [(None if r.other is None or len(r.other) <= i else r.other[i]) if i == dim else a for i, a in enumerate(r.g)]
+            if v is not None and r.y is not None and len(v) == 3 and all(a is not None and np.isfinite(a) for a in v):
+                mixed.append(v)
+                of.append(r.y)
+        return 1 - ((np.array(of) - gp.predict(np.array(mixed))[0]) ** 2).sum() / total
+
+    base = r2([r for r in rows if r.rep == 0], None)
+    for dim in range(3):
+        assert got[dim] == pytest.approx(np.mean([base - r2([r for r in rows if r.rep == k], dim) for k in range(2)]), abs=1e-8)
+
+
 def test_tier_replay(spark, tmp_path):
     from evospark import registry
 
