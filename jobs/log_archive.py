@@ -20,7 +20,7 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evospark.operators import logs as L
@@ -41,24 +41,27 @@ class Settings:
     files_per_batch: int = 1_000
 
 
+def masked(message: str) -> Column:
+    """The template of a message."""
+    return F.regexp_replace(message, "[0-9]+", "#")
+
+
 def lines_of(documents: DataFrame) -> DataFrame:
-    """A normalized row of each line, with the template of its message."""
+    """A normalized row of each line, with the id of its message's template."""
     raw = documents.select("doc_id", F.col("source").alias("topic"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw")).filter(F.trim("raw") != "")
     rows = L.normalize(raw.withColumn("broker_ts", F.lit(None).cast("bigint")))
-    template = F.regexp_replace("message", "[0-9]+", "#")
-    return rows.select("doc_id", "line_no", "source", "level", "island", "role", "ts", "message", template.alias("template"), F.md5(template).alias("template_id"))
+    return rows.select("doc_id", "line_no", "source", "level", "island", "role", "ts", "message", F.md5(masked("message")).alias("template_id"))
 
 
 def write_batch(documents: DataFrame, batch: int, settings: Settings) -> None:
     dynamic = {"partitionOverwriteMode": "dynamic"}
-    rows = lines_of(documents).withColumn("batch", F.lit(batch).cast("bigint")).persist()
-    try:
-        lines = rows.select("doc_id", "line_no", "island", "role", "ts", "message", "template_id", "batch", "source", "level")
-        lines.hint("rebalance", "source", "level").write.mode("overwrite").options(**dynamic).partitionBy("batch", "source", "level").parquet(f"{settings.output}/lines")
-        counts = rows.groupBy("source", "level", "template_id", "template", "batch").agg(F.count("*").alias("n"))
-        counts.write.mode("overwrite").options(**dynamic).partitionBy("batch").parquet(f"{settings.output}/templates")
-    finally:
-        rows.unpersist()
+    rows = lines_of(documents).withColumn("batch", F.lit(batch).cast("bigint"))
+    lines = rows.select("doc_id", "line_no", "island", "role", "ts", "message", "template_id", "batch", "source", "level")
+    lines.hint("rebalance", "source", "level").write.mode("overwrite").options(**dynamic).partitionBy("batch", "source", "level").parquet(f"{settings.output}/lines")
+    # Counted from the files just written: a cached partition would hold all lines of a split of the input.
+    held = read_lines(documents.sparkSession, settings).filter(F.col("batch") == batch).withColumn("template", masked("message"))
+    counts = held.groupBy("source", "level", "template_id", "template", "batch").agg(F.count("*").alias("n"))
+    counts.write.mode("overwrite").options(**dynamic).partitionBy("batch").parquet(f"{settings.output}/templates")
     wrote = documents.sparkSession.read.schema(TEMPLATES).parquet(f"{settings.output}/templates").filter(F.col("batch") == batch).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     log.info("batch %d: wrote %d lines of %d templates to %s", batch, *wrote, settings.output)
 

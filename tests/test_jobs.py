@@ -91,6 +91,15 @@ def test_a_batch_that_runs_again_changes_nothing(spark, archive):
     assert (rows_of(log_archive.read_lines(spark, archive)), rows_of(log_archive.read_templates(spark, archive))) == before
 
 
+def test_archive_caches_no_lines(spark, archive, monkeypatch):
+    """A cached partition holds a split's lines, several times its bytes, and one task reads it."""
+    documents(spark, FIRST, archive.input)
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda *a: pytest.fail("cached"))
+    log_archive.write_batch(spark.read.schema(log_archive.DOCUMENTS).parquet(archive.input), 3, archive)
+    counts = {(r["source"], r["template"]): r["n"] for r in log_archive.read_templates(spark, archive).collect()}
+    assert counts == {("web", "ERROR: disk # full"): 1, ("web", "all good"): 1, ("web", "WARN low #"): 1, ("web", "id #"): 2, ("web", "id #\r"): 1}
+
+
 def test_archive_of_empty_texts(spark, archive):
     documents(spark, [(1, None, "a"), (2, " \n ", None)], archive.input)
     assert log_archive.run(spark, archive) == 2
