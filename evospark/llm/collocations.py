@@ -20,7 +20,9 @@ aren't read. A very long text is a block of its own, held whole by one task.
 
 Scale: words are counted before the lists are built. Lists are stored by block (``BLOCK_BYTES`` of
 text or one text), a row each, and never leave it: rounds shuffle only sums, which each task
-combines first, so a word that fills a third of the table is one row a block. Which phrases go on is
+combines first, so a word that fills a third of the table is one row a block. With every phrase
+frequent a block's row is some five times its text; row groups of a few such rows are written and
+read one at a time, however many blocks a task has. Which phrases go on is
 told to the blocks by a bit filter of fixed size; a bit that is set without a frequent phrase costs
 time, and its lists' extensions can't reach the threshold. Leaders of a language are picked in
 shards before they are ranked.
@@ -39,12 +41,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ship
-from .common import _LOWER, RollingHash, lean, spread, stored, text_bytes
+from .common import _LOWER, RollingHash, chunks, lean, spread, stored, text_bytes
 from .filters import FILTER_BITS, are_set, set_bits
 
 #: Bytes of texts that make a block; the longest phrase; shards of a language's leaders; languages
 #: whose totals may be broadcast.
-BLOCK_BYTES, LONGEST, SHARDS, LANGS = 8 << 20, 5, 64, 10_000
+BLOCK_BYTES, LONGEST, SHARDS, LANGS = 1 << 20, 5, 64, 10_000
 #: Phrases of a block that are hashed at once.
 PIECE = 10_000
 _CUT = np.zeros(256, bool)
@@ -54,6 +56,8 @@ _APART[[9, 32]] = True
 #: A block's lists: language and phrase of each list with a line feed between (no word holds one),
 #: the phrase's last word, where each list ends, and all places.
 LISTS = "phrases array<string>, words array<string>, ends binary, places binary"
+#: Rows of lists are large: Parquet would look at a row group's size after 100 of them only.
+ROW_GROUPS = {"parquet.enable.dictionary": "false", "parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
 def words_and_places(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -74,14 +78,15 @@ def words_and_places(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches ``lang, text`` put together until they hold BLOCK_BYTES."""
+    """Batches ``lang, text`` cut and put together to BLOCK_BYTES at most, or one longer text."""
     held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.column("text").nbytes
-        if size >= BLOCK_BYTES:
+    for part in (x for batch in batches for x in chunks(batch, limit=BLOCK_BYTES)):
+        more = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+        if held and size + more > BLOCK_BYTES:
             yield pa.Table.from_batches(held)
             held, size = [], 0
+        held.append(part)
+        size += more
     if held:
         yield pa.Table.from_batches(held)
 
@@ -208,7 +213,7 @@ def frequent_phrases(docs: DataFrame, least: int, lang_col: str, text_col: str)
         found.append(stored(sums.filter(F.col("f") >= least), f"frequent-{m}").withColumn("size", F.lit(m)))
         if m < LONGEST:
             bits = set_bits(found[-1].select("phrase").mapInArrow(_bits_of, "bit long"))
-            lists = stored(texts.mapInArrow(_listing(bits), LISTS) if m == 1 else lists.mapInArrow(_extending(bits), LISTS), f"lists-{m}")
+            lists = stored(texts.mapInArrow(_listing(bits), LISTS) if m == 1 else lists.mapInArrow(_extending(bits), LISTS), f"lists-{m}", ROW_GROUPS)
             sums = lists.mapInArrow(_count_longer, "phrase string, n long").groupBy("phrase").agg(F.sum("n").alias("f"))
     return reduce(DataFrame.union, found).select(lang, phrase.alias("phrase"), "size", "f"), totals
 

@@ -148,3 +148,32 @@ def test_phrases_are_hashed_in_pieces(monkeypatch):
     monkeypatch.setattr(C, "RollingHash", lambda raw: seen.append(len(raw)) or plain(raw))
     got = C._bits(phrases)
     assert max(seen) < 250_000 and len(got) == 25_000 and got[24_999] == C._bits(phrases.slice(24_999))[0]
+
+
+def test_blocks_hold_so_many_bytes_or_one_text(monkeypatch):
+    import pyarrow as pa
+
+    from evospark.llm import collocations as C
+
+    monkeypatch.setattr(C, "BLOCK_BYTES", 1_000)
+    texts = ["ab " * 30] * 50 + ["", "long " * 400] + ["c"] * 5
+    batch = pa.record_batch([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    blocks = [t.column("text").to_pylist() for t in C._blocks([batch, batch.slice(0, 0), batch])]
+    assert [x for b in blocks for x in b] == texts * 2
+    assert all(sum(map(len, b)) <= 1_000 or [x for x in b if x] == [texts[51]] for b in blocks)
+    assert len(blocks) < 25 and list(C._blocks([])) == []
+
+
+def test_row_groups_of_lists_are_bounded_where_every_phrase_is_frequent(spark, monkeypatch):
+    """A task's blocks were one row group, which the writer and the reader hold whole."""
+    import pyarrow.parquet as pq
+
+    files, plain = [], collocations.stored
+    monkeypatch.setattr(collocations, "spread", lambda df: df.coalesce(1))
+    monkeypatch.setattr(collocations, "stored", lambda df, name, *more: files.append((name, (out := plain(df, name, *more)).inputFiles())) or out)
+    draw = random.Random(3)
+    rows = [("en", " ".join(f"w{draw.randrange(20_000)}" for _ in range(80_000))) for _ in range(16)]
+    every, totals = collocations.frequent_phrases(spark.createDataFrame(rows, "lang string, text string"), 1, "lang", "text")
+    assert [tuple(r) for r in totals.collect()] == [("en", 16 * 80_000)] and every.filter("size = 2").agg(F.sum("f")).first()[0] == 16 * 79_999
+    groups = [meta.row_group(i).total_byte_size for name, paths in files if name.startswith("lists") for p in paths for meta in [pq.read_metadata(p.removeprefix("file://").removeprefix("file:"))] for i in range(meta.num_row_groups)]
+    assert len(groups) > 8 and max(groups) < 16 << 20
