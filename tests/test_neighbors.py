@@ -205,3 +205,22 @@ def test_distances_are_held_in_pieces(monkeypatch):
     for work in (near, sums):
         work.see(np.arange(2_000), store)
     assert max(held) <= N.PAIRS and np.allclose(near.best_d, np.sort(want, 1)[:, :5]) and np.allclose(sums.total, want.sum(1))
+
+
+def test_pairs_leave_in_the_order_of_their_ids(spark):
+    """A run for each point and block, so that a file's ids take little room beside the distances."""
+    rng = np.random.default_rng(4)
+    n, ids = 2_500, rng.permutation(2_500) * 7 - 3_000
+    out = N.pairwise(spark.createDataFrame([(int(i), rng.random(2).tolist()) for i in ids], "id long, v array<double>").repartition(3)).toArrow()
+    a, b = (out.column(c).to_numpy() for c in ("a", "b"))
+    turns = a[1:] != a[:-1]
+    assert len(a) == n * (n - 1) // 2 == len(np.unique(a * 20_000 + b)) and (a < b).all()
+    assert turns.sum() < 4 * n and ((b[1:] < b[:-1]) & ~turns).sum() < 20
+
+
+def test_pairs_of_ids_that_crowd(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAST_BLOCK", 20)
+    ids = [5] * 70 + list(range(-10, 20)) + [10**15, -(10**15)]
+    out = N.pairwise(spark.createDataFrame([(i, [float(k)]) for k, i in enumerate(ids)], "id long, v array<double>"))
+    want = sorted((min(i, j), max(i, j), float(abs(k - m))) for k, i in enumerate(ids) for m, j in enumerate(ids[:k]) if i != j)
+    assert sorted(map(tuple, out.collect())) == want
