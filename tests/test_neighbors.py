@@ -224,3 +224,25 @@ def test_pairs_of_ids_that_crowd(spark, monkeypatch):
     out = N.pairwise(spark.createDataFrame([(i, [float(k)]) for k, i in enumerate(ids)], "id long, v array<double>"))
     want = sorted((min(i, j), max(i, j), float(abs(k - m))) for k, i in enumerate(ids) for m, j in enumerate(ids[:k]) if i != j)
     assert sorted(map(tuple, out.collect())) == want
+
+
+def test_copies_of_a_point_are_bounded_whatever_its_cells(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAST_BLOCK", 2)
+    sent, plain = [], N._compared
+    monkeypatch.setattr(N, "_compared", lambda both, *more: sent.append(both.count()) or plain(both, *more))
+    rng = np.random.default_rng(6)
+    points = 0.2 * rng.integers(0, 2, (2_000, 3)) + 0.09 + 0.02 * rng.random((2_000, 3))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
+    got = N.radius_pairs(df, 0.1).toArrow()
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    want = np.argwhere(np.triu(d < 0.1, 1))
+    assert sorted(zip(got.column("a").to_pylist(), got.column("b").to_pylist())) == sorted(map(tuple, want.tolist()))
+    assert sent[0] <= 2_000 * 2 * (N.BLOCKS + 27)
+
+
+def test_blocks_are_bounded_by_their_components(spark, monkeypatch):
+    rows = spark.range(640).select("id", F.expr("array_repeat(cast(id as double), if(id = 7, 100, 3))").alias("v"))
+    monkeypatch.setattr(N, "LEAST_BLOCK", 4)
+    assert N._block(rows) == (640, 20)
+    monkeypatch.setattr(N, "MOST_VALUES", 1_000)
+    assert N._block(rows) == (640, 10) and N._block(rows.limit(0)) == (0, 4)
